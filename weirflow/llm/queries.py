@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from ..storage import write_table
-from . import bpe, packing, qdigest, topn
+from . import bpe, neardup, packing, qdigest, reading, topn
 from .sql import ORACLE as ORACLE
 from .timings import latest_delivery, valid_ms
 
@@ -64,6 +64,27 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sure.unionByName(exact.where(F.col("p95") >= eight("p50")).select(*keys))
 
 
+# ---------------------------------------------------------------- 2: near duplicates
+
+
+def _alike_families(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    none = F.array().cast("array<string>")
+    sources = F.concat(F.coalesce(F.col("positives.source"), none), F.coalesce(F.col("negatives.source"), none))
+    return neardup.near_duplicates(table(spark, sf_dir, "families"), "fam_no", sources, n=3, num=3, den=5)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of families whose sets of token 3-grams have at least 0.6 of their union in common."""
+    pairs, members = _alike_families(spark, sf_dir)
+    return neardup.expand(pairs, members).select(F.col("a").alias("fam_a"), F.col("b").alias("fam_b"))
+
+
+def p2_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each family with a set, its class of equal sets and the number of families it is alike to."""
+    pairs, members = _alike_families(spark, sf_dir)
+    return neardup.links(pairs, members).select(F.col("id").alias("fam_no"), "cls", "n_links")
+
+
 # ---------------------------------------------------------------- 3: top items
 
 
@@ -113,4 +134,20 @@ def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_percentiles": p1_percentiles, "p3_found": p3_found, "p6_ids": p6_ids, "p7_assignments": p7_assignments, "p7_usage": p7_usage}
+# ---------------------------------------------------------------- 8: reading level
+
+#: Words of prose from which on a document is judged.
+MIN_WORDS = 60
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of every English document; above 0 it asks for more than 12 years of schooling."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    return reading.reading_levels(docs, "doc_id", "text", table(spark, sf_dir, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_levels(spark, sf_dir).where((F.col("n_words") >= MIN_WORDS) & (F.col("level") > 0)).select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_percentiles": p1_percentiles, "p2_found": p2_found, "p2_families": p2_families, "p3_found": p3_found, "p6_ids": p6_ids, "p7_assignments": p7_assignments, "p7_usage": p7_usage, "p8_found": p8_found, "p8_levels": p8_levels}

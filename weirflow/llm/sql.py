@@ -23,4 +23,16 @@ select file, cast(rnk as integer) as rnk, timing_id from (
   from ({_HELD.format("function_timings")}) where file <> '' and func is not null) where rnk <= 5
 """
 
-ORACLE = {"p1_found": P1_FOUND, "p3_found": P3_FOUND}
+P2_FOUND = r"""
+with sources as (
+  select fam_no, m.source as source from (select fam_no, unnest(positives) as m from families union all select fam_no, unnest(negatives) from families)),
+tokens as (select fam_no, regexp_extract_all(source, '[A-Za-z0-9_]+|[^\sA-Za-z0-9_]') as t from sources where source is not null),
+grams as (
+  select distinct fam_no, t[i] || chr(1) || t[i + 1] || chr(1) || t[i + 2] as g
+  from (select fam_no, t, unnest(range(1, len(t) - 1)) as i from tokens where len(t) >= 3)),
+sizes as (select fam_no, count(*) as n from grams group by 1),
+common as (select a.fam_no as fam_a, b.fam_no as fam_b, count(*) as c from grams a join grams b on a.g = b.g and a.fam_no < b.fam_no group by 1, 2)
+select fam_a, fam_b from common join sizes x on x.fam_no = fam_a join sizes y on y.fam_no = fam_b where 5 * c >= 3 * (x.n + y.n - c)
+"""
+
+ORACLE = {"p2_found": P2_FOUND, "p1_found": P1_FOUND, "p3_found": P3_FOUND}
