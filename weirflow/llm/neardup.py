@@ -27,11 +27,11 @@ are in no pair; repeated records are copies; an empty table gives no pairs.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,50 +42,118 @@ SKETCH_BITS = 18
 SUFFIX_RANGES = 32
 #: Candidate pairs (two members each) up to which they are broadcast to the sets.
 MAX_BROADCAST_MEMBERS = 500_000
-#: Bounds of a worker's memory of tokens and of the sets it has sent.
-MAX_TOKENS = 500_000
+#: Bound of a worker's memory of the sets it has sent.
 MAX_SENT = 500_000
 
-_TOKENS = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]").findall
+#: Bytes of text that are tokenised at a time; a longer record is taken alone.
+CHUNK_BYTES = 1_500_000
+
+_SPACES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32]
+#: White space beyond ASCII, as code points (fixed values).
+_WIDE_SPACES = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+_IS_WORD = np.zeros(256, dtype=bool)
+_IS_WORD[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_"]] = True
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[_SPACES] = True
+#: Bytes of the character that a leading byte starts; 0 for those within a character.
+_LENGTH = np.array([1] * 128 + [0] * 64 + [2] * 32 + [3] * 16 + [4] * 16)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 class GramSets:
-    """Sets of hashed token n-grams of texts."""
+    """Sets of hashed token n-grams, taken from the buffers of Arrow batches.
 
-    def __init__(self, n: int) -> None:
-        import xxhash
+    A token is a run of ASCII letters, digits and underscores, or another single
+    character that is not white space. The bytes of many texts are classified at
+    once, a token's hash is the difference of two running sums of a polynomial
+    hash, and a gram's hash mixes those of its tokens; no token becomes an object.
+    """
 
+    def __init__(self, n: int) -> None:
         self.n = n
-        self._digest = xxhash.xxh3_64_intdigest
-        self._known: dict[str, int] = {}
         rng = np.random.default_rng(20240229)
-        self._factors = rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def _hash(self, token: str) -> int:
-        h = self._known.get(token)
-        if h is None:
-            if len(self._known) >= MAX_TOKENS:
-                self._known.clear()
-            h = self._known[token] = self._digest(token.encode("utf-8", "surrogatepass"))
-        return h
-
-    def of(self, sources: list[str | None] | None) -> np.ndarray:
-        """The sorted distinct n-grams within any one source."""
-        parts = []
-        for source in sources or []:
-            tokens = _TOKENS(source) if source else []
-            if len(tokens) < self.n:
-                continue
-            h = np.fromiter(map(self._hash, tokens), np.uint64, len(tokens))
-            size = len(h) - self.n + 1
-            g = np.zeros(size, dtype=np.uint64)
-            for i, f in enumerate(self._factors):
-                g += h[i : i + size] * f
-            g ^= g >> np.uint64(29)
-            g *= np.uint64(0xBF58476D1CE4E5B9)
-            g ^= g >> np.uint64(32)
-            parts.append(g)
-        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+        self._factors = rng.integers(1, 2**62, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self._up = self._down = np.zeros(0, dtype=np.uint64)
+
+    def tokens(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and hash of each token; ``starts`` are the first bytes of the texts."""
+        size = len(data)
+        edge = np.zeros(size + 1, dtype=bool)
+        edge[starts] = True
+        edge[size] = True
+        word = _IS_WORD[data]
+        first = word & (edge[:-1] | ~np.r_[False, word[:-1]])
+        last = word & (edge[1:] | ~np.r_[word[1:], False])
+        length = _LENGTH[data]
+        other = ~word & ~_IS_SPACE[data] & (length > 0)
+        wide = np.flatnonzero(length > 1)
+        if len(wide):
+            padded = np.r_[data, np.zeros(3, np.uint8)].astype(np.int64)
+            k = length[wide]
+            two = (padded[wide] & 31) << 6 | padded[wide + 1] & 63
+            three = (padded[wide] & 15) << 12 | (padded[wide + 1] & 63) << 6 | padded[wide + 2] & 63
+            point = np.where(k == 2, two, np.where(k == 3, three, 0))
+            other[wide[np.isin(point, _WIDE_SPACES)]] = False
+        at = np.flatnonzero(first | other)
+        end = at + length[at]
+        end[first[at]] = np.flatnonzero(last) + 1
+        if len(self._up) < size + 1:
+            self._up, self._down = _powers(_STEP, size + 1), _powers(_BACK, size + 1)
+        sums = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._up[:size], out=sums[1:])
+        h = (sums[end] - sums[at]) * self._down[at] + (end - at).astype(np.uint64) * _MIX
+        h ^= h >> np.uint64(31)
+        return at, h * _MIX
+
+    def of(self, sources: pa.ListArray) -> list[np.ndarray]:
+        """For each row the sorted distinct n-grams within any one of its texts."""
+        sizes = np.r_[0, np.cumsum(_dense(pc.fill_null(pc.list_value_length(sources), 0)))]
+        texts = pc.fill_null(pc.list_flatten(sources).cast(pa.large_string()), "")
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        ends = offsets[sizes]
+        out: list[np.ndarray] = []
+        row = 0
+        while row < len(sources):
+            upto = max(row + 1, int(np.searchsorted(ends, ends[row] + CHUNK_BYTES, side="right")) - 1)
+            out += self._rows(data, offsets, sizes[row : upto + 1])
+            row = upto
+        return out
+
+    def _rows(self, data: np.ndarray, offsets: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        low, high = offsets[sizes[0]], offsets[sizes[-1]]
+        begin = offsets[sizes[0] : sizes[-1]] - low
+        at, h = self.tokens(data[low:high], begin)
+        rows = len(sizes) - 1
+        if len(h) < self.n:
+            return [np.zeros(0, dtype=np.uint64)] * rows
+        # empty texts share their first byte with the next one, which then owns it
+        text = np.searchsorted(begin, at, side="right") - 1
+        size = len(h) - self.n + 1
+        g = np.zeros(size, dtype=np.uint64)
+        for i, f in enumerate(self._factors):
+            g += h[i : i + size] * f
+        g ^= g >> np.uint64(29)
+        g *= _MIX
+        g ^= g >> np.uint64(32)
+        within = text[:size] == text[self.n - 1 :]
+        g, owner = g[within], np.searchsorted(sizes, text[:size][within] + sizes[0], side="right") - 1
+        cuts = np.searchsorted(owner, np.arange(rows + 1))
+        return [np.unique(g[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _dense(a: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return a.to_numpy(zero_copy_only=False) if isinstance(a, pa.Array) else a.to_numpy()
 
 
 def set_key(grams: np.ndarray) -> int:
@@ -98,7 +166,7 @@ def set_key(grams: np.ndarray) -> int:
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     grams = GramSets(n)
     for batch in batches:
-        yield batch, [grams.of(s.as_py()) for s in batch.column(batch.num_columns - 1)]
+        yield batch, grams.of(batch.column(batch.num_columns - 1))
 
 
 def _classes(df: DataFrame, n: int) -> DataFrame:
