@@ -9,6 +9,8 @@ joined, on the gram. A joined pair is kept if it passes
 * the length filter: the smaller set has at least t times the larger one's size,
 * the positional filter: what lies behind the shared gram can still give the
   overlap needed,
+* prefixes are SHARED - 1 grams longer than one common gram would need, so a
+  pair must share SHARED grams in them (or all that it needs, if fewer),
 * once the sets are at hand, the suffix filter: the counts of both sets in
   ranges of the gram space bound the overlap from above,
 
@@ -38,6 +40,8 @@ from pyspark.sql import functions as F
 from ..storage import small_or_plain, write_table
 
 SKETCH_BITS = 18
+#: Grams that two prefixes must have in common; prefixes are that much longer.
+SHARED = 8
 #: Ranges of the gram space that the suffix filter compares.
 SUFFIX_RANGES = 32
 #: Candidate pairs (two members each) up to which they are broadcast to the sets.
@@ -206,7 +210,7 @@ def _entries(df: DataFrame, n: int, num: int, den: int, sketch) -> DataFrame:  #
                 if len(sent) >= MAX_SENT:
                     sent.clear()
                 sent.add(key)
-                length = len(s) - -(-num * len(s) // den) + 1
+                length = min(len(s), len(s) - -(-num * len(s) // den) + SHARED)
                 rare = s[np.lexsort((s, counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))][:length]
                 grams.append((rare & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
                 classes.append(np.full(length, key, np.int64))
@@ -232,13 +236,16 @@ def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
     smaller_first = (na < nb) | ((na == nb) & (F.col("a.cls") < F.col("b.cls")))
     length = na * den >= nb * num
     # of the smaller set only the shorter prefix is needed, since the other one is at least as large
-    short = F.col("a.pos") <= na - F.ceil(F.lit(2 * num) * na / F.lit(num + den))
-    position = F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= _overlap(num, den, na, nb)
+    short = F.col("a.pos") < na - F.ceil(F.lit(2 * num) * na / F.lit(num + den)) + SHARED
+    needed = _overlap(num, den, na, nb)
+    position = F.least(na - F.col("a.pos"), nb - F.col("b.pos")) > needed - F.least(needed, F.lit(SHARED))
     return (
         a.join(b, F.col("a.gram") == F.col("b.gram"))
         .where(smaller_first & length & short & position)
-        .select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"))
-        .distinct()
+        .groupBy(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.first(F.least(needed, F.lit(SHARED))).alias("least"))
+        .where("shared >= least")
+        .select("cls_a", "cls_b")
     )
 
 
