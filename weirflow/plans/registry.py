@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import general
+from . import general, graphs
 
-FLAGSHIP = "p5_found"
-QUERIES = {**general.QUERIES}
-ORACLE = {**general.ORACLE}
+FLAGSHIP = "gr10_backward_reach"
+_BOOKS = (graphs.book,)
+QUERIES = {**general.QUERIES, **{k: v for b in _BOOKS for k, v in b.queries.items()}}
+ORACLE = {**general.ORACLE, **{k: v for b in _BOOKS for k, v in b.sql.items()}}
