@@ -236,7 +236,8 @@ def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
     smaller_first = (na < nb) | ((na == nb) & (F.col("a.cls") < F.col("b.cls")))
     length = na * den >= nb * num
     # of the smaller set only the shorter prefix is needed, since the other one is at least as large
-    short = F.col("a.pos") < na - F.ceil(F.lit(2 * num) * na / F.lit(num + den)) + SHARED
+    # put over both sides so that it is not pushed below the exchange, which the two sides then share
+    short = F.when(nb >= na, F.col("a.pos")) < na - F.ceil(F.lit(2 * num) * na / F.lit(num + den)) + SHARED
     needed = _overlap(num, den, na, nb)
     position = F.least(na - F.col("a.pos"), nb - F.col("b.pos")) > needed - F.least(needed, F.lit(SHARED))
     return (
