@@ -74,9 +74,9 @@ class Requirement:
 
 def named_literal(props: str, key: str, literals: Sequence[str], banned: bool) -> Column:
     """Requirement on a keyword argument held in JSON: an absent one fails where required and holds
-    where banned; one that is there but is no plain text holds for both."""
+    where banned; one that is there but is no plain text or number holds for both."""
     there = F.col(props).rlike(rf'"{key}"\s*:')
-    plain = F.col(props).rlike(rf'"{key}"\s*:\s*"')
+    plain = F.col(props).rlike(rf'"{key}"\s*:\s*["0-9]')
     value = F.get_json_object(props, f"$.{key}")
     if banned:
         return F.when(there & plain, ~value.isin(*literals)).otherwise(True)

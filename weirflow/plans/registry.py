@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general, graphs
+from . import general, graphs, joining, policies
 
 FLAGSHIP = "gr10_backward_reach"
-_BOOKS = (graphs.book,)
+_BOOKS = (graphs.book, policies.book, joining.book)
 QUERIES = {**general.QUERIES, **{k: v for b in _BOOKS for k, v in b.queries.items()}}
 ORACLE = {**general.ORACLE, **{k: v for b in _BOOKS for k, v in b.sql.items()}}
