@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Folders that are not walked (fixed values).
 PRUNED = ("target", "node_modules", "dist", "build", "vendor", "out", ".next", ".nuxt", ".cache", "cache", "coverage", "cypress", "playwright", "storybook-static")
-#: Hidden folders that are walked.
-HIDDEN_WALKED = (".github", ".storybook", ".vitepress")
+#: Hidden folders that are walked (fixed values).
+HIDDEN_WALKED = (".vitepress",)
 #: Endings of bundles (fixed values).
 BUNDLES = (".min.js", ".bundle.js", ".chunk.js", ".debug.js")
 MAX_BYTES = 500_000
