@@ -13,6 +13,7 @@ complete.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,20 +55,23 @@ def reach(roots: DataFrame, edges: DataFrame, stops: DataFrame | None = None, ma
     raise RuntimeError(f"states left after {max_rounds} rounds")
 
 
-def reach_in_context(roots: DataFrame, edges: DataFrame, stops: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
+def reach_in_context(roots: DataFrame, edges: DataFrame, stops: DataFrame | None = None, carry: Sequence[str] = (), max_rounds: int = 400) -> DataFrame:
     """Reachability that leaves a callee only to the site it was entered from.
 
     ``edges`` (node, next, kind, site): kind 'enter' steps from a call's result
     into the callee and pushes its site, 'leave' steps from a parameter to the
     argument of a call and needs that site on top (or an empty chain), 'jump'
-    forgets the chain, anything else stays in the function.
+    forgets the chain, anything else stays in the function. ``carry`` names
+    columns of the roots that states keep; ``stops`` holds node and any of them
+    on which a stop depends. States: root, carry..., node, ctx, depth, parent.
     """
     empty = F.array().cast("array<string>")
-    frontier = write_table(roots.select("root", "node").distinct().withColumns({"ctx": empty, "depth": F.lit(0)}), "reach")
-    walked = edges.select("node", F.col("next").alias("_to"), "kind", "site").distinct()
-    if stops is not None:
-        walked = walked.join(stops.select("node").distinct(), "node", "left_anti")
-    walked = small_or_plain(write_table(walked, "edges"), MAX_BROADCAST_EDGES)
+    state = ["root", *carry, "node", "ctx"]
+    none = F.lit(None).cast("string")
+    frontier = write_table(roots.select("root", *carry, "node").distinct().withColumns({"ctx": empty, "depth": F.lit(0), "parent": none}), "reach")
+    walked = write_table(edges.where("node is not null and next is not null").select("node", F.col("next").alias("_to"), "kind", "site").distinct(), "edges")
+    walked = small_or_plain(walked, MAX_BROADCAST_EDGES)
+    ends = None if stops is None else write_table(stops.distinct(), "stops")
     levels = [frontier]
     top = F.try_element_at("ctx", F.lit(-1))
     after = (
@@ -77,10 +81,13 @@ def reach_in_context(roots: DataFrame, edges: DataFrame, stops: DataFrame | None
         .otherwise(F.col("ctx"))
     )
     for depth in range(1, max_rounds + 1):
-        step = frontier.join(walked, "node").where((F.col("kind") != "leave") | (F.size("ctx") == 0) | (top == F.col("site")))
-        step = step.select("root", F.col("_to").alias("node"), after.alias("ctx")).distinct()
-        seen = reduce(DataFrame.unionByName, [x.select("root", "node", "ctx") for x in levels])
-        frontier = write_table(step.join(seen, ["root", "node", "ctx"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
+        going = frontier if ends is None else frontier.join(ends, ends.columns, "left_anti")
+        step = going.join(walked, "node").where((F.col("kind") != "leave") | (F.size("ctx") == 0) | (top == F.col("site")))
+        step = step.select("root", *carry, F.col("_to").alias("node"), after.alias("ctx"), F.col("node").alias("_from"))
+        step = step.groupBy(*state).agg(F.min("_from").alias("parent"))
+        seen = reduce(DataFrame.unionByName, [x.select(*state) for x in levels])
+        new = step.join(seen, state, "left_anti").select(*state, F.lit(depth).alias("depth"), "parent")
+        frontier = write_table(new, "reach")
         if frontier.isEmpty():
             return reduce(DataFrame.unionByName, levels)
         levels.append(frontier)
