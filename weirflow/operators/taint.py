@@ -14,25 +14,31 @@ from pyspark.sql import functions as F
 from ..functions import severity as V
 from ..functions.names import callee_matches, last_segment
 from ..functions.text import fingerprint
-from ..storage import write_table
+from ..storage import small_or_plain, write_table
 from . import facts as K
 from . import reach as R
 from .program import Program
 from .windows import first_per
 
 
+#: Facts given by the caller up to which they are broadcast.
+MAX_BROADCAST_FACTS = 100_000
+
+
 def sink_roots(p: Program, sinks: DataFrame | None = None) -> DataFrame:
     """root, call, slot, node, sink, label, role: the arguments of armed sink calls.
 
     A sink that needs a receiver is armed by its last segment on a call through
     one; any other by its full name. Functions of the program are no sinks.
     """
-    sinks = F.broadcast(sinks if sinks is not None else K.sinks(p.lowered.sparkSession))
+    sinks = small_or_plain(sinks, MAX_BROADCAST_FACTS) if sinks is not None else F.broadcast(K.sinks(p.lowered.sparkSession))
     calls = p.part("calls").where("not again").join(p.bindings.select("call"), "call", "left_anti")
     tail = last_segment(F.col("resolved"))
-    hit = calls.select("family", "call", "callee", "resolved", tail.alias("tail")).join(sinks, "family")
-    armed = F.when(F.col("receiver"), (F.col("tail") == F.col("sink")) & F.contains("resolved", F.lit("."))).otherwise(F.col("resolved") == F.col("sink"))
-    armed_calls = first_per(hit.where(armed), ["call"], F.length("sink").desc(), F.col("label"))
+    c = calls.select("family", "call", "callee", "resolved", tail.alias("tail"))
+    # two equal joins instead of one with an OR
+    named = c.withColumn("sink", F.col("resolved")).join(sinks.where("not receiver"), ["family", "sink"])
+    method = c.where(F.contains("resolved", F.lit("."))).withColumn("sink", F.col("tail")).join(sinks.where("receiver"), ["family", "sink"])
+    armed_calls = first_per(named.unionByName(method), ["call"], F.length("sink").desc(), F.col("label"))
     args = p.part("args").select("call", "slot", "node", "literal")
     roots = armed_calls.join(args, "call").where((F.size("slots") == 0) | F.array_contains("slots", F.col("slot"))).where("slot >= 0")
     return roots.select(F.concat_ws("|", "call", "slot").alias("root"), "call", "slot", "node", "sink", "label", V.role_of(F.col("label")).alias("role"))
@@ -45,7 +51,7 @@ def source_nodes(p: Program, sources: DataFrame | None = None) -> DataFrame:
 
     n = p.part("nodes").where("path <> '' and kind in ('load', 'call', 'global', 'param')").select("family", "node", "path")
     asked = n.select("family", "node", "path", F.explode(dotted_prefixes(F.col("path"))).alias("pattern"))
-    hit = asked.join(F.broadcast(sources), ["family", "pattern"])
+    hit = asked.join(small_or_plain(sources, MAX_BROADCAST_FACTS), ["family", "pattern"])
     # a bare name that is only a parameter is no builtin
     params = p.part("nodes").where("kind = 'param'").select("node")
     return hit.join(params, "node", "left_anti").groupBy("node").agg(F.min("path").alias("source"))
@@ -56,7 +62,7 @@ def stops(p: Program, roots: DataFrame, source: DataFrame, sanitizers: DataFrame
     labels = F.broadcast(roots.select("label", "role").distinct())
     san = sanitizers if sanitizers is not None else K.sanitizers(p.lowered.sparkSession)
     calls = p.part("calls").where("result is not null").select("family", F.col("result").alias("node"), "resolved")
-    named = calls.join(F.broadcast(san), "family").where(callee_matches(F.col("sanitizer"), F.col("resolved")))
+    named = calls.join(small_or_plain(san, MAX_BROADCAST_FACTS), "family").where(callee_matches(F.col("sanitizer"), F.col("resolved")))
     works = named.join(labels).where(V.defeats(V.sanitizer_kind(F.col("effect")), F.col("role"), F.col("label"))).select("node", "label", F.lit("sanitizer").alias("reason"))
     guard = p.part("nodes").where("kind = 'guard'").select("node").join(labels).select("node", "label", F.lit("guard").alias("reason"))
     src = source.select("node").join(labels).select("node", "label", F.lit("source").alias("reason"))
