@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 LOW, HIGH = -(2**63), 2**63 - 1
 
 
+def _frame(df: pd.DataFrame, columns: dict[str, list]) -> pd.DataFrame:
+    """Result rows of one function; plain objects, so that none at all has a type too."""
+    n = len(next(iter(columns.values())))
+    return pd.DataFrame({"fn": pd.Series([df["fn"].iloc[0]] * n, dtype=object), **{k: pd.Series(v, dtype=object) for k, v in columns.items()}})
+
+
 def idoms(succ: dict[int, list[int]], entry: int) -> dict[int, int]:
     """Immediate dominators of the reachable blocks, by intersecting along reverse post-order."""
     order: list[int] = []
@@ -77,7 +83,7 @@ def dominators(blocks: DataFrame, cfg: DataFrame, entry: int = 0) -> DataFrame:
                 if idom[a] == a:
                     break
                 a = idom[a]
-        return pd.DataFrame({"fn": df["fn"].iloc[0], "block": [b for b, _ in out], "dom": [d for _, d in out]})
+        return _frame(df, {"block": [b for b, _ in out], "dom": [d for _, d in out]})
 
     return rows.groupBy("fn").applyInPandas(one, "fn string, block long, dom long")
 
@@ -119,7 +125,7 @@ def phi_places(defs: DataFrame, cfg: DataFrame, entry: int = 0) -> DataFrame:
                         out.add((var, f))
                         work.append(f)
         out = sorted(out)
-        return pd.DataFrame({"fn": df["fn"].iloc[0], "var": [v for v, _ in out], "block": [b for _, b in out]}, columns=["fn", "var", "block"])
+        return _frame(df, {"var": [v for v, _ in out], "block": [b for _, b in out]})
 
     return rows.groupBy("fn").applyInPandas(one, "fn string, var string, block long")
 
@@ -215,7 +221,7 @@ def value_intervals(instrs: DataFrame, branches: DataFrame, cfg: DataFrame, entr
                     if n not in work:
                         work.append(n)
         out = [(b, v, lo, hi) for b, s in sorted(outs.items()) for v, (lo, hi) in sorted(s.items())]
-        return pd.DataFrame({"fn": df["fn"].iloc[0], "block": [o[0] for o in out], "var": [o[1] for o in out], "low": [o[2] for o in out], "high": [o[3] for o in out], "converged": not work}, columns=["fn", "block", "var", "low", "high", "converged"])
+        return _frame(df, {"block": [o[0] for o in out], "var": [o[1] for o in out], "low": [o[2] for o in out], "high": [o[3] for o in out], "converged": [not work] * len(out)})
 
     return rows.groupBy("fn").applyInPandas(one, "fn string, block long, var string, low long, high long, converged boolean")
 
@@ -256,7 +262,7 @@ def points_to(constraints: DataFrame, max_passes: int = 10_000) -> DataFrame:
                 if r.op == "load":
                     pts[r.dest] |= pts[r.src]
         out = sorted((v, loc) for v, ls in pts.items() for loc in ls)
-        return pd.DataFrame({"fn": df["fn"].iloc[0], "var": [v for v, _ in out], "loc": [x for _, x in out]}, columns=["fn", "var", "loc"])
+        return _frame(df, {"var": [v for v, _ in out], "loc": [x for _, x in out]})
 
     return constraints.select("fn", "op", "dest", "src", "field").groupBy("fn").applyInPandas(one, "fn string, var string, loc string")
 
@@ -313,7 +319,7 @@ def lifetimes(events: DataFrame, cfg: DataFrame, entry: int = 0) -> DataFrame:
                 elif op in ("free", "escape"):
                     s[loc] = frozenset({"freed" if op == "free" else "gone"})
         out = sorted(found)
-        return pd.DataFrame({"fn": df["fn"].iloc[0], "rule": [o[0] for o in out], "loc": [o[1] for o in out], "block": [o[2] for o in out], "idx": [o[3] for o in out]}, columns=["fn", "rule", "loc", "block", "idx"])
+        return _frame(df, {"rule": [o[0] for o in out], "loc": [o[1] for o in out], "block": [o[2] for o in out], "idx": [o[3] for o in out]})
 
     return rows.groupBy("fn").applyInPandas(one, "fn string, rule string, loc string, block long, idx long")
 

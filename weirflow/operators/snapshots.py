@@ -40,7 +40,8 @@ def snapshot_changes(
     ``rows`` holds (group, version, key..., fields...); ``fields`` are
     comparable values (text, numbers or sorted arrays). ``versions`` lists all
     (group, version); by default those of ``rows``. Result: group, version (of
-    the later snapshot), key..., change_kind, changed_fields (sorted).
+    the later snapshot), key..., change_kind, changed_fields
+    (sorted; all of them for an added or removed record).
     """
     if versions is None:
         versions = rows.select(group, version)

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.severity import default_level
 from ..operators import mining as M
-from ..operators import report, taint
+from ..operators import report
 from ..scan import Scan, ScanOptions
 from ..session import table
 from ..sources import files
@@ -68,11 +69,21 @@ def chk_registry(spark: SparkSession, d: str) -> DataFrame:
     return Scan(sample_files(spark, d)).checks.groupBy("check", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@book.query("snk03_annotations")
+_ESC = "replace(replace(replace({0}, '%', '%25'), chr(13), '%0D'), chr(10), '%0A')"
+_ESC_ALL = f"replace(replace({_ESC}, ':', '%3A'), ',', '%2C')"
+
+
+@book.query("snk03_annotations", f"""
+with c as (select finding_id, sink_role, sink, source_desc, unnest(cut_sites) as s from sink_findings),
+a as (select case when sink_role in ('execution', 'other') then 'error' when sink_role in ('resource', 'storage', 'crypto', 'xss') then 'warning' else 'notice' end as level, s.file as file, s.line as line, s.kind as rule_id, source_desc, sink from c where s is not null and s.file is not null and s.line is not null and s.kind is not null)
+select '::' || level || ' file=' || {_ESC_ALL.format('file')} || ',line=' || line || ',title=' || {_ESC_ALL.format('rule_id')} || '::' || {_ESC.format("concat_ws(' ', source_desc, 'reaches', sink)")} as value from a
+""")
 def snk03(spark: SparkSession, d: str) -> DataFrame:
-    """Annotations of what the learned sinks find, and of all checks."""
-    scan = Scan(sample_files(spark, d), ScanOptions(sinks=learned_sinks(spark, d)))
-    return report.annotations(taint.advisories(scan.findings))
+    """Annotation lines of all cut sites of findings."""
+    c = table(spark, d, "sink_findings").select("sink_role", "sink", F.col("source_desc").alias("source"), F.explode("cut_sites").alias("s"))
+    level = F.coalesce(default_level(F.col("sink_role")), F.lit("info"))
+    a = c.select("sink", "source", level.alias("severity"), F.col("s.file").alias("file"), F.col("s.line").alias("line"), F.col("s.kind").alias("rule_id"))
+    return report.annotations(a.where("file is not null and line is not null and rule_id is not null"))
 
 
 @book.query("str01_watch", "select md5(concat_ws(chr(31), user_id, event_type)) as fingerprint, 0 as round from events group by 1")
