@@ -51,8 +51,8 @@ def leaf(value: Column, mantissa: int = MANTISSA) -> Column:
 
 
 def leaf_range(leaves: np.ndarray, mantissa: int = MANTISSA) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest and the largest value of each leaf."""
-    leaves = np.asarray(leaves, dtype=np.int64)
+    """The smallest and the largest value of each leaf; those beyond the last used one count as it."""
+    leaves = np.minimum(np.asarray(leaves, dtype=np.int64), ((63 - mantissa + 1) << mantissa) - 1)
     block = np.maximum((leaves >> mantissa) - 1, 0)
     mant = leaves - (block << mantissa)
     low = mant << block
