@@ -56,7 +56,7 @@ def leaf_range(leaves: np.ndarray, mantissa: int = MANTISSA) -> tuple[np.ndarray
     block = np.maximum((leaves >> mantissa) - 1, 0)
     mant = leaves - (block << mantissa)
     low = mant << block
-    return low, low + (np.int64(1) << block) - 1
+    return low, low + ((np.int64(1) << block) - 1)
 
 
 def fold(nodes: np.ndarray, counts: np.ndarray, k: int = K, height: int = HEIGHT) -> tuple[np.ndarray, np.ndarray]:
