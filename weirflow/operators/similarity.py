@@ -11,19 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import shingles
 from ..storage import write_table
 
 
 def shingle_sets(df: DataFrame, key: str, words: Column, n: int, scope: str | None = None) -> DataFrame:
     """id, scope and the sorted set of hashed shingles; records without words have none and are left out."""
     toks = df.select(F.col(key).alias("id"), (F.col(scope) if scope else F.lit("")).alias("scope"), words.alias("w")).where(F.size("w") > 0)
-    return toks.select("id", "scope", F.array_sort(F.array_distinct(F.transform(shingles(F.col("w"), n), lambda s: F.xxhash64(s)))).alias("s"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, F.lit(n))))
+    alone = F.transform("w", lambda t: F.xxhash64(F.array(t)))
+    return toks.select("id", "scope", F.array_sort(F.array_distinct(F.when(F.size("w") < n, alone).otherwise(runs))).alias("s"))
 
 
 def alike(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Members (id, cls) and pairs of classes (a, b) of one scope with Jaccard of at least num / den."""
-    keyed = sets.withColumn("k", F.xxhash64("scope", "s"))
+    keyed = write_table(sets.withColumn("k", F.xxhash64("scope", "s")), "sets")
     cls = keyed.groupBy("k").agg(F.min("id").alias("cls"))
     members = write_table(keyed.select("id", "k").join(cls, "k").select("id", "cls"), "members")
     reps = write_table(keyed.join(members.where("id = cls").select("id"), "id", "left_semi").select("id", "scope", "s", F.size("s").alias("n")), "sets")
