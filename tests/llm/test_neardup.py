@@ -50,7 +50,9 @@ def families():
     return out
 
 
-def test_pairs_and_links_against_brute_force(spark, rows):
+@pytest.mark.parametrize("hot", [4_000, 5])
+def test_pairs_and_links_against_brute_force(spark, rows, monkeypatch, hot):
+    monkeypatch.setattr(neardup, "HOT", hot)
     data = families()
     df = spark.createDataFrame(data, "id bigint, p array<string>, n array<string>")
     none = F.array().cast("array<string>")

@@ -14,7 +14,8 @@ joined, on the gram. A joined pair is kept if it passes
 * once the sets are at hand, the suffix filter: the counts of both sets in
   ranges of the gram space bound the overlap from above,
 
-and each pair left is verified once, exactly, on the whole sets.
+and each pair left is verified once, exactly, on the whole sets. A gram that very
+many sets have (by the sketch) is salted, so no task gets all of its pairs.
 
 Records with equal sets form a class and take part once, however many there
 are: the entries of copies fall together before the shuffle (per task) and
@@ -42,6 +43,8 @@ from ..storage import small_or_plain, write_table
 SKETCH_BITS = 18
 #: Grams that two prefixes must have in common; prefixes are that much longer.
 SHARED = 8
+#: Estimated frequency that one task takes of a gram; grams of more are salted.
+HOT = 4_000
 #: Ranges of the gram space that the suffix filter compares.
 SUFFIX_RANGES = 32
 #: Candidate pairs (two members each) up to which they are broadcast to the sets.
@@ -196,14 +199,19 @@ def _classes(df: DataFrame, n: int) -> DataFrame:
 
 
 def _entries(df: DataFrame, n: int, num: int, den: int, sketch) -> DataFrame:  # noqa: ANN001
-    """The prefix grams of each set: gram (32 bits, enough to find candidates), cls, n, pos."""
-    kind = pa.schema([("gram", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    """The prefix grams of each set: gram (32 bits, enough to find candidates), cls, n, pos, role, salt.
+
+    Role 0 is on both sides of the join. The entries of a hot gram are spread
+    over salts on the one side (role 1) and repeated for each on the other (2).
+    """
+    kind = pa.schema([("gram", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("role", pa.int32()), ("salt", pa.int32())])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
+        salts = 1 + np.maximum(counts - 4 * int(counts.mean()), 0) // HOT
         sent: set[int] = set()
         for _, sets in _sets(batches, n):
-            grams, classes, sizes, places = [], [], [], []
+            grams, classes, sizes, places, roles, salted = [], [], [], [], [], []
             for s in sets:
                 if not len(s) or (key := set_key(s)) in sent:
                     continue
@@ -212,14 +220,24 @@ def _entries(df: DataFrame, n: int, num: int, den: int, sketch) -> DataFrame:  #
                 sent.add(key)
                 length = min(len(s), len(s) - -(-num * len(s) // den) + SHARED)
                 rare = s[np.lexsort((s, counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))][:length]
-                grams.append((rare & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-                classes.append(np.full(length, key, np.int64))
-                sizes.append(np.full(length, len(s), np.int32))
-                places.append(np.arange(length, dtype=np.int32))
+                k = salts[(rare >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                pos = np.arange(length, dtype=np.int32)
+                role, salt = np.where(k > 1, 1, 0).astype(np.int32), np.where(k > 1, key % k, 0).astype(np.int32)
+                if (hot := np.flatnonzero(k > 1)).size:
+                    again = np.repeat(hot, k[hot])
+                    pos = np.r_[pos, again.astype(np.int32)]
+                    role = np.r_[role, np.full(len(again), 2, np.int32)]
+                    salt = np.r_[salt, np.concatenate([np.arange(x, dtype=np.int32) for x in k[hot]])]
+                grams.append((rare[pos] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+                classes.append(np.full(len(pos), key, np.int64))
+                sizes.append(np.full(len(pos), len(s), np.int32))
+                places.append(pos)
+                roles.append(role)
+                salted.append(salt)
             if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, classes, sizes, places)], schema=kind)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, classes, sizes, places, roles, salted)], schema=kind)
 
-    return df.mapInArrow(prefixes, "gram int, cls long, n int, pos int")
+    return df.mapInArrow(prefixes, "gram int, cls long, n int, pos int, role int, salt int")
 
 
 def _overlap(num: int, den: int, a: Column, b: Column) -> Column:
@@ -230,7 +248,7 @@ def _overlap(num: int, den: int, a: Column, b: Column) -> Column:
 def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of classes (the smaller set first) that share a prefix gram and pass the filters."""
     # both sides read the same exchange; copies that came from several tasks fall together here
-    once = entries.repartition("gram").dropDuplicates(["gram", "cls", "n", "pos"])
+    once = entries.repartition("gram", "salt").dropDuplicates(["gram", "cls", "n", "pos", "role", "salt"])
     a, b = once.alias("a"), once.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
     smaller_first = (na < nb) | ((na == nb) & (F.col("a.cls") < F.col("b.cls")))
@@ -238,11 +256,12 @@ def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
     # of the smaller set only the shorter prefix is needed, since the other one is at least as large
     # put over both sides so that it is not pushed below the exchange, which the two sides then share
     short = F.when(nb >= na, F.col("a.pos")) < na - F.ceil(F.lit(2 * num) * na / F.lit(num + den)) + SHARED
+    sides = (F.when(nb >= na, F.col("a.role")) != 2) & (F.when(nb >= na, F.col("b.role")) != 1)
     needed = _overlap(num, den, na, nb)
     position = F.least(na - F.col("a.pos"), nb - F.col("b.pos")) > needed - F.least(needed, F.lit(SHARED))
     return (
-        a.join(b, F.col("a.gram") == F.col("b.gram"))
-        .where(smaller_first & length & short & position)
+        a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.salt") == F.col("b.salt")))
+        .where(smaller_first & length & short & position & sides)
         .groupBy(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"))
         .agg(F.count(F.lit(1)).alias("shared"), F.first(F.least(needed, F.lit(SHARED))).alias("least"))
         .where("shared >= least")
