@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirflow.frontends import lexical, python_ast
-from weirflow.operators import checks, intra, report, taint
+from weirflow.operators import checks, intra, mining, report, taint
 from weirflow.scan import Scan, ScanOptions, identity
 
 HEAD = "import os, shlex\nfrom flask import request\n"
@@ -141,3 +141,40 @@ def test_frontends_alone():
     assert [(c["callee"], c["line"]) for c in lexical.lower("a.vue", vue)["calls"]] == [("foo", 5)]
     go = lexical.lower("a.go", 'package a\nfunc (s *S) Run(q string) error {\n\tc := "x" + q\n\treturn exec.Command(c, "y")\n}\n')
     assert [f["qual"] for f in go["functions"]] == ["<module>", "Run"] and go["calls"][0]["callee"] == "exec.Command" and go["partial"]
+
+
+def test_direct_references_and_bounds(spark, rows):
+    src = (
+        HEAD + "from pydantic import Field\ndef a(db):\n    return db.find_one({'user_id': request.args['u']})\ndef b(db):\n    check_owner()\n    return db.find_one({'user_id': request.args['u']})\n"
+        "@login_required\ndef c(q):\n    return q.filter_by(id=request.args['i'])\ndef d(q):\n    return q.filter_by(color=request.args['i'])\ndef e(q):\n    return q.filter_by(id=request.args['i'])\n"
+        "n = Field(description='at most 10 items')\nm = Field(description='at most 10 items', le=10)\nk = Field(description='a name')\n"
+    )
+    p = Scan(spark.createDataFrame([("m.py", src), ("z.py", "x = Field(description='max 3')\n")], "path string, source string")).program
+    assert rows(taint.direct_references(p), "fn") == [("m.py::a",), ("m.py::e",)]
+    assert rows(checks.schema_bounds(p), "file", "line") == [("m.py", 16), ("z.py", 1)]
+    assert rows(checks.importing(p, "pydantic")) == [("m.py",)]
+    assert checks.named_argument(p, "Field", "le", "r", required=("10",), package="pydantic").where("file = 'z.py'").count() == 0
+
+
+def test_learning_from_pairs_by_scanning(spark, rows):
+    bad = HEAD + "def v():\n    run_it(request.args['q'])\n"
+    good = HEAD + "def v():\n    run_it('ls')\n"
+    echo = HEAD + "def v():\n    x = wrap(request.args['q'])\n    run_it(x)\n"
+    files_ = [("f1/positive/0.py", bad), ("f1/negative/0.py", good), ("f2/positive/0.py", good), ("f2/negative/0.py", bad.replace("run_it", "noisy")), ("f3/positive/0.py", bad.replace("run_it", "noisy")), ("f3/negative/0.py", good), ("f4/positive/0.py", echo)]
+    scan = Scan(spark.createDataFrame(files_, "path string, source string"))
+    samples = spark.createDataFrame([(f, int(f[1]), f.split("/")[1]) for f, _ in files_], "file string, fam_no int, variant string")
+    relevant = scan.program.part("calls").select("file", F.col("callee").alias("name")).join(samples, "file").select("fam_no", "name").distinct()
+
+    def alerts(facts):
+        sinks = spark.createDataFrame([("python", c.name, "command", [0], False) for c in facts], "family string, sink string, label string, slots array<int>, receiver boolean")
+        found = scan.with_options(ScanOptions(sinks=sinks)).findings
+        return mining.family_alerts(found, checks.complexity(scan.program, 10**6), samples)
+
+    kept, lost = mining.replay_gate([mining.Candidate("run_it", "sink"), mining.Candidate("noisy", "sink")], alerts, relevant)
+    assert [c.name for c in kept] == ["run_it"] and [(c.name, why) for c, why in lost] == [("noisy", "breaks a family")]
+    sinks = spark.createDataFrame([("python", n, "command", [0], False) for n in ("run_it", "wrap")], "family string, sink string, label string, slots array<int>, receiver boolean")
+    assert rows(mining.downstream_echoes(scan.with_options(ScanOptions(sinks=sinks)).findings)) == [("run_it", "wrap")]
+    lit = mining.literal_arguments(scan.program.part("calls"), scan.program.part("args"))
+    assert rows(lit.where("resolved = 'run_it'")) == [("run_it", 0, None, "ls", 3)]
+    names_ = spark.createDataFrame([("print",), ("mockRun",), ("x",), ("deleteAll",)], "name string")
+    assert rows(mining.without_noise(names_)) == [("deleteAll",)]

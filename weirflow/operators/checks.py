@@ -67,9 +67,20 @@ def complexity(p: Program, limit: int = MAX_COMPLEXITY) -> DataFrame:
     return _found(f, "function_complexity", F.concat(F.lit("complexity "), F.col("n")), "info")
 
 
-def named_argument(p: Program, call: str, name: str, rule: str, required: Sequence[str] = (), banned: Sequence[str] = ()) -> DataFrame:
+def importing(p: Program, package: str) -> DataFrame:
+    """file: the files that import a package or a part of it (FLT-15).
+
+    A program of one file with imports is taken to import for all its functions (FLT-16).
+    """
+    i = p.part("imports").select("file", "package").distinct()
+    return i.where((F.col("package") == package) | F.startswith("package", F.lit(package + ".")) | F.startswith("package", F.lit(package + "/"))).select("file").distinct()
+
+
+def named_argument(p: Program, call: str, name: str, rule: str, required: Sequence[str] = (), banned: Sequence[str] = (), package: str | None = None) -> DataFrame:
     """Calls whose named argument must be, or must not be, one of the literals (POL-08, POL-09)."""
     hit = calls(p).where(callee_matches(F.lit(call), F.col("resolved")))
+    if package:
+        hit = hit.join(importing(p, package), "file", "left_semi")
     arg = p.part("args").where(F.col("name") == name).groupBy("call").agg(F.max("literal").alias("literal"), F.lit(True).alias("there"))
     rows = hit.join(arg, "call", "left")
     if required:
@@ -90,6 +101,21 @@ def guard_before(p: Program, trigger: str, guards: Sequence[str], rule: str) ->
     return _found(t.join(ok, "call", "left_anti").join(decorated, "fn", "left_anti"), rule, F.concat(F.lit("no guard before "), F.col("callee")))
 
 
+#: Words of a described bound, and arguments that enforce one (fixed values).
+BOUND_WORDS = r"\b(max|min|maximum|minimum|at most|at least|between|up to|limit|less than|greater than)\b"
+ENFORCERS = ("ge", "gt", "le", "lt", "max_length", "min_length", "maximum", "minimum", "max", "min", "multiple_of")
+
+
+def schema_bounds(p: Program) -> DataFrame:
+    """Schema fields whose description names a numeric bound that nothing enforces (CHK-06)."""
+    fields = calls(p).where(last_segment(F.col("resolved")).isin("Field", "Param", "Query", "Body", "describe", "number"))
+    args = p.part("args").groupBy("call").agg(
+        F.bool_or(F.coalesce(F.lower("literal").rlike(BOUND_WORDS) & F.col("literal").rlike("[0-9]"), F.lit(False))).alias("described"),
+        F.bool_or(F.coalesce(F.col("name").isin(*ENFORCERS), F.lit(False))).alias("enforced"),
+    )
+    return _found(fields.join(args, "call").where("described and not enforced"), "unbounded_number_schema", "a described bound is not enforced")
+
+
 def allowlists(p: Program) -> DataFrame:
     """Sets of URL-like literals, where a containment guard is used at all (CHK-01)."""
     c = calls(p)
@@ -108,6 +134,7 @@ REGISTRY: tuple[tuple[str, Check], ...] = (
     ("weak_calls", weak_calls),
     ("substring_guards", substring_guards),
     ("credential_hashes", credential_hashes),
+    ("schema_bounds", schema_bounds),
     ("complexity", complexity),
 )
 

@@ -77,6 +77,42 @@ def replay_gate(candidates: Sequence[Candidate], alerts: Callable[[list[Candidat
     return published, rejected
 
 
+#: Names that say nothing of themselves (fixed values).
+NOISE = ("print", "len", "str", "int", "range", "format", "log", "append", "push", "get", "set", "map", "filter", "join", "split", "toString", "console", "println", "printf", "main", "test", "assert")
+
+
+def without_noise(calls: DataFrame, name: str = "name") -> DataFrame:
+    """Calls that could be taught: no everyday verbs, no single letters, no test doubles (MIN-03)."""
+    n = F.lower(name)
+    return calls.where(~F.col(name).isin(*NOISE) & (F.length(name) > 1) & ~n.rlike("^(mock|stub|fake|dummy)"))
+
+
+def literal_arguments(calls: DataFrame, args: DataFrame) -> DataFrame:
+    """resolved, slot, name, literal of each call's literal arguments, with how often (MIN-04)."""
+    rows = calls.select("call", "resolved").join(args.where("literal is not null").select("call", "slot", "name", "literal"), "call")
+    return rows.groupBy("resolved", "slot", "name", "literal").agg(F.count(F.lit(1)).alias("n"))
+
+
+def family_alerts(found: DataFrame, checks: DataFrame, samples: DataFrame) -> DataFrame:
+    """fam_no, pos, neg: whether a positive, a negative sample alerts (MIN-07).
+
+    ``samples`` holds file, fam_no, variant. A sample alerts with a vulnerable
+    finding of a rule that is not generic, or with a check above the info level.
+    """
+    hit = found.where("verdict = 'vulnerable' and label <> 'other'").select("file").unionByName(checks.where("severity <> 'info'").select("file")).distinct()
+    flags = samples.join(hit.withColumn("_hit", F.lit(True)), "file", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    of = lambda v: F.coalesce(F.bool_or(F.when(F.col("variant") == v, F.col("_hit"))), F.lit(False))
+    return flags.groupBy("fam_no").agg(of("positive").alias("pos"), of("negative").alias("neg"))
+
+
+def downstream_echoes(found: DataFrame) -> DataFrame:
+    """sink, via: findings whose path runs through the call of another sink that is found too (MIN-08)."""
+    v = found.where("verdict = 'vulnerable'")
+    steps = v.select("file", "line", "sink", F.explode("steps").alias("s")).where("s.kind = 'call'").select("file", "line", "sink", F.element_at(F.split("s.detail", r"\."), -1).alias("via"))
+    own = v.select(F.element_at(F.split("sink", r"\."), -1).alias("via")).distinct()
+    return steps.where(F.element_at(F.split("sink", r"\."), -1) != F.col("via")).join(own, "via").select("sink", "via").distinct()
+
+
 def teachability(trial: DataFrame) -> DataFrame:
     """Why a family teaches nothing, from its trial flags (MIN-12)."""
     why = (

@@ -107,6 +107,37 @@ def findings(p: Program, sinks: DataFrame | None = None, sources: DataFrame | No
     )
 
 
+#: Object keys that name one record's owner (fixed values).
+IDENTITY_KEYS = ("id", "_id", "user_id", "userId", "owner_id", "ownerId", "account_id", "accountId", "uuid")
+#: Calls that look one record up by its keys, by last segment.
+LOOKUPS = ("find_one", "findOne", "get_or_404", "filter_by", "update_one", "updateOne", "delete_one", "deleteOne", "find_one_and_update")
+AUTH_GUARDS = ("login_required", "require_auth", "check_owner", "authorize", "has_permission", "permission_required", "requires_auth")
+
+
+def direct_references(p: Program, sources: DataFrame | None = None) -> DataFrame:
+    """Records looked up by an untrusted identity without a check of who asks (FLT-07, FLT-08).
+
+    A lookup whose object, or named argument, has an identity key and whose value
+    comes from a source; one behind an authorisation call or decorator is exempt.
+    """
+    args = p.part("args").where("slot >= 0")
+    keyed_ = F.arrays_overlap("keys", F.array(*map(F.lit, IDENTITY_KEYS)))
+    ident = args.where(F.coalesce(keyed_, F.lit(False)) | F.coalesce(F.col("name").isin(*IDENTITY_KEYS), F.lit(False)))
+    calls = p.part("calls").where(~F.col("again") & last_segment(F.col("resolved")).isin(*LOOKUPS))
+    hit = calls.select("call").join(ident, "call").select("call", "slot").distinct()
+    lookups = F.array(*map(F.lit, LOOKUPS))
+    families = p.part("calls").select("family").distinct()
+    sinks = families.select("family", F.explode(lookups).alias("sink"), F.lit("idor").alias("label"), F.array().cast("array<int>").alias("slots"), F.lit(True).alias("receiver"))
+    found = findings(p, sinks, sources).where("verdict = 'vulnerable'")
+    places = p.part("calls").select("call", "fn", "line", "callee", "block", "doms", "idx")
+    found = found.join(places, ["fn", "line", "callee"]).join(hit, ["call", "slot"], "left_semi")
+    guards = p.part("calls").where(last_segment(F.col("resolved")).isin(*AUTH_GUARDS)).select("fn", F.col("block").alias("gb"), F.col("idx").alias("gi"))
+    before = ((F.col("gb") == F.col("block")) & (F.col("gi") < F.col("idx"))) | ((F.col("gb") != F.col("block")) & F.array_contains("doms", F.col("gb")))
+    safe = found.join(guards, "fn").where(before).select("call").distinct()
+    decorated = p.part("functions").where(F.arrays_overlap("guards", F.array(*map(F.lit, AUTH_GUARDS)))).select("fn")
+    return found.join(safe, "call", "left_anti").join(decorated, "fn", "left_anti").select("file", "fn", "line", "callee", "slot", "source").distinct()
+
+
 def explain(found: DataFrame) -> DataFrame:
     """Why sinks are silent: verdict and cut reasons of all that are not vulnerable (UDF-07)."""
     return found.where("verdict <> 'vulnerable'").select("file", "fn", "line", "sink", "slot", "verdict", F.array_join("cut_reasons", ",").alias("cut_reasons"))
