@@ -80,9 +80,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each family with a set, its class of equal sets and the number of families it is alike to."""
+    """Each family with a set, the first family with an equal one, and the number of families it is alike to."""
     pairs, members = _alike_families(spark, sf_dir)
-    return neardup.links(pairs, members).select(F.col("id").alias("fam_no"), "cls", "n_links")
+    first = members.groupBy("cls").agg(F.min("id").alias("class_fam"))
+    return neardup.links(pairs, members).join(first, "cls").select(F.col("id").alias("fam_no"), "class_fam", "n_links")
 
 
 # ---------------------------------------------------------------- 3: top items

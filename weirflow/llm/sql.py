@@ -35,4 +35,13 @@ common as (select a.fam_no as fam_a, b.fam_no as fam_b, count(*) as c from grams
 select fam_a, fam_b from common join sizes x on x.fam_no = fam_a join sizes y on y.fam_no = fam_b where 5 * c >= 3 * (x.n + y.n - c)
 """
 
-ORACLE = {"p2_found": P2_FOUND, "p1_found": P1_FOUND, "p3_found": P3_FOUND}
+P2_FAMILIES = (
+    P2_FOUND.replace("select fam_a, fam_b from", ", pairs as (select fam_a, fam_b from")
+    + """),
+keys as (select fam_no, md5(string_agg(g, chr(2) order by g)) as k from grams group by 1),
+ends as (select fam_a as f from pairs union all select fam_b from pairs)
+select fam_no, min(fam_no) over (partition by k) as class_fam, cast((select count(*) from ends where f = fam_no) as bigint) as n_links from keys
+"""
+)
+
+ORACLE = {"p2_found": P2_FOUND, "p2_families": P2_FAMILIES, "p1_found": P1_FOUND, "p3_found": P3_FOUND}
