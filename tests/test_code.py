@@ -178,3 +178,59 @@ def test_learning_from_pairs_by_scanning(spark, rows):
     assert rows(lit.where("resolved = 'run_it'")) == [("run_it", 0, None, "ls", 3)]
     names_ = spark.createDataFrame([("print",), ("mockRun",), ("x",), ("deleteAll",)], "name string")
     assert rows(mining.without_noise(names_)) == [("deleteAll",)]
+
+
+C_SOURCE = """
+char *make(int n) {
+    char *p = malloc(n);
+    return p;
+}
+void drop(char *q) {
+    free(q);
+}
+void twice(int n) {
+    char *a = make(n);
+    drop(a);
+    free(a);
+}
+void late(int n) {
+    char *a = malloc(n);
+    free(a);
+    print_it(a);
+}
+void branches(int n, int c) {
+    char *a = malloc(n);
+    if (c) {
+        free(a);
+    } else {
+        free(a);
+    }
+}
+void lost(int n) {
+    char *a = make(n);
+    n = n + 1;
+}
+void renewed(int n) {
+    char *a = malloc(n);
+    free(a);
+    a = malloc(n);
+    free(a);
+}
+"""
+
+
+def test_markup_directives_and_taught_keywords(spark, rows):
+    jsx = "function V(req) {\n  const q = req.query.q;\n  return <p dangerouslySetInnerHTML={{__html: q}} title={q}></p>;\n}\n"
+    assert rows(Scan(spark.createDataFrame([("v.jsx", jsx)], "path string, source string")).findings, "sink", "line", "verdict") == [("dangerouslySetInnerHTML=", 3, "vulnerable")]
+    c = lexical.lower("a.c", '#include <stdio.h>\n#define F(x) \\\n  system(x)\nint f(char *a) {\n#if X\n  one(a);\n#else\n  two(a);\n#endif\n}\n')
+    assert [(x["callee"], x["line"]) for x in c["calls"]] == [("one", 6), ("two", 8)] and [i["package"] for i in c["imports"]] == ["stdio.h"]
+    assert [f["qual"] for f in lexical.lower("a.rs", "fun go(x) { y(x) }", {"fun": "function"})["functions"]] == ["<module>", "go"]
+
+
+def test_memory_contracts(spark, rows):
+    from weirflow.operators import memory
+
+    p = Scan(spark.createDataFrame([("m.c", C_SOURCE)], "path string, source string")).program
+    s = memory.summaries(p)
+    assert s.converged and rows(s.fresh) == [("m.c::make",)] and rows(s.consumes) == [("m.c::drop", 0)]
+    assert rows(memory.misuse(p, s), "rule", "fn", "line") == [("double_free", "m.c::twice", 12), ("memory_leak", "m.c::lost", 28), ("use_after_free", "m.c::late", 17)]

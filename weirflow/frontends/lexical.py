@@ -34,11 +34,21 @@ def blank_outside_scripts(source: str) -> str:
     return "".join(out)
 
 
-def lower(path: str, source: str) -> dict:
-    """The tables of one file, partial."""
+#: Attributes of markup in code whose value is a sink (fixed values).
+ATTRIBUTES = ("dangerouslySetInnerHTML", "href", "src", "srcDoc", "innerHTML")
+_DIRECTIVE = re.compile(r"^[ \t]*#(?:\\\n|[^\n])*", re.M)
+_INCLUDE = re.compile(r"^[ \t]*#[ \t]*include[ \t]*[<\"]([^>\"\n]+)[>\"]", re.M)
+
+
+def lower(path: str, source: str, roles: dict[str, str] | None = None) -> dict:
+    """The tables of one file, partial.
+
+    ``roles`` teaches keywords that the language uses as 'function' or 'branch'.
+    Of preprocessor conditions all arms are lowered; the directives are blanked.
+    """
     if path.endswith(".vue"):
         source = blank_outside_scripts(source)
-    return {**_Lexer(path, source).run(), "module": module_name(path), "partial": True}
+    return {**_Lexer(path, source, roles or {}).run(), "module": module_name(path), "partial": True}
 
 
 class _Scope:
@@ -51,10 +61,17 @@ class _Scope:
 
 
 class _Lexer:
-    def __init__(self, path: str, source: str) -> None:
+    def __init__(self, path: str, source: str, roles: dict[str, str]) -> None:
         self.path = path
+        self.is_c = path.endswith((".c", ".h"))
+        self.functions = _FUNCTION | {k for k, r in roles.items() if r == "function"}
+        self.branches = _BRANCH | {k for k, r in roles.items() if r == "branch"}
         self.out: dict[str, list] = {k: [] for k in ("functions", "nodes", "edges", "calls", "args", "imports")}
         self.aliases: dict[str, str] = {}
+        if self.is_c:
+            for m in _INCLUDE.finditer(source):
+                self.out["imports"].append({"local": m[1], "package": m[1], "symbol": None})
+            source = _DIRECTIVE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
         for m in _IMPORT.finditer(source):
             local, package = next(((a, b) for a, b in ((m[1], m[2]), (m[3], m[4]), (m[5], m[6]), (m[8], m[7])) if b), (None, None))
             local = local or package.rsplit("/", 1)[-1]
@@ -76,6 +93,8 @@ class _Lexer:
             line += t.count("\n")
         self.scopes = [self._scope("<module>", 1, -1, None)]
         self.i = 0
+        # blocks by braces: what stands in an outer block comes before what stands in an inner one
+        self.blocks, self.open = 1, [0]
 
     def _import(self, local: str, package: str, symbol: str | None) -> None:
         self.aliases[local] = f"{package}.{symbol}" if symbol else package
@@ -106,23 +125,45 @@ class _Lexer:
         while self.i < len(toks):
             t, line = toks[self.i]
             s = self.scopes[-1]
-            if t == "{":
+            if t == "{" and self._attribute(s):
+                pass
+            elif t == "{":
                 depth += 1
                 self.i += 1
+                self.open.append(self.blocks)
+                self.blocks += 1
             elif t == "}":
                 depth -= 1
                 self.i += 1
+                if len(self.open) > 1:
+                    self.open.pop()
                 while len(self.scopes) > 1 and depth <= self.scopes[-1].depth:
                     self.scopes.pop()
-            elif t in _FUNCTION and self._function(depth):
+            elif t in self.functions and self._function(depth) or self.is_c and depth == 0 and self._c_function(depth):
                 pass
             elif t in ("\n", ";"):
                 self.i += 1
             else:
-                s.row["branches"] += t in _BRANCH
+                s.row["branches"] += t in self.branches
                 self._statement(s)
         return self.out
 
+    def _attribute(self, s: _Scope) -> bool:
+        """An attribute of markup whose braces hold its value: a store into a property."""
+        toks, i = self.toks, self.i
+        if i < 2 or toks[i - 1][0] != "=" or toks[i - 2][0] not in ATTRIBUTES:
+            return False
+        end, level = i, 0
+        while end < len(toks):
+            level += (toks[end][0] == "{") - (toks[end][0] == "}")
+            if level == 0:
+                break
+            end += 1
+        call = self._call(s, f"markup.{toks[i - 2][0]}=", None, toks[i][1])
+        self._args(call, [(0, self._expr(s, [t for t in toks[i + 1 : end] if t[0] not in "{}"]), None)])
+        self.i = end + 1
+        return True
+
     def _function(self, depth: int) -> bool:
         """A function's head up to its opening brace."""
         toks, j = self.toks, self.i + 1
@@ -137,18 +178,35 @@ class _Lexer:
         if j >= len(toks) or toks[j][0] != "(":
             return False
         line = toks[self.i][1]
-        s = self._scope(name or f"<fn@{line}>", line, depth, self.scopes[-1].fn)
-        end = self._close(j)
-        inner, fresh, level = toks[j + 1 : end], True, 0
-        for t, ln in inner:
+        return self._body(self._scope(name or f"<fn@{line}>", line, depth, self.scopes[-1].fn), j, last=False)
+
+    def _c_function(self, depth: int) -> bool:
+        """A head without keyword: types, a name, brackets, and a brace right behind."""
+        toks, j = self.toks, self.i
+        while j < len(toks) and toks[j][0] not in ("(", ";", "=", "{", "}"):
+            j += 1
+        if j >= len(toks) or toks[j][0] != "(" or j < self.i + 2 or not re.fullmatch(r"[A-Za-z_]\w*", toks[j - 1][0]):
+            return False
+        after = next((t for t, _ in toks[self._close(j) + 1 : self._close(j) + 3] if t != "\n"), "")
+        return after == "{" and self._body(self._scope(toks[j - 1][0], toks[j - 1][1], depth, self.scopes[-1].fn), j, last=True)
+
+    def _body(self, s: _Scope, j: int, last: bool) -> bool:
+        """Bind the parameters in the brackets at ``j`` (each group's first or last name) and go to the brace."""
+        toks, end = self.toks, self._close(j)
+        groups: list[list[tuple[str, int]]] = [[]]
+        level = 0
+        for t, ln in toks[j + 1 : end]:
             level += (t in "([{<") - (t in ")]}>")
             if t == "," and level == 0:
-                fresh = True
-            elif fresh and re.fullmatch(r"[A-Za-z_$][\w$]*", t) and t not in ("mut", "const", "self", "struct", "unsigned"):
+                groups.append([])
+            elif re.fullmatch(r"[A-Za-z_$][\w$]*", t) and t not in ("mut", "const", "self", "struct", "unsigned", "void"):
+                groups[-1].append((t, ln))
+        for g in groups:
+            if g:
+                t, ln = g[-1] if last else g[0]
                 p = self._node(s, "param", t, ln)
                 s.params.append(p)
                 s.env[t] = (p,)
-                fresh = False
         self.i = end + 1
         while self.i < len(toks) and toks[self.i][0] not in ("{", ";"):
             self.i += 1
@@ -173,7 +231,7 @@ class _Lexer:
             t = toks[self.i][0]
             if level == 0 and (t in ("\n", ";", "}") or t == "{" and self.i > start):
                 break
-            if t in _FUNCTION and self.i > start:
+            if t in self.functions and self.i > start:
                 break
             level += (t in "([") - (t in ")]")
             self.i += 1
@@ -267,7 +325,7 @@ class _Lexer:
     def _call(self, s: _Scope, path: str, result: str | None, line: int) -> str:
         call = f"{s.fn}@{s.calls}"
         s.calls += 1
-        self.out["calls"].append({"call": call, "fn": s.fn, "callee": path, "resolved": path, "result": result, "line": line, "block": 0, "idx": s.calls, "doms": [0], "used_in_test": False, "again": False})
+        self.out["calls"].append({"call": call, "fn": s.fn, "callee": path, "resolved": path, "result": result, "line": line, "block": self.open[-1], "idx": s.calls, "doms": self.open[::-1], "used_in_test": False, "again": False})
         return call
 
     def _args(self, call: str, given: list[tuple[int, tuple[str, ...], str | None]]) -> None:

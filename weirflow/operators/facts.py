@@ -38,7 +38,7 @@ SINKS = {
     ),
     "js": (
         ("eval", "code", (0,), False), ("child_process.exec", "command", (0,), False), ("child_process.execSync", "command", (0,), False), ("exec", "command", (0,), False), ("query", "sql", (0,), True),
-        ("innerHTML=", "xss", (0,), True), ("res.redirect", "redirect", (0,), False), ("res.send", "xss", (0,), False), ("fs.readFile", "traversal", (0,), False),
+        ("innerHTML=", "xss", (0,), True), ("dangerouslySetInnerHTML=", "xss", (0,), True), ("res.redirect", "redirect", (0,), False), ("res.send", "xss", (0,), False), ("fs.readFile", "traversal", (0,), False),
         ("fs.readFileSync", "traversal", (0,), False), ("fetch", "ssrf", (0,), False), ("axios.get", "ssrf", (0,), False), ("document.write", "xss", (0,), False),
     ),
     "go": (("exec.Command", "command", (), False), ("os/exec.Command", "command", (), False), ("Query", "sql", (0,), True), ("Exec", "sql", (0,), True), ("os.Open", "traversal", (0,), False), ("http.Get", "ssrf", (0,), False), ("http.Redirect", "redirect", (2,), False)),

@@ -26,9 +26,11 @@ CONTAINER_VERBS = ("get", "set", "add", "append", "push", "pop", "insert", "remo
 MAX_REEXPORTS = 12
 
 
-def lower_files(files: DataFrame) -> DataFrame:
+def lower_files(files: DataFrame, roles: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """One nested row per file of ``files`` (path, language, family, source); see ``frontends.schema``.
 
+    ``roles`` gives, per language, keywords that facts teach (see ``frontends.lexical``).
+
     A file whose text cannot be parsed, or is null, has an error and no parts;
     it never fails the task.
     """
@@ -41,7 +43,8 @@ def lower_files(files: DataFrame) -> DataFrame:
             for path, lang, family, source in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 row = {"file": path, "lang": lang, "family": family, "module": None, "error": None, "partial": False, **{p: [] for p in schema.PARTS}}
                 try:
-                    row |= FRONTENDS[lang](path, source)
+                    taught = (roles or {}).get(lang)
+                    row |= FRONTENDS[lang](path, source, taught) if taught else FRONTENDS[lang](path, source)
                 except RecursionError:
                     row["error"] = "nested too deeply"
                 except Exception as e:  # noqa: BLE001 - one file's failure is its own
@@ -59,9 +62,9 @@ class Program:
     lowered: DataFrame
 
     @staticmethod
-    def of(files: DataFrame) -> Program:
+    def of(files: DataFrame, roles: dict[str, dict[str, str]] | None = None) -> Program:
         supported = files.where(F.col("language").isin(*FRONTENDS))
-        return Program(write_table(lower_files(supported.repartition("family", "path")), "lowered"))
+        return Program(write_table(lower_files(supported.repartition("family", "path"), roles), "lowered"))
 
     def part(self, name: str) -> DataFrame:
         rows = self.lowered.select("file", "family", "module", F.explode(name).alias("x"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.severity import default_level
+from ..operators import memory, report
 from ..operators import mining as M
-from ..operators import report
 from ..scan import Scan, ScanOptions
 from ..session import table
 from ..sources import files
@@ -63,6 +63,15 @@ def gr10_code(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("family", "label", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+@book.query("agg15_memory_contracts")
+def agg15(spark: SparkSession, d: str) -> DataFrame:
+    """Functions of the samples that return fresh memory or release a parameter, and misuse, by kind."""
+    p = Scan(sample_files(spark, d)).program
+    s = memory.summaries(p)
+    kinds = [s.fresh.select(F.lit("fresh").alias("kind")), s.consumes.select(F.lit("consumes").alias("kind")), memory.misuse(p, s).select(F.col("rule").alias("kind"))]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @book.query("chk_registry")
 def chk_registry(spark: SparkSession, d: str) -> DataFrame:
     """Findings of all checks in the samples, by rule."""
