@@ -60,7 +60,7 @@ def snapshot_changes(
     )
 
     def cell(name: str, value: Column) -> Column:
-        return F.struct(F.lit(name).alias("field"), value.alias("value"))
+        return F.struct(F.lit(name).alias("_field"), value.alias("_value"))
 
     hashed = [F.xxhash64(F.col(f), F.col(f).isNull()).alias(f) for f in fields]
     present = rows.where(F.col(version).isNotNull())
@@ -77,17 +77,17 @@ def snapshot_changes(
     cells = signed.select(
         group, "_at", *key, "_sign",
         F.explode(F.array(cell("", F.lit(0).cast("bigint")), *[cell(f, F.col(f)) for f in fields])).alias("_c"),
-    ).select(group, "_at", *key, "_sign", "_c.field", "_c.value")
+    ).select(group, "_at", *key, "_sign", "_c._field", "_c._value")
     # one cell counts once per snapshot, however many rows of a record carry it
     left = (
-        cells.groupBy(group, "_at", *key, "field", "value")
+        cells.groupBy(group, "_at", *key, "_field", "_value")
         .agg((F.max(F.when(F.col("_sign") > 0, 1).otherwise(0)) - F.max(F.when(F.col("_sign") < 0, 1).otherwise(0))).alias("_sum"))
         .where("_sum <> 0")
     )
-    marker = F.max(F.when(F.col("field") == "", F.col("_sum")))
+    marker = F.max(F.when(F.col("_field") == "", F.col("_sum")))
     return (
         left.groupBy(group, "_at", *key)
-        .agg(marker.alias("_m"), F.array_sort(F.collect_set(F.when(F.col("field") != "", F.col("field")))).alias("changed_fields"))
+        .agg(marker.alias("_m"), F.array_sort(F.collect_set(F.when(F.col("_field") != "", F.col("_field")))).alias("changed_fields"))
         .select(
             group, F.col("_at").alias(version), *key,
             F.when(F.col("_m") > 0, "added").when(F.col("_m") < 0, "removed").otherwise("changed").alias("change_kind"),
