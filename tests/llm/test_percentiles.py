@@ -48,12 +48,12 @@ def test_rank_error_is_bounded_and_merging_keeps_it(k):
 def test_days_add_up_to_the_week(spark):
     random.seed(4)
     rows = [(random.choice("ab") if random.random() > 0.1 else None, d, int(random.expovariate(1 / 500)) + (10**12 if random.random() < 0.03 else 0)) for d in range(7) for _ in range(300)]
-    df = spark.createDataFrame(rows, "g string, d int, v bigint")
+    df = spark.createDataFrame(rows, "g string, d int, v bigint").withColumn("node", F.lit("x")).withColumn("n", F.lit(1))
     q = {"p50": (50, 100), "p95": (95, 100)}
-    week = qdigest.merge(qdigest.digests(df, ["g", "d"], "v", 40), ["g"], 40)
+    week = qdigest.merge(qdigest.digests(df, ["g", "d", "node"], "v", 40), ["g", "node"], 40)
     at_once = {r.g: r for r in qdigest.quantile_bounds(qdigest.digests(df, ["g"], "v", 10**6), ["g"], q).collect()}
     ex = {r.g: r for r in qdigest.exact_quantiles(df, ["g"], "v", q).collect()}
-    for r in qdigest.quantile_bounds(week, ["g"], q).collect():
+    for r in qdigest.quantile_bounds(week, ["g", "node"], q).collect():
         vs = [v for g, _, v in rows if g == r.g]
         assert r.n_values == len(vs)
         for name, (a, b) in q.items():

@@ -27,7 +27,7 @@ def test_against_brute_force(spark, rows, monkeypatch, least):
 
 def test_all_tied_repeated_and_empty(spark, rows, monkeypatch):
     monkeypatch.setattr(topn, "MIN_LARGE_ROWS", 1)
-    df = topn.written(spark.createDataFrame([("g", 4, "f", 1)] * 500 + [("h", 0, "f", 2)], "g string, s bigint, f string, id int"))
+    df = topn.written(spark.createDataFrame([("g", 4, "f", 1, 0, 9)] * 500 + [("h", 0, "f", 2, 0, 9)], "g string, s bigint, f string, id int, _least int, rnk int"))
     assert rows(topn.top_n(df, "g", "s", [F.col("f"), F.col("id")], 2), "g", "rnk", "id") == [("g", 1, 1), ("g", 2, 1), ("h", 1, 2)]
     assert topn.top_n(df.limit(0), "g", "s", [F.col("f")], 2).count() == 0
 

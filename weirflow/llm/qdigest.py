@@ -102,7 +102,7 @@ def bounds(nodes: np.ndarray, counts: np.ndarray, quantiles: Sequence[tuple[int,
 
 
 def _folded(counted: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
-    """Digest per group of rows (keys, node, n); a group has at most 2**(HEIGHT + 1) of them."""
+    """Digest per group of rows (keys, _node, _times); a group has at most 2**(HEIGHT + 1) of them."""
 
     @F.pandas_udf(_NODES)
     def to_digest(cells: pd.Series) -> pd.Series:
@@ -112,19 +112,20 @@ def _folded(counted: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
 
         return cells.map(one)
 
-    gathered = counted.groupBy(*keys).agg(F.sum("n").alias("n_values"), F.collect_list(F.struct("node", "n")).alias("cells"))
-    return gathered.select(*keys, "n_values", to_digest("cells").alias("digest"))
+    cell = F.struct(F.col("_node").alias("node"), F.col("_times").alias("n"))
+    gathered = counted.groupBy(*keys).agg(F.sum("_times").alias("n_values"), F.collect_list(cell).alias("_cells"))
+    return gathered.select(*keys, "n_values", to_digest("_cells").alias("digest"))
 
 
 def digests(df: DataFrame, keys: Sequence[str], value: str, k: int = K) -> DataFrame:
     """keys, n_values and the digest of ``value`` for each group."""
-    counted = df.groupBy(*keys, (leaf(F.col(value)) + F.lit(1 << HEIGHT)).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    counted = df.groupBy(*keys, (leaf(F.col(value)) + F.lit(1 << HEIGHT)).alias("_node")).agg(F.count(F.lit(1)).alias("_times"))
     return _folded(counted, keys, k)
 
 
 def merge(parts: DataFrame, keys: Sequence[str], k: int = K) -> DataFrame:
     """Digests of parts to digests per ``keys``: node counts add up, then fold."""
-    nodes = parts.select(*keys, F.explode("digest").alias("c")).groupBy(*keys, F.col("c.node").alias("node")).agg(F.sum("c.n").alias("n"))
+    nodes = parts.select(*keys, F.explode("digest").alias("_c")).groupBy(*keys, F.col("_c.node").alias("_node")).agg(F.sum("_c.n").alias("_times"))
     return _folded(nodes, keys, k)
 
 
@@ -142,7 +143,7 @@ def quantile_bounds(digest: DataFrame, keys: Sequence[str], quantiles: dict[str,
                 rows.append([v for pair in found for v in pair])
             yield pd.DataFrame(rows, columns=[f"{n}_{s}" for n in names for s in ("low", "high")], dtype="int64")
 
-    return digest.select(*keys, "n_values", read("digest").alias("q")).select(*keys, "n_values", "q.*")
+    return digest.select(*keys, "n_values", read("digest").alias("_q")).select(*keys, "n_values", "_q.*")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, tuple[int, int]]) -> DataFrame:

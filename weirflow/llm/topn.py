@@ -15,7 +15,8 @@ the threshold bucket.
 
 Defined cases: rows with a null group, score or tie key must be filtered
 before if they are not to count (null tie keys come first in ascending order);
-repeated rows are ranked one after the other; groups with fewer than N rows
+repeated rows are ranked one after the other; columns of any name are kept, one
+named like the rank is replaced; groups with fewer than N rows
 keep all; an empty table gives no rows.
 """
 
@@ -43,7 +44,7 @@ def least_rows(total: int) -> int:
 def thresholds(df: DataFrame, group: str, score: str, n: int, large: DataFrame) -> DataFrame:
     """For each large group the lowest bucket that must be kept."""
     bucket = leaf(F.col(score), BUCKET_BITS).alias("_bucket")
-    counts = df.join(F.broadcast(large), group).groupBy(group, bucket).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.select(group, score).join(F.broadcast(large), group).groupBy(group, bucket).agg(F.count(F.lit(1)).alias("_n"))
     above = F.sum("_n").over(Window.partitionBy(group).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, 0))
     return counts.withColumn("_above", above).where(F.col("_above") >= n).groupBy(group).agg(F.max("_bucket").alias("_least"))
 
@@ -57,8 +58,11 @@ def top_n(df: DataFrame, group: str, score: str, ties: Sequence[Column], n: int,
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     total = df.count()
     large = sizes.where(F.col("_n") >= least_rows(total)).select(group)
-    lowest = thresholds(df, group, score, n, large)
-    kept = df.join(F.broadcast(lowest), group, "left").where(F.col("_least").isNull() | (leaf(F.col(score), BUCKET_BITS) >= F.col("_least"))).drop("_least")
+    least = "_least"
+    while least in df.columns:
+        least += "_"
+    lowest = thresholds(df, group, score, n, large).withColumnRenamed("_least", least)
+    kept = df.join(F.broadcast(lowest), group, "left").where(F.col(least).isNull() | (leaf(F.col(score), BUCKET_BITS) >= F.col(least))).drop(least)
     order = Window.partitionBy(group).orderBy(F.col(score).desc(), *ties)
     return kept.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= n)
 
