@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.severity import default_level
-from ..operators import memory, report
+from ..operators import checks, memory, report
 from ..operators import mining as M
 from ..scan import Scan, ScanOptions
 from ..session import table
@@ -65,17 +65,21 @@ def gr10_code(spark: SparkSession, d: str) -> DataFrame:
 
 @book.query("agg15_memory_contracts")
 def agg15(spark: SparkSession, d: str) -> DataFrame:
-    """Functions of the samples that return fresh memory or release a parameter, and misuse, by kind."""
+    """Functions of the samples per language family: how many return fresh memory, release a parameter, misuse it."""
     p = Scan(sample_files(spark, d)).program
     s = memory.summaries(p)
-    kinds = [s.fresh.select(F.lit("fresh").alias("kind")), s.consumes.select(F.lit("consumes").alias("kind")), memory.misuse(p, s).select(F.col("rule").alias("kind"))]
-    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    flag = lambda df, name: df.select("fn").distinct().withColumn(name, F.lit(1))
+    f = p.part("functions").select("family", "fn").join(flag(s.fresh, "fresh"), "fn", "left").join(flag(s.consumes, "consumes"), "fn", "left").join(flag(memory.misuse(p, s), "misuse"), "fn", "left")
+    n = lambda c: F.count(c).alias(f"n_{c}")
+    return f.groupBy("family").agg(F.count(F.lit(1)).alias("n_functions"), n("fresh"), n("consumes"), n("misuse"))
 
 
 @book.query("chk_registry")
 def chk_registry(spark: SparkSession, d: str) -> DataFrame:
-    """Findings of all checks in the samples, by rule."""
-    return Scan(sample_files(spark, d)).checks.groupBy("check", "rule").agg(F.count(F.lit(1)).alias("n"))
+    """Findings of all checks in the samples, by rule; complexity counts from three branches on, as samples are short."""
+    registry = (*checks.REGISTRY, ("short_complexity", lambda p: checks.complexity(p, 3)))
+    found = Scan(sample_files(spark, d), ScanOptions(registry=registry)).checks
+    return found.groupBy("check", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 _ESC = "replace(replace(replace({0}, '%', '%25'), chr(13), '%0D'), chr(10), '%0A')"
