@@ -186,3 +186,16 @@ def test_alike_against_brute_force(spark, rows):
             sets[i] = set(w) if len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
     want = {i: sum(5 * len(a & b) >= 4 * len(a | b) for j, b in sets.items() if j != i) for i, a in sets.items()}
     assert got == want
+
+
+def test_lint_of_header_blocks(spark, rows):
+    classes = spark.createDataFrame([("a", ["CWE-1"])], "id string, cwes array<string>")
+    good = {"observation": "o" * 20, "impact": "i" * 20, "improvement": "m" * 20, "cwe": "cwe-001", "severity": " High ", "class": "a", "purpose": "anchor", "shape": "s", "cvss": "9.8"}
+    bad = {**good, "observation": "TODO" + "o" * 20, "cwe": "79", "severity": "odd", "cvss": "11", "class": "z", "purpose": "x", "extra": "1"}
+    df = spark.createDataFrame([(1, good, "a.check_owner"), (2, bad, "mockRun"), (3, None, "x.get"), (4, {**good, "cwe": "CWE-2"}, None)], "k int, meta map<string,string>, declared_check_call string")
+    got = {}
+    for k, code, detail in rows(mining.lint_metadata(df, classes, "k")):
+        got.setdefault(k, []).append((code, detail))
+    assert 1 not in got and got[4] == [("C003", "CWE-2")]
+    assert [c for c, _ in got[2]] == ["C002", "C005", "D005", "M002", "M003", "M004", "M005", "M006"]
+    assert [c for c, _ in got[3]] == ["C001", "C005", "C006", "E040"] + ["M001"] * 5

@@ -224,6 +224,41 @@ def min10(spark: SparkSession, d: str) -> DataFrame:
     return M.lint(f, samples(spark, d), "fam_no", "id", "lang")
 
 
+#: Classes of the corpus with their weaknesses.
+_CLASSES = (
+    ("authz.missing", ("CWE-862", "CWE-639")), ("crypto.weak", ("CWE-327", "CWE-328", "CWE-330")), ("inject.query", ("CWE-89", "CWE-90", "CWE-643")),
+    ("inject.shell", ("CWE-78",)), ("mem.bounds", ("CWE-787", "CWE-125")),
+)
+_VALUES = ", ".join(f"('{c}', [{', '.join(repr(w) for w in ws)}])" for c, ws in _CLASSES)
+_REQUIRED = ", ".join(repr(k) for k in M.REQUIRED_KEYS)
+_KNOWN = ", ".join(repr(k) for k in M.KNOWN_KEYS)
+
+
+@book.query("min10_metadata", f"""
+with c(id, cwes) as (values {_VALUES}),
+f as (select fam_no, coalesce(meta, map {{}}) as m, declared_check_call as t from families),
+k as (select f.*, trim(m['cwe']) as cwe, regexp_extract(trim(m['cwe']), '^(?i)CWE-0*([0-9]+)$', 1) as n, trim(m['severity']) as sev, trim(m['class']) as cls, trim(m['purpose']) as pur, c.id as known, c.cwes,
+  lower(list_last(string_split(t, '.'))) as name from f left join c on c.id = m['class'])
+select fam_no, 'M001' as code, unnest(list_filter([{_REQUIRED}], lambda x: not list_contains(map_keys(m), x))) as detail from k
+union all select fam_no, 'M004', unnest(list_filter(map_keys(m), lambda x: not list_contains([{_KNOWN}], x))) from k
+union all select fam_no, 'M005', e.key from (select fam_no, unnest(map_entries(m)) as e from k) where e.key in ('observation', 'impact', 'improvement') and (length(e.value) < 20 or contains(e.value, 'TODO') or contains(e.value, '<'))
+union all select fam_no, 'M002', cwe from k where cwe is not null and n = ''
+union all select fam_no, 'M003', sev from k where sev is not null and lower(sev) not in ('critical', 'high', 'medium', 'warning', 'low', 'info')
+union all select fam_no, 'M006', trim(m['cvss']) from k where m['cvss'] is not null and not coalesce(try_cast(m['cvss'] as double) between 0 and 10, false)
+union all select fam_no, 'C001', '' from k where cls is null
+union all select fam_no, 'C002', cls from k where cls is not null and known is null
+union all select fam_no, 'C003', cwe from k where known is not null and n <> '' and not list_contains(cwes, 'CWE-' || n)
+union all select fam_no, 'C005', coalesce(pur, '') from k where not coalesce(pur in ('knowledge', 'precision', 'anchor'), false)
+union all select fam_no, 'C006', '' from k where m['shape'] is null
+union all select fam_no, 'D005', t from k where regexp_matches(name, '^(mock|stub|fake|dummy)')
+union all select fam_no, 'E040', t from k where name in ('get', 'set', 'put', 'post', 'delete', 'send', 'write', 'read', 'run', 'call', 'execute') and m['package'] is null
+""")
+def min10_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Issues of the families' header blocks."""
+    classes = spark.createDataFrame([(c, list(w)) for c, w in _CLASSES], "id string, cwes array<string>")
+    return M.lint_metadata(table(spark, d, "families"), classes, "fam_no")
+
+
 # ---------------------------------------------------------------- scores
 
 
