@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import small_or_plain
+
 
 def proposals(calls: DataFrame) -> DataFrame:
     """fam_no, lang, name, kind: calls of positives only are sinks, of negatives only sanitizers."""
@@ -157,7 +159,7 @@ def lint_metadata(families: DataFrame, classes: DataFrame, key: str, meta: str =
     """
     m = F.coalesce(F.col(meta), F.create_map().cast("map<string,string>"))
     rows = families.select(F.col(key), m.alias("m"), F.col(trigger).alias("t"))
-    rows = rows.join(F.broadcast(classes.select(F.col("id").alias("_c"), "cwes")), F.col("m")["class"] == F.col("_c"), "left")
+    rows = rows.join(small_or_plain(classes.select(F.col("id").alias("_c"), "cwes"), 100_000), F.col("m")["class"] == F.col("_c"), "left")
     v = lambda k: F.trim(F.col("m")[k])
     issue = lambda code, detail: F.struct(F.lit(code).alias("code"), detail.alias("detail"))
     some = lambda cond, code, detail: F.array(F.when(cond, issue(code, detail)))

@@ -51,8 +51,7 @@ class Requirement:
         called = F.coalesce(F.col(at.name).isin(*self.names), F.lit(False)) if self.names else self.guard
         never = F.lit(False)
         if self.kind in ("guard_call", "require_call"):
-            window = Window.partitionBy(F.lit(0)) if self.module else at.before()
-            return F.coalesce(F.max(called).over(window), never)
+            return F.coalesce(F.max(called).over(at.before()), never)
         if self.kind == "not_call":
             return ~F.coalesce(F.max(called).over(at.whole()), never)
         c = F.col(self.column)
@@ -86,12 +85,12 @@ def named_literal(props: str, key: str, literals: Sequence[str], banned: bool) -
 def violations(rows: DataFrame, at: Sequenced, trigger: Column, requirements: Sequence[Requirement], extra: Sequence[Column] = ()) -> DataFrame:
     """The trigger rows for which not all requirements hold."""
     if any(r.module for r in requirements):
-        # presence anywhere is one row, not a window over the whole table
-        flags = rows.agg(*[F.coalesce(F.max(F.coalesce(F.col(at.name).isin(*r.names), F.lit(False))), F.lit(False)).alias(f"_m{i}") for i, r in enumerate(requirements) if r.module])
-        rows = rows.join(F.broadcast(flags))
-    truth = [F.col(f"_m{i}") if r.module else r.holds(at) for i, r in enumerate(requirements)] + list(extra)
+        # presence anywhere is one row of flags, not a window over the whole table
+        seen = [F.coalesce(F.max(F.coalesce(F.col(at.name).isin(*r.names), F.lit(False))), F.lit(False)).alias(f"m{i}") for i, r in enumerate(requirements) if r.module]
+        flags = rows.agg(*seen).first()
+    truth = [F.lit(flags[f"m{i}"]) if r.module else r.holds(at) for i, r in enumerate(requirements)] + list(extra)
     out = rows.withColumns({f"_r{i}": t for i, t in enumerate(truth)}).withColumn("_t", trigger)
     ok = F.lit(bool(truth))
     for i in range(len(truth)):
         ok = ok & F.col(f"_r{i}")
-    return out.where(F.col("_t") & ~ok).drop("_t", *[f"_r{i}" for i in range(len(truth))], *[f"_m{i}" for i, r in enumerate(requirements) if r.module])
+    return out.where(F.col("_t") & ~ok).drop("_t", *[f"_r{i}" for i in range(len(truth))])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import ENGINE_ID, REPORT_SCHEMA, __version__
 from ..functions.severity import PROFILE_TIER, TIER_ORDER, level_rank
+from ..storage import small_or_plain
 from .joins import new_since
 
 #: Report level of each severity (fixed values).
@@ -33,7 +34,7 @@ def ledger(rows: DataFrame) -> DataFrame:
 def overlay(a: DataFrame, patterns: DataFrame) -> DataFrame:
     """Advisories with what a bundle says about their rule; its words win where it has any (JOIN-14)."""
     p = patterns.select("rule_id", *[F.col(c).alias(f"_{c}") for c in ("title", "observation", "impact", "improvement", "severity")])
-    joined = a.join(F.broadcast(p), "rule_id", "left")
+    joined = a.join(small_or_plain(p, 100_000), "rule_id", "left")
     over = {c: F.coalesce(F.col(f"_{c}"), F.col(c) if c in a.columns else F.lit(None).cast("string")) for c in ("title", "observation", "impact", "improvement", "severity")}
     return joined.withColumns(over).drop(*[f"_{c}" for c in over])
 

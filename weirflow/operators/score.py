@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import rate
+from ..storage import small_or_plain
 from .joins import band
 
 
 def tag_weaknesses(tags: DataFrame, mapping: DataFrame) -> DataFrame:
     """id, cwe of each case from its findings' tags (BEN-02)."""
-    return tags.select("id", F.explode("tag_sets").alias("t")).select("id", F.explode("t").alias("tag")).join(F.broadcast(mapping), "tag").select("id", "cwe").distinct()
+    return tags.select("id", F.explode("tag_sets").alias("t")).select("id", F.explode("t").alias("tag")).join(small_or_plain(mapping, 100_000), "tag").select("id", "cwe").distinct()
 
 
 def classify(cases: DataFrame, results: DataFrame, named: DataFrame, mode: str = "conservative") -> DataFrame:

@@ -21,6 +21,8 @@ from .program import Program
 from .windows import first_per
 
 
+#: Labels of sinks in one scan.
+MAX_LABELS = 1_000
 #: Facts given by the caller up to which they are broadcast.
 MAX_BROADCAST_FACTS = 100_000
 
@@ -59,13 +61,18 @@ def source_nodes(p: Program, sources: DataFrame | None = None) -> DataFrame:
 
 def stops(p: Program, roots: DataFrame, source: DataFrame, sanitizers: DataFrame | None = None) -> DataFrame:
     """node, label, reason: where a walk of a label ends."""
-    labels = F.broadcast(roots.select("label", "role").distinct())
+    held = roots.select("label", "role").distinct().limit(MAX_LABELS + 1).collect()
+    if len(held) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels of sinks")
+    none = F.array().cast("array<struct<label:string,role:string>>")
+    labels = F.explode(F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.role).alias("role")) for r in held]) if held else none).alias("l")
     san = sanitizers if sanitizers is not None else K.sanitizers(p.lowered.sparkSession)
     calls = p.part("calls").where("result is not null").select("family", F.col("result").alias("node"), "resolved")
     named = calls.join(small_or_plain(san, MAX_BROADCAST_FACTS), "family").where(callee_matches(F.col("sanitizer"), F.col("resolved")))
-    works = named.join(labels).where(V.defeats(V.sanitizer_kind(F.col("effect")), F.col("role"), F.col("label"))).select("node", "label", F.lit("sanitizer").alias("reason"))
-    guard = p.part("nodes").where("kind = 'guard'").select("node").join(labels).select("node", "label", F.lit("guard").alias("reason"))
-    src = source.select("node").join(labels).select("node", "label", F.lit("source").alias("reason"))
+    named = named.select("node", "effect", labels).select("node", "effect", "l.label", "l.role")
+    works = named.where(V.defeats(V.sanitizer_kind(F.col("effect")), F.col("role"), F.col("label"))).select("node", "label", F.lit("sanitizer").alias("reason"))
+    guard = p.part("nodes").where("kind = 'guard'").select("node", labels).select("node", "l.label", F.lit("guard").alias("reason"))
+    src = source.select("node", labels).select("node", "l.label", F.lit("source").alias("reason"))
     return src.unionByName(works).unionByName(guard).groupBy("node", "label").agg(F.max("reason").alias("reason"))
 
 

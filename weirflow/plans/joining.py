@@ -193,9 +193,9 @@ select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.event_type, b.event
 def join21(spark: SparkSession, d: str) -> DataFrame:
     """Two runs compared by identity."""
     e = table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    mid = F.broadcast(e.agg((F.min("us") + F.expr("(max(us) - min(us)) div 2")).alias("mid")))
-    c = lambda name, cond: e.join(mid).where(cond).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias(name))
-    both = c("n_a", "us < mid").join(c("n_b", "us >= mid"), ["user_id", "event_type"], "full")
+    mid = e.agg((F.min("us") + F.expr("(max(us) - min(us)) div 2")).alias("mid")).first().mid
+    c = lambda name, cond: e.where(cond).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias(name))
+    both = c("n_a", F.col("us") < mid).join(c("n_b", F.col("us") >= mid), ["user_id", "event_type"], "full")
     return both.select("user_id", "event_type", F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
 
 
