@@ -64,7 +64,10 @@ class Program:
     @staticmethod
     def of(files: DataFrame, roles: dict[str, dict[str, str]] | None = None) -> Program:
         supported = files.where(F.col("language").isin(*FRONTENDS))
-        return Program(write_table(lower_files(supported.repartition("family", "path"), roles), "lowered"))
+        # parsing costs far more than its bytes, so the parts must not be coalesced by size
+        spark = files.sparkSession
+        parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return Program(write_table(lower_files(supported.repartition(parts, "family", "path"), roles), "lowered"))
 
     def part(self, name: str) -> DataFrame:
         rows = self.lowered.select("file", "family", "module", F.explode(name).alias("x"))

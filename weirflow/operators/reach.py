@@ -80,18 +80,24 @@ def reach_in_context(roots: DataFrame, edges: DataFrame, stops: DataFrame | None
         .when(F.col("kind") == "jump", empty)
         .otherwise(F.col("ctx"))
     )
-    for depth in range(1, max_rounds + 1):
-        going = frontier if ends is None else frontier.join(ends, ends.columns, "left_anti")
-        step = going.join(walked, "node").where((F.col("kind") != "leave") | (F.size("ctx") == 0) | (top == F.col("site")))
-        step = step.select("root", *carry, F.col("_to").alias("node"), after.alias("ctx"), F.col("node").alias("_from"))
-        step = step.groupBy(*state).agg(F.min("_from").alias("parent"))
+
+    def step(states: DataFrame, depth: int) -> DataFrame:
+        going = states if ends is None else states.join(ends, ends.columns, "left_anti")
+        hit = going.join(walked, "node").where((F.col("kind") != "leave") | (F.size("ctx") == 0) | (top == F.col("site")))
+        to = hit.select("root", *carry, F.col("_to").alias("node"), after.alias("ctx"), F.col("node").alias("_from"))
+        return to.groupBy(*state).agg(F.min("_from").alias("parent")).withColumn("depth", F.lit(depth))
+
+    # two steps a round: what the first one finds again leads to nothing new in the second
+    for depth in range(1, max_rounds, 2):
+        one = step(frontier, depth)
+        both = one.unionByName(step(one, depth + 1)).groupBy(*state).agg(F.min(F.struct("depth", "parent")).alias("_d"))
         seen = reduce(DataFrame.unionByName, [x.select(*state) for x in levels])
-        new = step.join(seen, state, "left_anti").select(*state, F.lit(depth).alias("depth"), "parent")
-        frontier = write_table(new, "reach")
+        new = both.join(seen, state, "left_anti").select(*state, "_d.depth", "_d.parent")
+        levels.append(write_table(new, "reach"))
+        frontier = levels[-1].where(F.col("depth") == depth + 1)
         if frontier.isEmpty():
             return reduce(DataFrame.unionByName, levels)
-        levels.append(frontier)
-    raise RuntimeError(f"states left after {max_rounds} rounds")
+    raise RuntimeError(f"states left after {max_rounds} steps")
 
 
 def verdict(source: Column, unknown: Column, sanitized: Column) -> Column:
