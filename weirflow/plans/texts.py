@@ -165,6 +165,17 @@ def join20(spark: SparkSession, d: str) -> DataFrame:
     return S.link_counts(members, pairs).select(F.col("id").alias("doc_id"), "n_links")
 
 
+@book.query("join20_pairs_tokens", r"""
+with w as (select doc_id as id, coalesce(lang, '') as scope, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+|[^ \t-\r\x{85}\p{Z}]') as w from documents where text is not null),
+g as (select distinct id, scope, unnest(case when len(w) < 5 then w else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from w where len(w) > 0),
+""" + _ALIKE.format(num=4, den=5) + """select n.id as doc_id, cast((select count(*) from k where k.id = n.id) as bigint) as n_links from n""")
+def join20_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """As join20_pairs_jaccard, whatever the script: every character that is no blank takes part."""
+    docs = table(spark, d, "documents").where("text is not null").withColumn("lang", F.coalesce("lang", F.lit("")))
+    members, pairs = S.alike(S.shingle_sets(docs, "doc_id", X.text_tokens(F.col("text")), 5, "lang"), 4, 5)
+    return S.link_counts(members, pairs).select(F.col("id").alias("doc_id"), "n_links")
+
+
 def _lint_pairs(name: str, sql_grams: str, grams, num: int, den: int) -> None:  # noqa: ANN001
     @book.query(name, f"with {_SAMPLES}, {_CALLS if 'names' in sql_grams else 'unused as (select 1)'}, g as ({sql_grams}), " + _ALIKE.format(num=num, den=den) + "select n.id as fam_no, cast((select count(*) from k where k.id = n.id) as bigint) as n_links from n")
     def run(spark: SparkSession, d: str) -> DataFrame:
