@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
+
 from weirflow.functions import text
-from weirflow.plans import texts
+from weirflow.operators import reach
+from weirflow.plans import graphs, texts
 
 
 def test_near_copies_in_any_script(spark, rows, tmp_path):
@@ -14,3 +19,28 @@ def test_near_copies_in_any_script(spark, rows, tmp_path):
     assert got == {1: 2, 2: 2, 3: 2, 4: 0, 5: 0, 6: 0, 9: 0}
     last = spark.createDataFrame([docs[-1]], "doc_id long, text string, lang string").select(text.text_tokens(text.F.col("text")).alias("t")).first().t
     assert last == ["é", "t", "é", "à", "l", "'", "é", "cole", "２"]
+
+
+def brute_classes(lines):
+    cls = {o: o for o, *_ in lines}
+    moved = True
+    while moved:
+        moved = False
+        for o, p, *_ in lines:
+            low = min(cls[x] for x, q, *_ in lines if q == p)
+            moved, cls[o] = moved or low < cls[o], min(low, cls[o])
+    return cls
+
+
+def test_alias_classes_over_all_lines(spark, rows, tmp_path):
+    random.seed(3)
+    lines = [(random.randrange(60), random.randrange(50), 0.01 * random.randrange(11), float(random.randrange(1, 51))) for _ in range(70)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_discount double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = brute_classes(lines)
+    assert dict(rows(graphs.gr05_whole(spark, str(tmp_path)))) == want and 1 < len(set(want.values())) < len(want)
+
+
+def test_components_that_still_move_raise(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)], "node int, next int")
+    with pytest.raises(RuntimeError):
+        reach.components(e, 1)

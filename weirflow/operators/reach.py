@@ -149,5 +149,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         links = now
         if same:
             break
+    else:
+        raise RuntimeError(f"links still move after {max_rounds} rounds")
     found = links.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(found, nodes.node == found.u, "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -142,7 +142,17 @@ select u as orderkey, min(v) as class from walk group by 1
 """)
 def gr05(spark: SparkSession, d: str) -> DataFrame:
     """Orders that may alias: they share a part in a large discounted line, transitively."""
-    e = table(spark, d, "lineitem").where("l_discount >= 0.1 and l_quantity >= 48").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"))
+    return _alias_classes(table(spark, d, "lineitem").where("l_discount >= 0.1 and l_quantity >= 48"))
+
+
+@book.query("gr05_alias_classes_whole")
+def gr05_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Orders that may alias over all lines; a closure in SQL would need all pairs of a class."""
+    return _alias_classes(table(spark, d, "lineitem"))
+
+
+def _alias_classes(lines: DataFrame) -> DataFrame:
+    e = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"))
     least = e.groupBy("p").agg(F.min("o").alias("next"))
     links = e.join(least, "p").select(F.col("o").alias("node"), "next")
     return R.components(links).select(F.col("node").alias("orderkey"), F.col("component").alias("class"))
