@@ -9,6 +9,7 @@ import pytest
 from weirflow.functions import text
 from weirflow.operators import reach
 from weirflow.plans import graphs, texts
+from weirflow.scan import Scan, ScanOptions
 
 
 def test_near_copies_in_any_script(spark, rows, tmp_path):
@@ -44,3 +45,18 @@ def test_components_that_still_move_raise(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)], "node int, next int")
     with pytest.raises(RuntimeError):
         reach.components(e, 1)
+
+
+def test_receivers_are_reported_if_vulnerable(spark, rows):
+    head, tail = "import zipfile\nfrom flask import request\ndef v(open_):\n", "    z.extract_all('x')\n"
+    made = {"tainted": "    z = zipfile.ZipFile(request.args['q'])\n", "fixed": "    z = zipfile.ZipFile('a.zip')\n", "open": "    z = open_\n"}
+    files = [(f"{n}.py", head + body + tail, ) for n, body in made.items()] + [("a.js", "function go(req) {\n  const z = new Zip(req.query.q);\n  z.extract_all('x');\n}\n")]
+    df = spark.createDataFrame(files, "path string, source string")
+
+    def found(slots):
+        sinks = spark.createDataFrame([(f, "extract_all", "command", slots, True) for f in ("python", "js")], "family string, sink string, label string, slots array<int>, receiver boolean")
+        return rows(Scan(df, ScanOptions(sinks=sinks)).findings, "file", "slot", "verdict")
+
+    args = [(f, 0, "clean") for f in ("a.js", "fixed.py", "open.py", "tainted.py")]
+    receivers = [("a.js", -1, "vulnerable"), ("tainted.py", -1, "vulnerable")]
+    assert found([]) == sorted(args + receivers, key=repr) and found([-1]) == receivers and found([0]) == args

@@ -31,7 +31,8 @@ def sink_roots(p: Program, sinks: DataFrame | None = None) -> DataFrame:
     """root, call, slot, node, sink, label, role: the arguments of armed sink calls.
 
     A sink that needs a receiver is armed by its last segment on a call through
-    one; any other by its full name. Functions of the program are no sinks.
+    one; any other by its full name. Functions of the program are no sinks. The
+    receiver is slot -1, of sinks armed on every slot or on -1.
     """
     sinks = small_or_plain(sinks, MAX_BROADCAST_FACTS) if sinks is not None else F.broadcast(K.sinks(p.lowered.sparkSession))
     calls = p.part("calls").where("not again").join(p.bindings.select("call"), "call", "left_anti")
@@ -42,7 +43,7 @@ def sink_roots(p: Program, sinks: DataFrame | None = None) -> DataFrame:
     method = c.where(F.contains("resolved", F.lit("."))).withColumn("sink", F.col("tail")).join(sinks.where("receiver"), ["family", "sink"])
     armed_calls = first_per(named.unionByName(method), ["call"], F.length("sink").desc(), F.col("label"))
     args = p.part("args").select("call", "slot", "node", "literal")
-    roots = armed_calls.join(args, "call").where((F.size("slots") == 0) | F.array_contains("slots", F.col("slot"))).where("slot >= 0")
+    roots = armed_calls.join(args, "call").where((F.size("slots") == 0) | F.array_contains("slots", F.col("slot")))
     return roots.select(F.concat_ws("|", "call", "slot").alias("root"), "call", "slot", "node", "sink", "label", V.role_of(F.col("label")).alias("role"))
 
 
@@ -77,7 +78,7 @@ def stops(p: Program, roots: DataFrame, source: DataFrame, sanitizers: DataFrame
 
 
 def findings(p: Program, sinks: DataFrame | None = None, sources: DataFrame | None = None, sanitizers: DataFrame | None = None) -> DataFrame:
-    """One row per sink argument, whatever its verdict.
+    """One row per sink argument, whatever its verdict, and per receiver that is vulnerable (GR-20).
 
     file, fn, line, sink, callee, slot, label, role, verdict, source, steps
     (path of nodes from source to sink for vulnerable ones), cut_reasons.
@@ -107,6 +108,8 @@ def findings(p: Program, sinks: DataFrame | None = None, sources: DataFrame | No
     steps = steps.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("i", F.col("what").alias("kind"), F.col("fn").alias("func"), F.col("name").alias("detail"), F.col("at").alias("line")))).alias("steps"))
     calls = p.part("calls").select("call", "file", "family", "fn", "callee", "line")
     out = roots.select("root", "call", "slot", "sink", "label", "role").distinct().join(per, "root", "left").join(origin, "root", "left").join(steps, "root", "left").join(calls, "call")
+    # an undecided receiver says nothing about what its call consumes
+    out = out.where("slot >= 0 or verdict = 'vulnerable'")
     # an argument that is a literal has no node: clean, as its value is fixed
     return out.select(
         "file", "family", "fn", "line", "sink", "callee", "slot", "label", "role", F.coalesce("verdict", F.lit("clean")).alias("verdict"), "source",
