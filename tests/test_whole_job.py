@@ -60,3 +60,14 @@ def test_receivers_are_reported_if_vulnerable(spark, rows):
     args = [(f, 0, "clean") for f in ("a.js", "fixed.py", "open.py", "tainted.py")]
     receivers = [("a.js", -1, "vulnerable"), ("tainted.py", -1, "vulnerable")]
     assert found([]) == sorted(args + receivers, key=repr) and found([-1]) == receivers and found([0]) == args
+
+
+def test_renamed_copies_are_structural_clones(spark, rows, tmp_path):
+    code = "def {0}({1}):\n    {2} = {1} + 1\n    if {2}:\n        return {2}\n    while {1}:\n        {1} = {2} - 3\n    return {1}\n"
+    other = "class A:\n    x = [1, 2, 3]\n    y = {'a': x, 'b': not x}\n    z = x[0] * y['a'] / 2 ** 3 % 7 - 1 < 4 > 5 == 6\n"
+    copy = code.format("f", "p", "q")
+    fams = [(1, "py", [copy]), (2, "py", [None, copy.replace("p", "long_name").replace("q", "other")]), (3, "py", [other]), (4, "py", ["x = 1"]), (5, "js", [copy]), (6, None, None)]
+    data = [(n, lang, None if s is None else [(x, "py") for x in s], None) for n, lang, s in fams]
+    kind = "array<struct<source:string,ext:string>>"
+    spark.createDataFrame(data, f"fam_no long, lang string, positives {kind}, negatives {kind}").write.parquet(f"{tmp_path}/families.parquet")
+    assert dict(rows(texts.min11_clones(spark, str(tmp_path)), "fam_no", "n_links")) == {1: 1, 2: 1, 3: 0, 5: 0}

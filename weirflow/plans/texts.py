@@ -12,6 +12,7 @@ from ..operators import mining as M
 from ..operators import similarity as S
 from ..session import table
 from ..sources import diffs, files
+from ..storage import write_table
 from . import general
 from .base import Book
 
@@ -191,6 +192,27 @@ def _call_sets(spark: SparkSession, d: str) -> DataFrame:
 _lint_pairs("min11_call_overlap", "select distinct fam_no as id, coalesce(lang, '') as scope, name as g from names where variant = 'positive'", _call_sets, 4, 5)
 
 
+_TOKENS = r"""regexp_extract_all(text, '"(?:\\.|[^"\\])*"|''(?:\\.|[^''\\])*''|`[^`]*`|[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\.[0-9]+)?|[^ \t-\r]')"""
+_FIRST = _SAMPLES.replace("unnest(positives) as m from families", "list_filter(positives, lambda x: x.source is not null)[1] as m from families")
+
+
+@book.query("min11_structural_clones", f"with {_FIRST}, t as (select fam_no as id, coalesce(lang, '') as scope, {_TOKENS} as t from code where variant = 'positive')," + r"""
+k as materialized (select id, scope, list_transform(range(1, len(t) + 1), lambda i: case when regexp_matches(t[i], '^["''`].') then 'STR' when regexp_matches(t[i], '^[0-9]') then 'NUM'
+  when regexp_matches(t[i], '^[A-Za-z_]') and t[i] not in (""" + _KEEP + r""") and coalesce(t[i + 1], '') <> '(' then 'ID' else t[i] end) as k from t),
+a as (select distinct id, scope, unnest(list_transform(range(1, len(k) - 2), lambda i: array_to_string(k[i:i + 3], ' '))) as g from k where len(k) >= 4),
+g as (select id, scope, g from a where id in (select id from a group by 1 having count(*) >= 8)),
+""" + _ALIKE.format(num=17, den=20).replace("k as (", "e as (") + "select n.id as fam_no, cast((select count(*) from e where e.id = n.id) as bigint) as n_links from n")
+def min11_clones(spark: SparkSession, d: str) -> DataFrame:
+    """Each family with the renamed copies of its first positive in its language: four-token skeleton shingles, 8 at least, 0.85 or more (D008)."""
+    f = table(spark, d, "families").select("fam_no", F.coalesce("lang", F.lit("")).alias("lang"), F.try_element_at(F.filter("positives", lambda m: m["source"].isNotNull()), F.lit(1)).alias("m")).where("m is not null")
+    t = f.select("fam_no", "lang", X.skeleton_tokens(X.strip_comments(F.col("m.source"), F.coalesce("m.ext", F.lit("")))).alias("t"))
+    # written, as filters would else be pushed down and take the tokens again for each token
+    k = write_table(t.select("fam_no", "lang", X.skeleton(F.col("t")).alias("k")), "skeletons")
+    sets = write_table(S.shingle_sets(k, "fam_no", F.col("k"), 4, "lang"), "sets")
+    members, pairs = S.alike(sets.where(F.size("s") >= 8), 17, 20)
+    return S.link_counts(members, pairs).select(F.col("id").alias("fam_no"), "n_links")
+
+
 # ---------------------------------------------------------------- mining
 
 
