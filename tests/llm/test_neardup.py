@@ -68,13 +68,49 @@ def test_pairs_and_links_against_brute_force(spark, rows, monkeypatch, hot):
     assert dict(rows(neardup.links(pairs, members), "id", "n_links")) == links
 
 
-def test_prefixes_lose_no_pair_at_the_threshold():
+@pytest.mark.parametrize("num, den", [(3, 5), (4, 5), (1, 2)])
+def test_prefixes_and_filters_lose_no_pair_at_the_threshold(num, den):
+    """Pairs that have just enough in common must meet, in whatever order the grams are."""
     rng = np.random.default_rng(1)
-    for _ in range(400):
+    for _ in range(300):
         n = int(rng.integers(1, 60))
         common = rng.choice(2**60, n, replace=False).astype(np.uint64)
-        a = np.unique(np.r_[common, rng.integers(0, 2**60, int(rng.integers(0, n + 1))).astype(np.uint64)])
-        assert neardup.suffix_bound(a, np.unique(common)) >= len(np.intersect1d(a, common))
+        spare = n * (den - num) // num
+        k = int(rng.integers(0, spare + 1))
+        extra = np.setdiff1d(rng.integers(0, 2**60, spare).astype(np.uint64), common)
+        a, b = np.sort(np.r_[common, extra[:k]]), np.sort(np.r_[common, extra[k:]])
+        rank = {int(g): i for i, g in enumerate(rng.permutation(np.union1d(a, b)))}
+        rows, cls = [], {}
+        for key, s in ((7, a), (9, b)):
+            cls[key] = len(s)
+            ordered = sorted(map(int, s), key=rank.get)
+            length = min(len(s), len(s) - -(-num * len(s) // den) + neardup.SHARED)
+            rows += [(g, len(s) << 32 | i << 1, key) for i, g in enumerate(ordered[:length])]
+        columns = [np.array(c, np.int64) for c in zip(*sorted(rows), strict=True)]
+        met = [(int(p), int(q), int(z)) for part in neardup.meetings(*columns, num, den) for p, q, z in zip(*part, strict=True)]
+        assert len(met) >= met[0][2] and all(cls[p] <= cls[q] for p, q, _ in met)
+        x, y = (neardup.range_counts(v)[None] for v in (a, b))
+        assert neardup.suffix_bound(np.array([len(a) + len(b)]), x, y)[0] >= n
+
+
+def test_runs_are_paired_in_blocks(monkeypatch):
+    """Blocks, repeated entries and visitors change nothing of what is found."""
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(rng.integers(5)), int(rng.integers(10, 14)) << 32 | int(rng.integers(3)) << 1, int(rng.integers(30))) for _ in range(300)})
+    columns = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
+    got = lambda cs: sorted(tuple(map(int, r)) for part in neardup.meetings(*cs, 3, 5) for r in zip(*part, strict=True))
+    want = got(columns)
+    assert want == got([np.repeat(c, 3) for c in columns])
+    monkeypatch.setattr(neardup, "BLOCK_PAIRS", 7)
+    assert want == got(columns) and len(want) > 100
+
+
+def test_many_copies_are_expanded_in_blocks(spark, rows, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_COPIES", 3)
+    members = spark.createDataFrame([(i, i % 2, 5) for i in range(20)] + [(50, 2, 5)], "id bigint, cls bigint, n int")
+    pairs = spark.createDataFrame([(0, 2)], "cls_a bigint, cls_b bigint")
+    want = [(a, b) for a in range(20) for b in range(a + 1, 20) if (a - b) % 2 == 0] + [(a, 50) for a in range(0, 20, 2)]
+    assert rows(neardup.expand(pairs, members), "a", "b") == sorted(want, key=repr)
 
 
 def test_empty(spark):

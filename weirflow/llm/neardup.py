@@ -1,27 +1,34 @@
 """Records whose n-gram sets are alike, without comparing all pairs.
 
-Each record's set of token n-grams is ordered rare-first: by an estimated
-document frequency (a count sketch of 2**SKETCH_BITS buckets, so its size is
-fixed), then by the gram itself. Two sets with a Jaccard similarity of at least
-t must share a gram within their prefixes in this order, so only prefixes are
-joined, on the gram. A joined pair is kept if it passes
+Each text is tokenised once: its record's set of token n-grams (64-bit hashes) is
+written, together with a count sketch of the grams. The sets are then ordered
+rare-first: by the sketched document frequency, then by the gram itself. Two sets
+with a Jaccard similarity of at least t must share a gram within their prefixes
+in this order, so only prefixes are joined, on the gram: they are partitioned and
+sorted by gram, and each run of one gram pairs its members in blocks. A pair is
+kept if it passes
 
 * the length filter: the smaller set has at least t times the larger one's size,
 * the positional filter: what lies behind the shared gram can still give the
   overlap needed,
 * prefixes are SHARED - 1 grams longer than one common gram would need, so a
   pair must share SHARED grams in them (or all that it needs, if fewer),
-* once the sets are at hand, the suffix filter: the counts of both sets in
-  ranges of the gram space bound the overlap from above,
+* the suffix filter, before any set is moved: the counts of both sets in ranges
+  of the gram space (SUFFIX_RANGES bytes a set) bound the overlap from above,
 
-and each pair left is verified once, exactly, on the whole sets. A gram that very
-many sets have (by the sketch) is salted, so no task gets all of its pairs.
+and each pair left is verified once, exactly, on the whole sets: one set of each
+class goes to the partition of its class, the smaller set of a pair travels to
+the larger one's. A gram that very many sets have (by the sketch) is salted, so
+no task gets all of its pairs.
+
+The sketch has 2**SKETCH_BITS buckets whatever the data, one byte each once it is
+merged (a logarithm of the count), so what is broadcast has a proven size. Tasks
+write theirs in compressed slices, which are merged slice by slice.
 
 Records with equal sets form a class and take part once, however many there
-are: the entries of copies fall together before the shuffle (per task) and
-after it. Results come as pairs of classes plus membership; ``expand`` makes
-pairs of records of them where such are asked for. Nothing is collected but
-the sketch.
+are: copies fall together in each task and again where grams are sorted. Results
+come as pairs of classes plus membership; ``expand`` makes pairs of records of
+them, block by block, where such are asked for.
 
 Defined cases: null, empty and blank sources have no grams, a source with fewer
 than n tokens has none; records with an empty set, and records without an id,
@@ -40,17 +47,23 @@ from pyspark.sql import functions as F
 
 from ..storage import small_or_plain, write_table
 
-SKETCH_BITS = 18
+SKETCH_BITS = 22
+#: Slices in which tasks write their sketch.
+SLICES = 64
+#: Buckets' counts are kept as 1 + CODE * log2(count), rounded.
+CODE = 8
 #: Grams that two prefixes must have in common; prefixes are that much longer.
 SHARED = 8
 #: Estimated frequency that one task takes of a gram; grams of more are salted.
 HOT = 4_000
 #: Ranges of the gram space that the suffix filter compares.
 SUFFIX_RANGES = 32
-#: Candidate pairs (two members each) up to which they are broadcast to the sets.
+#: Candidate pairs, or classes of them, up to which they are broadcast (under 100 bytes each).
 MAX_BROADCAST_MEMBERS = 500_000
-#: Bound of a worker's memory of the sets it has sent.
+#: Bound of a worker's memory of the sets it has written.
 MAX_SENT = 500_000
+#: Pairs that are made at a time, and copies of one class that are paired in one block.
+BLOCK_PAIRS, BLOCK_COPIES = 1_000_000, 2_000
 
 #: Bytes of text that are tokenised at a time; a longer record is taken alone.
 CHUNK_BYTES = 1_500_000
@@ -156,7 +169,13 @@ class GramSets:
         within = text[:size] == text[self.n - 1 :]
         g, owner = g[within], np.searchsorted(sizes, text[:size][within] + sizes[0], side="right") - 1
         cuts = np.searchsorted(owner, np.arange(rows + 1))
-        return [np.unique(g[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            g[a:b].sort()
+        new = np.ones(len(g), dtype=bool)
+        new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
+        upto = np.r_[0, np.cumsum(new)][cuts]
+        g = g[new]
+        return [g[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
 
 
 def _dense(a: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -170,169 +189,257 @@ def set_key(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    grams = GramSets(n)
-    for batch in batches:
-        yield batch, grams.of(batch.column(batch.num_columns - 1))
+def _bucket(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+_SETS = pa.schema([("id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("grams", pa.binary()), ("ranges", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
 
 
-def _classes(df: DataFrame, n: int) -> DataFrame:
-    """id, class and set size of each record with a set, and the sketch's counts (rows without id)."""
+def _scan(df: DataFrame, n: int) -> DataFrame:
+    """id, class, size of each record's set, and the set itself once a class and task; then slices of the task's sketch.
+
+    ``df`` holds id and sources.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        kind = pa.schema([("id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("bucket", pa.int32()), ("times", pa.int64())])
-        for batch, sets in _sets(batches, n):
+        import zstandard
+
+        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
+        grams, sent = GramSets(n), set()
+        for batch in batches:
+            sets = grams.of(batch.column(1))
             there = [i for i, s in enumerate(sets) if len(s)]
-            for i in there:
-                np.add.at(sketch, (sets[i] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            none = pa.nulls(len(there), pa.int32())
+            if not there:
+                continue
+            np.add.at(sketch, _bucket(np.concatenate([sets[i] for i in there])), 1)
+            keys, held, ranges = [set_key(sets[i]) for i in there], [], []
+            for i, key in zip(there, keys, strict=True):
+                new = key not in sent
+                if new:
+                    if len(sent) >= MAX_SENT:
+                        sent.clear()
+                    sent.add(key)
+                held.append(sets[i].tobytes() if new else None)
+                ranges.append(range_counts(sets[i]).tobytes() if new else None)
+            none = lambda t, k=len(there): pa.nulls(k, t)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(there, pa.int64())), pa.array([set_key(sets[i]) for i in there], pa.int64()), pa.array([len(sets[i]) for i in there], pa.int32()), none, none.cast(pa.int64())],
-                schema=kind,
+                [batch.column(0).take(pa.array(there, pa.int64())), pa.array(keys, pa.int64()), pa.array([len(sets[i]) for i in there], pa.int32()), pa.array(held, pa.binary()), pa.array(ranges, pa.binary()), none(pa.int32()), none(pa.binary())],
+                schema=_SETS,
             )
-        held = np.flatnonzero(sketch)
-        none = pa.nulls(len(held), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), pa.array(held, pa.int32()), pa.array(sketch[held], pa.int64())], schema=kind)
+        packed = [(k, zstandard.compress(part.tobytes(), 1)) for k, part in enumerate(np.split(sketch, SLICES)) if part.any()]
+        none = [pa.nulls(len(packed), f.type) for f in list(_SETS)[:5]]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in packed], pa.int32()), pa.array([c for _, c in packed], pa.binary())], schema=_SETS)
+
+    return df.mapInArrow(scan, "id long, cls long, n int, grams binary, ranges binary, slice int, counts binary")
+
 
-    return df.mapInArrow(scan, "id long, cls long, n int, bucket int, times long")
+def _sketch(scanned: DataFrame) -> np.ndarray:
+    """The merged sketch as codes of the counts, one byte each."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        open_: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zstandard.decompress(counts), np.int32)
+                open_[k] = open_[k] + part if k in open_ else part.astype(np.int64)
+        codes = [np.where(c > 0, np.minimum(255, 1 + np.rint(CODE * np.log2(np.maximum(c, 1)))), 0).astype(np.uint8) for c in open_.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(open_), pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["slice", "codes"])
 
+    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), dtype=np.uint8)
+    for r in scanned.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(add, "slice int, codes binary").collect():
+        out[r.slice] = np.frombuffer(r.codes, np.uint8)
+    return out.reshape(-1)
 
-def _entries(df: DataFrame, n: int, num: int, den: int, sketch) -> DataFrame:  # noqa: ANN001
-    """The prefix grams of each set: gram (32 bits, enough to find candidates), cls, n, pos, role, salt.
 
-    Role 0 is on both sides of the join. The entries of a hot gram are spread
-    over salts on the one side (role 1) and repeated for each on the other (2).
+# an entry's size, position and role share one long, in this order of bits, so that sorting by it sorts by size
+_POS_BITS = 31
+
+
+def _entries(sets: DataFrame, num: int, den: int, sketch) -> DataFrame:  # noqa: ANN001
+    """The prefix grams of each set: gram (salted if hot), what (size, position, visitor), cls.
+
+    A hot gram's entry has one salt as its home and visits all others; a pair
+    meets where its smaller set is at home.
     """
-    kind = pa.schema([("gram", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("role", pa.int32()), ("salt", pa.int32())])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
-        salts = 1 + np.maximum(counts - 4 * int(counts.mean()), 0) // HOT
-        sent: set[int] = set()
-        for _, sets in _sets(batches, n):
-            grams, classes, sizes, places, roles, salted = [], [], [], [], [], []
-            for s in sets:
-                if not len(s) or (key := set_key(s)) in sent:
-                    continue
-                if len(sent) >= MAX_SENT:
-                    sent.clear()
-                sent.add(key)
-                length = min(len(s), len(s) - -(-num * len(s) // den) + SHARED)
-                rare = s[np.lexsort((s, counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))][:length]
-                k = salts[(rare >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                pos = np.arange(length, dtype=np.int32)
-                role, salt = np.where(k > 1, 1, 0).astype(np.int32), np.where(k > 1, key % k, 0).astype(np.int32)
+        codes = sketch.value
+        times = np.where(np.arange(256) > 0, 2.0 ** ((np.arange(256) - 1) / CODE), 0)
+        mean = float((np.bincount(codes, minlength=256) * times).sum() / len(codes))
+        salts = 1 + (np.maximum(times - 4 * mean, 0) / HOT).astype(np.int64)
+        for batch in batches:
+            grams, whats, classes = [], [], []
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = np.frombuffer(data.as_buffer(), np.uint64)
+                n = len(s)
+                length = min(n, n - -(-num * n // den) + SHARED)
+                code = codes[_bucket(s)]
+                # the sets are sorted, so a stable order by code is one by code and gram
+                first = np.argsort(code, kind="stable")[:length]
+                g, k = s[first], salts[code[first]]
+                what = np.int64(n) << (_POS_BITS + 1) | np.arange(length, dtype=np.int64) << 1
                 if (hot := np.flatnonzero(k > 1)).size:
-                    again = np.repeat(hot, k[hot])
-                    pos = np.r_[pos, again.astype(np.int32)]
-                    role = np.r_[role, np.full(len(again), 2, np.int32)]
-                    salt = np.r_[salt, np.concatenate([np.arange(x, dtype=np.int32) for x in k[hot]])]
-                grams.append((rare[pos] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-                classes.append(np.full(len(pos), key, np.int64))
-                sizes.append(np.full(len(pos), len(s), np.int32))
-                places.append(pos)
-                roles.append(role)
-                salted.append(salt)
+                    home = key % k[hot]
+                    salt = np.concatenate([np.delete(np.arange(x), h) for x, h in zip(k[hot], home, strict=True)])
+                    again = np.repeat(hot, k[hot] - 1)
+                    visit = _salted(g[again], salt)
+                    g = g.copy()
+                    g[hot] = _salted(g[hot], home)
+                    g, what = np.r_[g, visit], np.r_[what, what[again] | 1]
+                grams.append(g.view(np.int64))
+                whats.append(what)
+                classes.append(np.full(len(g), key, np.int64))
             if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, classes, sizes, places, roles, salted)], schema=kind)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, whats, classes)], names=["gram", "what", "cls"])
+
+    return sets.select("cls", "grams").mapInArrow(prefixes, "gram long, what long, cls long")
 
-    return df.mapInArrow(prefixes, "gram int, cls long, n int, pos int, role int, salt int")
 
+def _salted(grams: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return (grams ^ (salt.astype(np.uint64) + np.uint64(1)) * _STEP) * _MIX
 
-def _overlap(num: int, den: int, a: Column, b: Column) -> Column:
-    """The least number of common grams of two sets that are alike."""
-    return F.ceil(F.lit(num) * (a + b) / F.lit(num + den))
+
+def meetings(gram: np.ndarray, what: np.ndarray, cls: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of classes that pass the filters, from whole runs of entries sorted by gram, what and cls.
+
+    Gives the smaller set, the larger one, and the number of prefix grams that they must share.
+    """
+    if not len(gram):
+        return
+    # copies of a class that came from several tasks
+    new = np.ones(len(gram), dtype=bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (what[1:] != what[:-1]) | (cls[1:] != cls[:-1])
+    gram, what, cls = gram[new], what[new], cls[new]
+    run = np.cumsum(np.r_[0, gram[1:] != gram[:-1]])
+    alone = np.bincount(run) == 1
+    many = ~alone[run]
+    run, what, cls = run[many].astype(np.int64), what[many], cls[many]
+    n, pos, visitor = what >> (_POS_BITS + 1), (what >> 1) & ((1 << _POS_BITS) - 1), what & 1
+    # an entry's partners are the later ones of its run up to the largest size that the length filter allows
+    limit = n * den // num
+    order = run << np.int64(32) | n
+    upto = np.searchsorted(order, run << np.int64(32) | np.minimum(limit, (1 << 32) - 1), side="right")
+    times = upto - np.arange(len(n)) - 1
+    done = np.cumsum(times)
+    short = pos < n - -(-2 * num * n // (num + den)) + SHARED
+    at = 0
+    while at < len(n):
+        end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + BLOCK_PAIRS, side="right")))
+        a = np.repeat(np.arange(at, end), times[at:end])
+        b = np.arange(len(a)) - np.repeat(np.r_[0, np.cumsum(times[at:end])[:-1]], times[at:end]) + a + 1
+        swap = (n[a] == n[b]) & (cls[b] < cls[a])
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        keep = (visitor[a] == 0) & short[a] & (cls[a] != cls[b])
+        a, b = a[keep], b[keep]
+        needed = -(-num * (n[a] + n[b]) // (num + den))
+        least = np.minimum(needed, SHARED)
+        keep = np.minimum(n[a] - pos[a], n[b] - pos[b]) > needed - least
+        yield cls[a[keep]], cls[b[keep]], least[keep]
+        at = end
 
 
 def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of classes (the smaller set first) that share a prefix gram and pass the filters."""
-    # both sides read the same exchange; copies that came from several tasks fall together here
-    once = entries.repartition("gram", "salt").dropDuplicates(["gram", "cls", "n", "pos", "role", "salt"])
-    a, b = once.alias("a"), once.alias("b")
-    na, nb = F.col("a.n"), F.col("b.n")
-    smaller_first = (na < nb) | ((na == nb) & (F.col("a.cls") < F.col("b.cls")))
-    length = na * den >= nb * num
-    # of the smaller set only the shorter prefix is needed, since the other one is at least as large
-    # put over both sides so that it is not pushed below the exchange, which the two sides then share
-    short = F.when(nb >= na, F.col("a.pos")) < na - F.ceil(F.lit(2 * num) * na / F.lit(num + den)) + SHARED
-    sides = (F.when(nb >= na, F.col("a.role")) != 2) & (F.when(nb >= na, F.col("b.role")) != 1)
-    needed = _overlap(num, den, na, nb)
-    position = F.least(na - F.col("a.pos"), nb - F.col("b.pos")) > needed - F.least(needed, F.lit(SHARED))
-    return (
-        a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.salt") == F.col("b.salt")))
-        .where(smaller_first & length & short & position & sides)
-        .groupBy(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.first(F.least(needed, F.lit(SHARED))).alias("least"))
-        .where("shared >= least")
-        .select("cls_a", "cls_b")
-    )
+    """Pairs of classes (the smaller set first) that share enough prefix grams and pass the filters."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * 3
+
+        def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for a, b, least in meetings(*columns, num, den):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(least.astype(np.int32))], names=["cls_a", "cls_b", "least"])
+
+        for batch in batches:
+            got = [np.concatenate([r, _dense(c)]) for r, c in zip(rest, batch.columns, strict=True)]
+            # the last gram may go on in the next batch
+            cut = int(np.searchsorted(got[0], got[0][-1])) if len(got[0]) else 0
+            yield from out([g[:cut] for g in got])
+            rest = [g[cut:] for g in got]
+        yield from out(rest)
+
+    met = entries.repartition("gram").sortWithinPartitions("gram", "what", "cls").mapInArrow(pairs, "cls_a long, cls_b long, least int")
+    return met.groupBy("cls_a", "cls_b").agg(F.count(F.lit(1)).alias("shared"), F.max("least").alias("least")).where("shared >= least").select("cls_a", "cls_b")
+
+
+def range_counts(grams: np.ndarray) -> np.ndarray:
+    """How many grams lie in each of SUFFIX_RANGES equal ranges of the gram space, 255 at most."""
+    edges = np.arange(1, SUFFIX_RANGES, dtype=np.uint64) * np.uint64(2**64 // SUFFIX_RANGES)
+    return np.minimum(255, np.diff(np.r_[0, np.searchsorted(grams, edges), len(grams)])).astype(np.uint8)
+
+
+def suffix_bound(n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """At most so many grams can be common, by both sizes' sums and the range counts (one row a pair)."""
+    return (n - np.abs(x.astype(np.int64) - y.astype(np.int64)).sum(axis=1)) // 2
+
+
+def _suffix_filtered(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that the range counts of their sets leave open."""
+    asked = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
+    held = sets.select("cls", "n", "ranges").join(small_or_plain(asked, MAX_BROADCAST_MEMBERS), "cls", "left_semi").dropDuplicates(["cls"])
+    held = small_or_plain(write_table(held, "ranges"), MAX_BROADCAST_MEMBERS)
+    both = pairs.join(held.toDF("cls_a", "n_a", "x"), "cls_a").join(held.toDF("cls_b", "n_b", "y"), "cls_b").select("cls_a", "cls_b", F.expr("n_a + n_b").cast("bigint").alias("n"), "x", "y")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n = _dense(batch.column(2))
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SUFFIX_RANGES) for i in (3, 4))
+                yield batch.select([0, 1]).filter(pa.array(suffix_bound(n, x, y) >= -(-num * n // (num + den))))
+
+    return both.mapInArrow(bounded, "cls_a long, cls_b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose whole sets are alike, each looked at once."""
-    members = pairs.select("cls_a", "cls_b", F.explode(F.array("cls_a", "cls_b")).alias("cls"))
-    both = (
-        sets.join(small_or_plain(members, MAX_BROADCAST_MEMBERS), "cls")
-        .groupBy("cls_a", "cls_b")
-        .agg(F.min(F.when(F.col("cls") == F.col("cls_a"), F.col("grams"))).alias("x"), F.min(F.when(F.col("cls") == F.col("cls_b"), F.col("grams"))).alias("y"))
-    )
+    asked = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
+    one = sets.select("cls", "grams").join(small_or_plain(asked, MAX_BROADCAST_MEMBERS), "cls", "left_semi").groupBy("cls").agg(F.first("grams").alias("grams"))
+    smaller = one.toDF("cls_a", "x").join(small_or_plain(pairs, MAX_BROADCAST_MEMBERS), "cls_a")
+    both = smaller.join(one.toDF("cls_b", "y").hint("merge"), "cls_b").select("cls_a", "cls_b", "x", "y")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                needed = -(-num * (len(a) + len(b)) // (num + den))
-                keep.append(suffix_bound(a, b) >= needed and len(np.intersect1d(a, b, assume_unique=True)) >= needed)
+                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                keep.append((num + den) * len(np.intersect1d(a, b, assume_unique=True)) >= num * (len(a) + len(b)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(alike, "cls_a long, cls_b long")
 
 
-def suffix_bound(a: np.ndarray, b: np.ndarray) -> int:
-    """At most so many grams can be common, by the counts in ranges of the gram space."""
-    edges = np.arange(1, SUFFIX_RANGES, dtype=np.uint64) * np.uint64(2**64 // SUFFIX_RANGES)
-    x, y = (np.diff(np.r_[0, np.searchsorted(v, edges), len(v)]) for v in (a, b))
-    return int(np.minimum(x, y).sum())
-
-
 def near_duplicates(df: DataFrame, key: str, sources: Column, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Alike classes of records with a Jaccard similarity of at least num / den of their n-gram sets.
 
     ``key`` is an integer id, ``sources`` an array of texts. Returns the pairs
     (cls_a, cls_b) of different classes and the members (id, cls, n) of all.
     """
-    spark = df.sparkSession
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), sources.alias("sources"))
-    scanned = write_table(_classes(texts, n), "classes")
+    scanned = write_table(_scan(texts, n), "sets")
     members = scanned.where("id is not null").select("id", "cls", "n")
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for r in scanned.where("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("n")).toLocalIterator():
-        counts[r.bucket] = r.n
-    sketch = spark.sparkContext.broadcast(counts)
-    pairs = write_table(_candidates(_entries(texts, n, num, den, sketch), num, den), "candidates")
-
-    # the whole sets of candidates, of one record per class
-    asked = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
-    first = members.join(small_or_plain(asked, MAX_BROADCAST_MEMBERS), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, n):
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "grams"])
-
-    one = texts.join(small_or_plain(write_table(first, "first"), MAX_BROADCAST_MEMBERS), "id", "left_semi")
-    return _verified(pairs, one.mapInArrow(whole, "cls long, grams binary"), num, den), members
+    sets = scanned.where("grams is not null").select("cls", "n", "grams", "ranges")
+    sketch = df.sparkSession.sparkContext.broadcast(_sketch(scanned))
+    pairs = write_table(_candidates(_entries(sets, num, den, sketch), num, den), "candidates")
+    pairs = write_table(_suffix_filtered(pairs, sets, num, den), "candidates")
+    return _verified(pairs, sets, num, den), members
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of records (a < b): those within a class, and those of alike classes."""
-    m = members.select("id", "cls")
-    x, y = m.alias("x"), m.alias("y")
-    same = x.join(y, (F.col("x.cls") == F.col("y.cls")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    left = pairs.join(m.select(F.col("cls").alias("cls_a"), F.col("id").alias("p")), "cls_a")
-    other = left.join(m.select(F.col("cls").alias("cls_b"), F.col("id").alias("q")), "cls_b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-    return same.unionByName(other)
+    """Pairs of records (a < b): those within a class, and those of alike classes.
+
+    A class of many copies is cut into blocks, so that no task pairs all of them.
+    """
+    copies = members.groupBy("cls").agg(F.count(F.lit(1)).alias("_k"))
+    blocks = F.ceil(F.col("_k") / BLOCK_COPIES)
+    placed = members.join(copies, "cls").select("id", "cls", F.pmod(F.xxhash64("id"), blocks).alias("_b"))
+    links = pairs.select("cls_a", "cls_b").unionByName(copies.where("_k > 1").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b")))
+    for side in ("a", "b"):
+        each = copies.select(F.col("cls").alias(f"cls_{side}"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias(f"_{side}"))
+        links = links.join(each, f"cls_{side}")
+    x, y = placed.toDF("p", "cls_a", "_a"), placed.toDF("q", "cls_b", "_b")
+    met = links.join(x, ["cls_a", "_a"]).join(y, ["cls_b", "_b"]).where("cls_a <> cls_b or p < q")
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def links(pairs: DataFrame, members: DataFrame) -> DataFrame:
