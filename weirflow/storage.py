@@ -13,8 +13,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
@@ -61,12 +62,25 @@ def drop_tables(spark: SparkSession | None = None) -> None:
 atexit.register(drop_tables)
 
 
-def small_or_plain(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows.
+#: Bytes of rows up to which a side may be broadcast, whatever its number of rows.
+MAX_BROADCAST_BYTES = 64 << 20
 
-    The rows are counted first (up to the limit), so nothing that grows with
-    the data is ever broadcast; beyond the limit the join shuffles, and AQE
-    splits skewed partitions. Call it on a written table or a cheap plan.
+
+def size_of(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df``, and their bytes at least: texts and nested values as text, 8 for anything else."""
+    wide = ("string", "binary", "array", "map", "struct")
+    each = [F.octet_length(F.col(f"`{c}`").cast("binary" if kind == "binary" else "string")) if kind.startswith(wide) else F.lit(8) for c, kind in df.dtypes]
+    r = df.select(reduce(Column.__add__, [F.coalesce(e.cast("bigint"), F.lit(0)) for e in each]).alias("_b")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_b"), F.lit(0)).alias("b")).first()
+    return r.n, r.b
+
+
+def small_or_plain(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows of ``max_bytes`` together.
+
+    Rows and bytes are added up in the tasks first, so nothing that grows with
+    the data is ever broadcast; beyond the limits the join shuffles, and AQE
+    splits skewed partitions. Call it on a written table or a cheap plan, as
+    that is read once for the sizes.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    n, size = size_of(df)
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
