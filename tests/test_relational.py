@@ -41,11 +41,28 @@ def test_intervals_saturate(spark):
 
 def test_text(spark):
     src = "// c\nint f(a) { g.h(1); if (x) {} }\n# keep"
-    df = spark.createDataFrame([(src, "c")], "s string, e string").withColumn("t", text.strip_comments(F.col("s"), F.col("e")))
-    df = df.withColumn("k", text.skeleton_tokens(F.col("t")))
-    r = df.select(text.call_set(F.col("t")).alias("calls"), text.skeleton(F.col("k")).alias("k"), text.shingles(text.words(F.lit("a b")), 3).alias("short"), text.jaccard(F.array(), F.array()).alias("empty"),
-                  text.canonical_cwe(F.lit(" cwe-022 ")).alias("cwe"), text.advisory_ids(F.lit("see cve-2024-12345, GHSA-aaaa-bbbb-cccc")).alias("ids"), text.line_at(F.lit("a\nb\nc"), F.lit(4)).alias("line")).first()
-    assert r.calls == ["f", "h"] and r.k[:4] == ["ID", "f", "(", "ID"] and r.short == ["a", "b"] and r.empty == 1.0 and r.cwe == "CWE-22" and r.ids == ["CVE-2024-12345", "GHSA-AAAA-BBBB-CCCC"] and r.line == 3
+    df = spark.createDataFrame([(src, "c")], "s string, e string").withColumn("t", text.code_of(F.col("s"), F.col("e")))
+    r = df.select(text.called_names(F.col("t")).alias("calls"), text.skeleton_of(F.col("t")).alias("k"),
+                  text.canonical_cwe(F.lit(" cwe-022 ")).alias("cwe"), text.advisory_ids(F.lit("see cve-2024-12345, GHSA-aaaa-bbbb-cccc")).alias("ids"), text.line_at(F.lit("a\nb\nc"), F.lit(4)).alias("line"), text.column_at(F.lit("a\nbc"), F.lit(3)).alias("column")).first()
+    assert r.calls == ["f", "h"] and r.k[:4] == ["ID", "f", "(", "ID"] and r.cwe == "CWE-22" and r.ids == ["CVE-2024-12345", "GHSA-AAAA-BBBB-CCCC"] and r.line == 3 and r.column == 2
+
+
+@pytest.mark.parametrize(("code", "want"), [
+    ("x1 = 0x1F + 1.5.2", "ID = NUM ID + NUM . NUM"), ("a = \"b(1) \\\" c\" + 'd' + `e\nf`", "ID = STR + STR + STR"), ("if (sha256(z9)) return nil", "if ( sha256 ( ID ) ) return nil"),
+    ("don't f (", "ID ' ID f ("), ("iffy else9 NUM 0", "ID ID ID NUM"), ("é = 5", "é = NUM"),
+])
+def test_skeletons(spark, code, want):
+    assert " ".join(one(spark, k=text.skeleton_of(F.lit(code)))["k"]) == want
+
+
+def test_comments_are_no_code(spark):
+    of = lambda s, e: one(spark, c=text.code_of(F.lit(s), F.lit(e)))["c"]
+    assert of("a\n  // x\n\n b /* c\n d */ e\n# k", "js") == "a\n b   e\n# k" and of("# x\na # y\n  #z\n", "py") == "a # y" and of("", "py") == "" and of(None, "py") is None
+
+
+def test_text_for_reports(spark):
+    r = one(spark, a=text.scrub(F.lit("Bad  call (learned from corpus x) family:foo end")), b=text.path_shape(F.array(F.struct(F.lit("call").alias("kind"), F.lit("f").alias("func"), F.lit(3).alias("line")))), c=text.path_shape(F.array(F.struct(F.lit("call").alias("kind"), F.lit("f").alias("func"), F.lit(9).alias("line")))))
+    assert r["a"] == "Bad call end" and r["b"] == r["c"]
 
 
 def test_severity(spark):
@@ -192,7 +209,7 @@ def test_lint_of_header_blocks(spark, rows):
     classes = spark.createDataFrame([("a", ["CWE-1"])], "id string, cwes array<string>")
     good = {"observation": "o" * 20, "impact": "i" * 20, "improvement": "m" * 20, "cwe": "cwe-001", "severity": " High ", "class": "a", "purpose": "anchor", "shape": "s", "cvss": "9.8"}
     bad = {**good, "observation": "TODO" + "o" * 20, "cwe": "79", "severity": "odd", "cvss": "11", "class": "z", "purpose": "x", "extra": "1"}
-    df = spark.createDataFrame([(1, good, "a.check_owner"), (2, bad, "mockRun"), (3, None, "x.get"), (4, {**good, "cwe": "CWE-2"}, None)], "k int, meta map<string,string>, declared_check_call string")
+    df = spark.createDataFrame([(1, good, "a.check_owner"), (2, bad, "fake_run"), (3, None, "x.get"), (4, {**good, "cwe": "CWE-2"}, None)], "k int, meta map<string,string>, declared_check_call string")
     got = {}
     for k, code, detail in rows(mining.lint_metadata(df, classes, "k")):
         got.setdefault(k, []).append((code, detail))

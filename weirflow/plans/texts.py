@@ -20,16 +20,26 @@ book = Book()
 
 # ---------------------------------------------------------------- samples of families
 
-_NO_COMMENTS = r"""regexp_replace(regexp_replace(source, '(?s)/\*.*?\*/', ' ', 'g'), '(?m)^[ \t]*//.*(?:\n|\z)', '', 'g')"""
-_SAMPLES = rf"""
+
+
+def _listed(words) -> str:  # noqa: ANN001
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _code(source: str, hashed: bool) -> str:
+    comments = f"(?sm){X.BLOCK_COMMENT}|{X.SLASH_LINE}" + (f"|{X.HASH_LINE}" if hashed else "")
+    return rf"trim(regexp_replace(regexp_replace({source}, '{comments}', ' ', 'g'), '(?:[ \t]*\n)+', chr(10), 'g'), chr(10))"
+
+
+_SAMPLES = f"""
 samples as (
   select fam_no, lang, 'positive' as variant, m.source as source, m.ext as ext from (select fam_no, lang, unnest(positives) as m from families) where m.source is not null
   union all
   select fam_no, lang, 'negative', m.source, m.ext from (select fam_no, lang, unnest(negatives) as m from families) where m.source is not null),
-code as (select fam_no, lang, variant, ext, case when ext in ('py', 'pyi', 'pyw') then regexp_replace({_NO_COMMENTS}, '(?m)^[ \t]*#.*(?:\n|\z)', '', 'g') else {_NO_COMMENTS} end as text from samples)"""
-_CALLS = r"""
-names as (select distinct fam_no, lang, variant, list_last(string_split(c, '.')) as name from (select fam_no, lang, variant, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_.]*)[ \t-\r]*\(', 1)) as c from code)
-  where list_last(string_split(c, '.')) not in ('if','for','while','switch','return','sizeof','catch','function','fn','match','def','func','elif','await','async','typeof','new'))"""
+code as (select fam_no, lang, variant, ext, case when ext in ({_listed(X.HASH_EXTENSIONS)}) then {_code('source', True)} else {_code('source', False)} end as text from samples)"""
+_CALLS = rf"""
+names as (select distinct fam_no, lang, variant, name from (select fam_no, lang, variant, unnest(regexp_extract_all(text, '({X.NAME})[ \t-\r]*\(', 1)) as name from code)
+  where name not in ({_listed(X.CALL_KEYWORDS)}))"""
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
@@ -37,30 +47,29 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "families")
     parts = [f.select("fam_no", "lang", F.lit(v).alias("variant"), F.explode(c).alias("m")) for v, c in (("positive", "positives"), ("negative", "negatives"))]
     s = parts[0].unionByName(parts[1]).where("m.source is not null")
-    return s.select("fam_no", "lang", "variant", F.col("m.ext").alias("ext"), X.strip_comments(F.col("m.source"), F.coalesce("m.ext", F.lit(""))).alias("text"))
+    return s.select("fam_no", "lang", "variant", F.col("m.ext").alias("ext"), X.code_of(F.col("m.source"), F.coalesce("m.ext", F.lit(""))).alias("text"))
 
 
 def call_names(spark: SparkSession, d: str) -> DataFrame:
     """fam_no, lang, variant, name of all called names, each once per family and variant."""
-    return samples(spark, d).select("fam_no", "lang", "variant", F.explode(X.call_set(F.col("text"))).alias("name")).distinct()
+    return samples(spark, d).select("fam_no", "lang", "variant", F.explode(X.called_names(F.col("text"))).alias("name")).distinct()
 
 
-@book.query("fn26_tokens", f"with {_SAMPLES} " + r"""select fam_no, cast(sum(len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^ \t-\r]'))) as bigint) as n_tokens from code group by 1""")
+@book.query("fn26_tokens", f"with {_SAMPLES} select fam_no, cast(sum(len(regexp_extract_all(text, '{X.TOKEN}'))) as bigint) as n_tokens from code group by 1")
 def fn26(spark: SparkSession, d: str) -> DataFrame:
-    return samples(spark, d).groupBy("fam_no").agg(F.sum(F.size(X.tokens(F.col("text")))).alias("n_tokens"))
+    return samples(spark, d).groupBy("fam_no").agg(F.sum(F.size(X.code_tokens(F.col("text")))).alias("n_tokens"))
 
 
-_KEEP = "'if','else','for','while','switch','case','return','try','catch','except','finally','function','fn','def','func','match','await','async','const','let','var','new','throw','raise','defer','go','struct','class','import','from','unsafe','with','yield','break','continue','null','nil','None','true','false'"
+# the SQL abstracts token by token, each looking at the next; the operator rewrites the text in passes
+_TOKENS = f"regexp_extract_all(text, '{X.QUOTED.replace(chr(39), chr(39) * 2)}|{X.NAME}|[0-9]+(?:\\.[0-9]+)?|{X.OTHER}')"
+_SKELETON = rf"""list_transform(range(1, len(t) + 1), lambda i: case when regexp_matches(t[i], '(?s)^["''`].') then 'STR' when regexp_matches(t[i], '^[0-9]') then 'NUM'
+  when regexp_matches(t[i], '^[A-Za-z_]') and t[i] not in ({_listed(X.SKELETON_KEYWORDS)}) and coalesce(t[i + 1], '') <> '(' then 'ID' else t[i] end)"""
 
 
-@book.query("fn27_skeleton", f"with {_SAMPLES}, " + r"""t as (select fam_no, variant, regexp_extract_all(text, '"(?:\\.|[^"\\])*"|''(?:\\.|[^''\\])*''|`[^`]*`|[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\.[0-9]+)?|[^ \t-\r]') as t from code),
-k as (select fam_no, variant, list_transform(range(1, len(t) + 1), lambda i: case when regexp_matches(t[i], '^["''`].') then 'STR' when regexp_matches(t[i], '^[0-9]') then 'NUM'
-  when regexp_matches(t[i], '^[A-Za-z_]') and t[i] not in (""" + _KEEP + r""") and coalesce(t[i + 1], '') <> '(' then 'ID' else t[i] end) as k from t)
-select fam_no, variant, md5(array_to_string(k, ' ')) as skeleton, cast(len(k) as integer) as n from k""")
+@book.query("fn27_skeleton", f"with {_SAMPLES}, t as (select fam_no, variant, {_TOKENS} as t from code), k as (select fam_no, variant, {_SKELETON} as k from t) select fam_no, variant, md5(array_to_string(k, ' ')) as skeleton, cast(len(k) as integer) as n from k")
 def fn27(spark: SparkSession, d: str) -> DataFrame:
     """Rename-proof fingerprints of all samples."""
-    t = samples(spark, d).select("fam_no", "variant", X.skeleton_tokens(F.col("text")).alias("t"))
-    k = t.select("fam_no", "variant", X.skeleton(F.col("t")).alias("k"))
+    k = samples(spark, d).select("fam_no", "variant", X.skeleton_of(F.col("text")).alias("k"))
     return k.select("fam_no", "variant", F.md5(F.array_join("k", " ")).alias("skeleton"), F.size("k").alias("n"))
 
 
@@ -74,9 +83,7 @@ def fn31(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sink_findings").where("func is not null and sink is not null").select("func", "sink").distinct().withColumn("distance", F.levenshtein("func", "sink").cast("bigint"))
 
 
-@book.query("fn32_ids", r"""
-select doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?i)(CVE-\d{4}-\d{4,}|GHSA-[0-9a-z]{4}-[0-9a-z]{4}-[0-9a-z]{4}|OSV-\d{4}-\d+|PYSEC-\d{4}-\d+|RUSTSEC-\d{4}-\d{4}|GO-\d{4}-\d{4})'), lambda x: upper(x)), ',') as ids
-from documents where text is not null""")
+@book.query("fn32_ids", f"select doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?i)({'|'.join(X.ADVISORY_IDS)})'), lambda x: upper(x)), ',') as ids from documents where text is not null")
 def fn32(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(X.advisory_ids(F.col("text")), ",").alias("ids"))
 
@@ -192,22 +199,18 @@ def _call_sets(spark: SparkSession, d: str) -> DataFrame:
 _lint_pairs("min11_call_overlap", "select distinct fam_no as id, coalesce(lang, '') as scope, name as g from names where variant = 'positive'", _call_sets, 4, 5)
 
 
-_TOKENS = r"""regexp_extract_all(text, '"(?:\\.|[^"\\])*"|''(?:\\.|[^''\\])*''|`[^`]*`|[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\.[0-9]+)?|[^ \t-\r]')"""
 _FIRST = _SAMPLES.replace("unnest(positives) as m from families", "list_filter(positives, lambda x: x.source is not null)[1] as m from families")
 
 
-@book.query("min11_structural_clones", f"with {_FIRST}, t as (select fam_no as id, coalesce(lang, '') as scope, {_TOKENS} as t from code where variant = 'positive')," + r"""
-k as materialized (select id, scope, list_transform(range(1, len(t) + 1), lambda i: case when regexp_matches(t[i], '^["''`].') then 'STR' when regexp_matches(t[i], '^[0-9]') then 'NUM'
-  when regexp_matches(t[i], '^[A-Za-z_]') and t[i] not in (""" + _KEEP + r""") and coalesce(t[i + 1], '') <> '(' then 'ID' else t[i] end) as k from t),
+@book.query("min11_structural_clones", f"with {_FIRST}, t as (select fam_no as id, coalesce(lang, '') as scope, {_TOKENS} as t from code where variant = 'positive'), k as materialized (select id, scope, {_SKELETON} as k from t)," + r"""
 a as (select distinct id, scope, unnest(list_transform(range(1, len(k) - 2), lambda i: array_to_string(k[i:i + 3], ' '))) as g from k where len(k) >= 4),
 g as (select id, scope, g from a where id in (select id from a group by 1 having count(*) >= 8)),
 """ + _ALIKE.format(num=17, den=20).replace("k as (", "e as (") + "select n.id as fam_no, cast((select count(*) from e where e.id = n.id) as bigint) as n_links from n")
 def min11_clones(spark: SparkSession, d: str) -> DataFrame:
     """Each family with the renamed copies of its first positive in its language: four-token skeleton shingles, 8 at least, 0.85 or more (D008)."""
     f = table(spark, d, "families").select("fam_no", F.coalesce("lang", F.lit("")).alias("lang"), F.try_element_at(F.filter("positives", lambda m: m["source"].isNotNull()), F.lit(1)).alias("m")).where("m is not null")
-    t = f.select("fam_no", "lang", X.skeleton_tokens(X.strip_comments(F.col("m.source"), F.coalesce("m.ext", F.lit("")))).alias("t"))
-    # written, as filters would else be pushed down and take the tokens again for each token
-    k = write_table(t.select("fam_no", "lang", X.skeleton(F.col("t")).alias("k")), "skeletons")
+    # written, as filters would else be pushed down and take the skeleton again for each token
+    k = write_table(f.select("fam_no", "lang", X.skeleton_of(X.code_of(F.col("m.source"), F.coalesce("m.ext", F.lit("")))).alias("k")), "skeletons")
     sets = write_table(S.shingle_sets(k, "fam_no", F.col("k"), 4, "lang"), "sets")
     members, pairs = S.alike(sets.where(F.size("s") >= 8), 17, 20)
     return S.link_counts(members, pairs).select(F.col("id").alias("fam_no"), "n_links")
@@ -283,8 +286,8 @@ union all select fam_no, 'C002', cls from k where cls is not null and known is n
 union all select fam_no, 'C003', cwe from k where known is not null and n <> '' and not list_contains(cwes, 'CWE-' || n)
 union all select fam_no, 'C005', coalesce(pur, '') from k where not coalesce(pur in ('knowledge', 'precision', 'anchor'), false)
 union all select fam_no, 'C006', '' from k where m['shape'] is null
-union all select fam_no, 'D005', t from k where regexp_matches(name, '^(mock|stub|fake|dummy)')
-union all select fam_no, 'E040', t from k where name in ('get', 'set', 'put', 'post', 'delete', 'send', 'write', 'read', 'run', 'call', 'execute') and m['package'] is null
+union all select fam_no, 'D005', t from k where regexp_matches(name, '^({'|'.join(M.DOUBLE_PREFIXES)})')
+union all select fam_no, 'E040', t from k where name in ({_listed(M.EVERYDAY_VERBS)}) and m['package'] is null
 """)
 def min10_metadata(spark: SparkSession, d: str) -> DataFrame:
     """Issues of the families' header blocks."""
