@@ -2,7 +2,9 @@
 
 Blocks and instructions come as rows; each function is one group of a grouped
 Arrow call, as it is bounded by its own size and the groups are independent.
-All loops have caps; a function that hits one says so in ``converged``.
+Loops over lattices of finite height run to their end. Only intervals can widen
+without end, so those have a cap; a function that hits it says so in
+``converged``.
 """
 
 from __future__ import annotations
@@ -226,12 +228,13 @@ def value_intervals(instrs: DataFrame, branches: DataFrame, cfg: DataFrame, entr
     return rows.groupBy("fn").applyInPandas(one, "fn string, block long, var string, low long, high long, converged boolean")
 
 
-def points_to(constraints: DataFrame, max_passes: int = 10_000) -> DataFrame:
+def points_to(constraints: DataFrame) -> DataFrame:
     """fn, var, loc: inclusion constraints, field-sensitive (GR-06).
 
     ``constraints`` (fn, op, dest, src, field): 'alloc' dest at src, 'copy' dest
     from src, 'store' dest.field from src, 'load' dest from src.field; a field '*'
-    is any. On too many passes a load takes its base's own locations.
+    is any. Sets only grow and are bounded by the function's locations, so the
+    passes end by themselves.
     """
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
@@ -240,9 +243,9 @@ def points_to(constraints: DataFrame, max_passes: int = 10_000) -> DataFrame:
         for r in rows:
             if r.op == "alloc":
                 pts[r.dest].add(r.src)
-        done = False
-        for _ in range(max_passes):
-            before = sum(map(len, pts.values())) + sum(map(len, heap.values()))
+        before, now = -1, 0
+        while now != before:
+            before = now
             for r in rows:
                 if r.op == "copy":
                     pts[r.dest] |= pts[r.src]
@@ -254,13 +257,7 @@ def points_to(constraints: DataFrame, max_passes: int = 10_000) -> DataFrame:
                         fields = [f for at, f in list(heap) if at == loc] if r.field == "*" else [r.field, "*"]
                         for f in fields:
                             pts[r.dest] |= heap[loc, f]
-            done = sum(map(len, pts.values())) + sum(map(len, heap.values())) == before
-            if done:
-                break
-        if not done:
-            for r in rows:
-                if r.op == "load":
-                    pts[r.dest] |= pts[r.src]
+            now = sum(map(len, pts.values())) + sum(map(len, heap.values()))
         out = sorted((v, loc) for v, ls in pts.items() for loc in ls)
         return _frame(df, {"var": [v for v, _ in out], "loc": [x for _, x in out]})
 
@@ -285,10 +282,9 @@ def lifetimes(events: DataFrame, cfg: DataFrame, entry: int = 0) -> DataFrame:
         locs = sorted({x for es in body.values() for _, _, x in es if isinstance(x, str)})
         fresh = frozenset({"none"})
         ins: dict[int, dict] = {entry: dict.fromkeys(locs, fresh)}
-        work, found, steps = [entry], set(), 0
-        blocks = {entry, *body, *succ, *(d for ds in succ.values() for d in ds)}
-        while work and steps < 64 * (len(blocks) + 1):
-            steps += 1
+        work, found = [entry], set()
+        # the sets of states only grow, so the list runs empty
+        while work:
             b = work.pop(0)
             s = dict(ins[b])
             for _, op, loc in body[b]:

@@ -3,8 +3,8 @@
 Which functions return fresh memory and which release a parameter is a fixpoint
 over the call graph: a function whose returned value comes from an allocator, or
 from a function that returns fresh memory, does too. Rounds are joins over all
-functions at once; ``converged`` is false if the last one still changed
-something.
+functions at once, until one changes nothing: the sets only grow, by one
+function at least each round.
 
 On sources lowered by tokens, blocks are those of braces: a release counts for
 a later use only if its block encloses the use, so exclusive branches never pair.
@@ -24,16 +24,14 @@ from .program import Program
 #: Functions that return fresh memory, and that release their first argument (fixed values).
 ALLOCATORS = ("malloc", "calloc", "realloc", "strdup", "strndup", "aligned_alloc", "xmalloc", "xcalloc", "zmalloc", "g_malloc", "fopen")
 RELEASES = ("free", "xfree", "zfree", "g_free", "fclose", "cfree")
-MAX_ROUNDS = 10
 
 
 @dataclass
 class Summaries:
-    """fresh (fn), consumes (fn, slot), and whether the fixpoint was reached."""
+    """fresh (fn) and consumes (fn, slot) at the fixpoint."""
 
     fresh: DataFrame
     consumes: DataFrame
-    converged: bool
 
 
 def _flows(p: Program) -> DataFrame:
@@ -56,15 +54,13 @@ def summaries(p: Program) -> Summaries:
     given = write_table(given.join(calls.select("call", "resolved"), "call").join(bound, "call", "left").select("fn", "slot", "at", "resolved", "target"), "given")
     fresh = write_table(origin.where(F.col("resolved").isin(*ALLOCATORS)).select("fn").distinct(), "fresh")
     consumes = write_table(given.where(F.col("resolved").isin(*RELEASES) & (F.col("at") == 0)).select("fn", "slot").distinct(), "consumes")
-    for _ in range(MAX_ROUNDS):
+    while True:
         more = origin.join(fresh.select(F.col("fn").alias("target")), "target").select("fn").distinct().join(fresh, "fn", "left_anti")
         far = given.join(consumes.select(F.col("fn").alias("target"), F.col("slot").alias("at")), ["target", "at"]).select("fn", "slot").distinct().join(consumes, ["fn", "slot"], "left_anti")
         more, far = write_table(more, "fresh"), write_table(far, "consumes")
         if more.isEmpty() and far.isEmpty():
-            return Summaries(fresh, consumes, True)
+            return Summaries(fresh, consumes)
         fresh, consumes = fresh.unionByName(more), consumes.unionByName(far)
-    return Summaries(fresh, consumes, False)
-
 
 def _events(p: Program, s: Summaries) -> tuple[DataFrame, DataFrame]:
     """Allocating calls and releasing ones: call, fn, file, family, line, block, idx, doms, node."""

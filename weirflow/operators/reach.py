@@ -21,12 +21,26 @@ from pyspark.sql import functions as F
 
 from ..storage import small_or_plain, write_table
 
-#: Edges up to which they are broadcast to the frontier.
+#: Edges up to which they are broadcast to the frontier, and new states up to which they are to those visited (64 MB each at most).
 MAX_BROADCAST_EDGES = 1_000_000
-#: Depth of call-site chains; a deeper chain is forgotten (context-free from there).
+#: Depth of call-site chains; a deeper chain is forgotten (context-free from there), which ``context_lost`` of the state says.
 MAX_CONTEXT = 8
 
 
+def _unseen(step: DataFrame, levels: Sequence[DataFrame], state: Sequence[str]) -> DataFrame:
+    """The states of ``step``, written once, that none of ``levels`` holds.
+
+    Few new states go to the many visited ones, which then need no shuffle.
+    """
+    step = write_table(step, "step")
+    seen = reduce(DataFrame.unionByName, [x.select(*state) for x in levels])
+    asked = step.select(*state)
+    small = small_or_plain(asked, MAX_BROADCAST_EDGES)
+    if small is not asked:
+        seen = seen.join(small, state, "left_semi")
+    return step.join(seen, state, "left_anti")
+
+
 def reach(roots: DataFrame, edges: DataFrame, stops: DataFrame | None = None, max_rounds: int = 200, with_parent: bool = False) -> DataFrame:
     """All states (root, node, depth[, parent]) reached from ``roots`` (root, node).
 
@@ -47,8 +61,7 @@ def reach(roots: DataFrame, edges: DataFrame, stops: DataFrame | None = None, ma
     for depth in range(1, max_rounds + 1):
         step = frontier.select("root", "node").join(walked, "node").select("root", F.col("_to").alias("node"), F.col("node").alias("_from"))
         step = step.groupBy("root", "node").agg(F.min("_from").alias("parent")) if with_parent else step.select("root", "node").distinct()
-        seen = reduce(DataFrame.unionByName, [x.select("root", "node") for x in levels])
-        frontier = write_table(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)).select(kept), "reach")
+        frontier = write_table(_unseen(step, levels, ["root", "node"]).withColumn("depth", F.lit(depth)).select(kept), "reach")
         if frontier.isEmpty():
             return reduce(DataFrame.unionByName, levels)
         levels.append(frontier)
@@ -63,12 +76,13 @@ def reach_in_context(roots: DataFrame, edges: DataFrame, stops: DataFrame | None
     argument of a call and needs that site on top (or an empty chain), 'jump'
     forgets the chain, anything else stays in the function. ``carry`` names
     columns of the roots that states keep; ``stops`` holds node and any of them
-    on which a stop depends. States: root, carry..., node, ctx, depth, parent.
+    on which a stop depends. States: root, carry..., node, ctx, depth, parent,
+    context_lost (the chain had grown beyond MAX_CONTEXT on the way here).
     """
     empty = F.array().cast("array<string>")
     state = ["root", *carry, "node", "ctx"]
     none = F.lit(None).cast("string")
-    frontier = write_table(roots.select("root", *carry, "node").distinct().withColumns({"ctx": empty, "depth": F.lit(0), "parent": none}), "reach")
+    frontier = write_table(roots.select("root", *carry, "node").distinct().withColumns({"ctx": empty, "depth": F.lit(0), "parent": none, "context_lost": F.lit(False)}), "reach")
     walked = write_table(edges.where("node is not null and next is not null").select("node", F.col("next").alias("_to"), "kind", "site").distinct(), "edges")
     walked = small_or_plain(walked, MAX_BROADCAST_EDGES)
     ends = None if stops is None else write_table(stops.distinct(), "stops")
@@ -84,16 +98,15 @@ def reach_in_context(roots: DataFrame, edges: DataFrame, stops: DataFrame | None
     def step(states: DataFrame, depth: int) -> DataFrame:
         going = states if ends is None else states.join(ends, ends.columns, "left_anti")
         hit = going.join(walked, "node").where((F.col("kind") != "leave") | (F.size("ctx") == 0) | (top == F.col("site")))
-        to = hit.select("root", *carry, F.col("_to").alias("node"), after.alias("ctx"), F.col("node").alias("_from"))
-        return to.groupBy(*state).agg(F.min("_from").alias("parent")).withColumn("depth", F.lit(depth))
+        lost = F.col("context_lost") | ((F.col("kind") == "enter") & (F.size("ctx") >= MAX_CONTEXT))
+        to = hit.select("root", *carry, F.col("_to").alias("node"), after.alias("ctx"), F.col("node").alias("_from"), F.coalesce(lost, F.lit(False)).alias("context_lost"))
+        return to.groupBy(*state).agg(F.min("_from").alias("parent"), F.max("context_lost").alias("context_lost")).withColumn("depth", F.lit(depth))
 
     # two steps a round: what the first one finds again leads to nothing new in the second
     for depth in range(1, max_rounds, 2):
         one = step(frontier, depth)
-        both = one.unionByName(step(one, depth + 1)).groupBy(*state).agg(F.min(F.struct("depth", "parent")).alias("_d"))
-        seen = reduce(DataFrame.unionByName, [x.select(*state) for x in levels])
-        new = both.join(seen, state, "left_anti").select(*state, "_d.depth", "_d.parent")
-        levels.append(write_table(new, "reach"))
+        both = one.unionByName(step(one, depth + 1)).groupBy(*state).agg(F.min(F.struct("depth", "parent", "context_lost")).alias("_d")).select(*state, "_d.*")
+        levels.append(write_table(_unseen(both, levels, state).select(*state, "depth", "parent", "context_lost"), "reach"))
         frontier = levels[-1].where(F.col("depth") == depth + 1)
         if frontier.isEmpty():
             return reduce(DataFrame.unionByName, levels)
@@ -110,23 +123,24 @@ def verdict(source: Column, unknown: Column, sanitized: Column) -> Column:
     )
 
 
-def paths(states: DataFrame, goal: DataFrame, max_depth: int = 200) -> DataFrame:
+def paths(states: DataFrame, goal: DataFrame) -> DataFrame:
     """For each (root, node) of ``goal`` the nodes from there back to the root, as an array.
 
-    ``states`` are those of ``reach(..., with_parent=True)``.
+    ``states`` are those of ``reach(..., with_parent=True)``: a parent is less
+    deep than its state, so as many rounds as the deepest goal has steps end every path.
     """
-    parent = states.select("root", "node", "parent")
-    open_ = goal.select("root", "node").distinct().join(states, ["root", "node"]).select("root", F.col("node").alias("goal"), F.array("node").alias("path"), F.col("parent").alias("at"))
+    parent = write_table(states.select("root", F.col("node").alias("at"), F.col("parent").alias("_up")).repartition("root", "at"), "parents")
+    open_ = goal.select("root", "node").distinct().join(parent.withColumnRenamed("at", "node"), ["root", "node"]).select("root", F.col("node").alias("goal"), F.array("node").alias("path"), F.col("_up").alias("at"))
     done = []
-    for _ in range(max_depth):
+    while True:
         open_ = write_table(open_, "paths")
         done.append(open_.where("at is null").select("root", "goal", "path"))
         open_ = open_.where("at is not null")
         if open_.isEmpty():
-            break
-        back = parent.select("root", F.col("node").alias("at"), F.col("parent").alias("_up"))
-        open_ = open_.join(back, ["root", "at"]).select("root", "goal", F.concat("path", F.array("at")).alias("path"), F.col("_up").alias("at"))
-    return reduce(DataFrame.unionByName, done)
+            return reduce(DataFrame.unionByName, done)
+        # the paths still open are few against the states
+        near = small_or_plain(open_, MAX_BROADCAST_EDGES)
+        open_ = parent.join(near, ["root", "at"]).select("root", "goal", F.concat("path", F.array("at")).alias("path"), F.col("_up").alias("at"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -75,7 +75,7 @@ def gr22(spark: SparkSession, d: str) -> DataFrame:
     stops = flow_stops(spark, d)
     states = R.reach(roots, flow_edges(spark, d), stops, with_parent=True)
     goal = states.join(stops.where("reason = 'source'"), "node", "left_semi")
-    return R.paths(states, goal, 10).select(F.col("root").alias("custkey"), F.array_join("path", ">").alias("path"))
+    return R.paths(states, goal).select(F.col("root").alias("custkey"), F.array_join("path", ">").alias("path"))
 
 
 @book.query("gr13_context_match", """
