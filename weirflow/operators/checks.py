@@ -67,6 +67,13 @@ def complexity(p: Program, limit: int = MAX_COMPLEXITY) -> DataFrame:
     return _found(f, "function_complexity", F.concat(F.lit("complexity "), F.col("n")), "info")
 
 
+def complexity_of(instructions: DataFrame) -> DataFrame:
+    """fn, complexity, n_instructions of instructions (fn, kind, arms): one, each branch, each switch's arms (AGG-08)."""
+    return instructions.groupBy("fn").agg(
+        (F.count(F.when(F.col("kind") == "branch", 1)) + F.coalesce(F.sum(F.when(F.col("kind") == "switch", F.col("arms"))), F.lit(0)) + 1).alias("complexity"), F.count(F.lit(1)).alias("n_instructions"),
+    )
+
+
 def importing(p: Program, package: str) -> DataFrame:
     """file: the files that import a package or a part of it (FLT-15).
 

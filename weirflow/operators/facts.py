@@ -7,6 +7,7 @@ below comes from the public documentation of the frameworks named in it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Where untrusted values come from: dotted paths.
 SOURCES = {
@@ -80,3 +81,8 @@ def sanitizers(spark: SparkSession) -> DataFrame:
 
 def weak_calls(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(WEAK_CALLS), "resolved string, rule string, cwe string")
+
+
+def key_floors(facts: DataFrame) -> DataFrame:
+    """key, min_bits of facts of any number of layers: an override may raise a floor, never lower it (FCT-05)."""
+    return facts.groupBy("key").agg(F.max("min_bits").alias("min_bits"))

@@ -1,7 +1,8 @@
-"""Analyses within a function over control-flow tables (GR-01, 02, 05..07, 23, CHK-07, 08, 10).
+"""Analyses within a function over control-flow tables (GR-01, 02, 05..07, 23, AGG-18, CHK-07, 08, 10).
 
-Blocks and instructions come as rows; each function is one group of a grouped
-Arrow call, as it is bounded by its own size and the groups are independent.
+Blocks and instructions come as rows. They are partitioned and sorted by
+function, and each function is analysed when its last row has come, so a task
+holds one function at a time and no group costs a call of its own.
 Loops over lattices of finite height run to their end. Only intervals can widen
 without end, so those have a cap; a function that hits it says so in
 ``converged``.
@@ -10,18 +11,53 @@ without end, so those have a cap; a function that hits it says so in
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 LOW, HIGH = -(2**63), 2**63 - 1
+#: Result rows that are sent at a time.
+OUT_ROWS = 20_000
 
 
-def _frame(df: pd.DataFrame, columns: dict[str, list]) -> pd.DataFrame:
-    """Result rows of one function; plain objects, so that none at all has a type too."""
-    n = len(next(iter(columns.values())))
-    return pd.DataFrame({"fn": pd.Series([df["fn"].iloc[0]] * n, dtype=object), **{k: pd.Series(v, dtype=object) for k, v in columns.items()}})
+def per_function(rows: DataFrame, order: Sequence[str], analyse: Callable[[list[tuple]], Iterable[tuple]], result: str) -> DataFrame:
+    """``analyse`` on the rows (all columns but the first, fn) of each function; fn is put before its result rows.
+
+    ``order`` sorts the rows within a function; null functions are one.
+    """
+    kind = to_arrow_schema(_parse_datatype_string(f"fn string, {result}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn, held, out = None, [], []
+
+        def send() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [()] * len(kind)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
+
+        for batch in batches:
+            for name, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and name != fn:
+                    out += [(fn, *r) for r in analyse(held)]
+                    held = []
+                    if len(out) >= OUT_ROWS:
+                        yield send()
+                        out.clear()
+                fn = name
+                held.append(tuple(row))
+        if held:
+            out += [(fn, *r) for r in analyse(held)]
+        yield send()
+
+    return rows.repartition("fn").sortWithinPartitions("fn", *order).mapInArrow(run, f"fn string, {result}")
+
+
+def _edges(cfg: DataFrame, *more: Column) -> DataFrame:
+    """Control-flow edges as rows fn, block, dst and ``more``."""
+    return cfg.select("fn", F.col("src").cast("long").alias("block"), F.col("dst").cast("long").alias("dst"), *more)
 
 
 def idoms(succ: dict[int, list[int]], entry: int) -> dict[int, int]:
@@ -66,28 +102,26 @@ def idoms(succ: dict[int, list[int]], entry: int) -> dict[int, int]:
 
 def dominators(blocks: DataFrame, cfg: DataFrame, entry: int = 0) -> DataFrame:
     """fn, block, dom: each block's dominators, itself among them; an unreachable block has all."""
-    rows = blocks.select("fn", "block", F.lit(None).cast("long").alias("dst")).unionByName(cfg.select("fn", F.col("src").alias("block"), F.col("dst").cast("long")))
+    rows = blocks.select("fn", F.col("block").cast("long"), F.lit(None).cast("long").alias("dst")).unionByName(_edges(cfg))
 
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        every = sorted({*df["block"].tolist(), *df["dst"].dropna().astype("int64").tolist()})
+    def one(rows: list[tuple]) -> Iterator[tuple]:
+        every = sorted({x for r in rows for x in r if x is not None})
         succ = defaultdict(list)
-        for b, d in df.dropna(subset=["dst"])[["block", "dst"]].itertuples(index=False):
-            succ[int(b)].append(int(d))
+        for b, d in rows:
+            if d is not None:
+                succ[b].append(d)
         idom = idoms(succ, entry)
-        out = []
         for b in every:
             if b not in idom:
-                out += [(b, d) for d in every]
+                yield from ((b, d) for d in every)
                 continue
-            a = b
-            while True:
-                out.append((b, a))
-                if idom[a] == a:
-                    break
-                a = idom[a]
-        return _frame(df, {"block": [b for b, _ in out], "dom": [d for _, d in out]})
+            up = b
+            yield b, up
+            while idom[up] != up:
+                up = idom[up]
+                yield b, up
 
-    return rows.groupBy("fn").applyInPandas(one, "fn string, block long, dom long")
+    return per_function(rows, ["block", "dst"], one, "block long, dom long")
 
 
 def frontiers(succ: dict[int, list[int]], entry: int) -> dict[int, set[int]]:
@@ -111,25 +145,26 @@ def frontiers(succ: dict[int, list[int]], entry: int) -> dict[int, set[int]]:
 
 def phi_places(defs: DataFrame, cfg: DataFrame, entry: int = 0) -> DataFrame:
     """fn, var, block of the phis of SSA form: ``defs`` (fn, block, var) closed under frontiers."""
-    rows = defs.select("fn", "block", "var", F.lit(None).cast("long").alias("dst")).unionByName(cfg.select("fn", F.col("src").alias("block"), F.lit(None).cast("string").alias("var"), F.col("dst").cast("long")))
+    rows = defs.select("fn", F.col("block").cast("long"), F.lit(None).cast("long").alias("dst"), "var").unionByName(_edges(cfg, F.lit(None).cast("string").alias("var")))
 
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        succ = defaultdict(list)
-        for b, d in df.dropna(subset=["dst"])[["block", "dst"]].itertuples(index=False):
-            succ[int(b)].append(int(d))
+    def one(rows: list[tuple]) -> Iterator[tuple]:
+        succ, places = defaultdict(list), defaultdict(list)
+        for b, d, var in rows:
+            if d is not None:
+                succ[b].append(d)
+            else:
+                places[var].append(b)
         front = frontiers(succ, entry)
-        out = set()
-        for var, part in df.dropna(subset=["var"]).groupby("var"):
-            work = [int(b) for b in part["block"]]
+        for var, work in sorted(places.items()):
+            out = set()
             while work:
                 for f in front.get(work.pop(), ()):
-                    if (var, f) not in out:
-                        out.add((var, f))
+                    if f not in out:
+                        out.add(f)
                         work.append(f)
-        out = sorted(out)
-        return _frame(df, {"var": [v for v, _ in out], "block": [b for _, b in out]})
+            yield from ((var, f) for f in sorted(out))
 
-    return rows.groupBy("fn").applyInPandas(one, "fn string, var string, block long")
+    return per_function(rows, ["block", "dst"], one, "var string, block long")
 
 
 def _sat(x: int) -> int:
@@ -178,15 +213,15 @@ def value_intervals(instrs: DataFrame, branches: DataFrame, cfg: DataFrame, entr
     ]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
 
-    def one(df: pd.DataFrame) -> pd.DataFrame:
+    def one(rows: list[tuple]) -> Iterator[tuple]:
         body, succ, branch = defaultdict(list), defaultdict(list), {}
-        for r in df.sort_values(["block", "idx"], kind="stable").itertuples(index=False):
-            if r.kind == "i":
-                body[int(r.block)].append(r)
-            elif r.kind == "e":
-                succ[int(r.block)].append(int(r.x))
+        for kind, block, idx, dest, op, a, b, x, y in rows:
+            if kind == "i":
+                body[block].append((dest, op, a, b))
+            elif kind == "e":
+                succ[block].append(x)
             else:
-                branch[int(r.block)] = (r.dest, r.op, int(r.idx), int(r.x), int(r.y))
+                branch[block] = (dest, op, idx, x, y)
         blocks = {entry, *body, *succ, *(d for ds in succ.values() for d in ds)}
         ins: dict[int, dict | None] = dict.fromkeys(blocks)
         ins[entry] = {}
@@ -202,14 +237,14 @@ def value_intervals(instrs: DataFrame, branches: DataFrame, cfg: DataFrame, entr
             steps += 1
             b = work.pop(0)
             state = dict(ins[b] or {})
-            for r in body[b]:
-                v = value(state, r.a) if r.op in ("const", "copy") else None
-                if r.op in ("+", "-", "*"):
-                    x, y = value(state, r.a), value(state, r.b)
-                    v = _arith(r.op, x, y) if x and y else None
-                state.pop(r.dest, None)
+            for dest, op, p, q in body[b]:
+                v = value(state, p) if op in ("const", "copy") else None
+                if op in ("+", "-", "*"):
+                    x, y = value(state, p), value(state, q)
+                    v = _arith(op, x, y) if x and y else None
+                state.pop(dest, None)
                 if v is not None:
-                    state[r.dest] = v
+                    state[dest] = v
             outs[b] = state
             for n in succ[b]:
                 s = state
@@ -222,10 +257,11 @@ def value_intervals(instrs: DataFrame, branches: DataFrame, cfg: DataFrame, entr
                     ins[n] = new
                     if n not in work:
                         work.append(n)
-        out = [(b, v, lo, hi) for b, s in sorted(outs.items()) for v, (lo, hi) in sorted(s.items())]
-        return _frame(df, {"block": [o[0] for o in out], "var": [o[1] for o in out], "low": [o[2] for o in out], "high": [o[3] for o in out], "converged": [not work] * len(out)})
+        for b, s in sorted(outs.items()):
+            for v, (lo, hi) in sorted(s.items()):
+                yield b, v, lo, hi, not work
 
-    return rows.groupBy("fn").applyInPandas(one, "fn string, block long, var string, low long, high long, converged boolean")
+    return per_function(rows, ["block", "idx"], one, "block long, var string, low long, high long, converged boolean")
 
 
 def points_to(constraints: DataFrame) -> DataFrame:
@@ -237,31 +273,28 @@ def points_to(constraints: DataFrame) -> DataFrame:
     passes end by themselves.
     """
 
-    def one(df: pd.DataFrame) -> pd.DataFrame:
+    def one(rows: list[tuple]) -> Iterator[tuple]:
         pts, heap = defaultdict(set), defaultdict(set)
-        rows = list(df[["op", "dest", "src", "field"]].itertuples(index=False))
-        for r in rows:
-            if r.op == "alloc":
-                pts[r.dest].add(r.src)
+        for op, dest, src, _ in rows:
+            if op == "alloc":
+                pts[dest].add(src)
         before, now = -1, 0
         while now != before:
             before = now
-            for r in rows:
-                if r.op == "copy":
-                    pts[r.dest] |= pts[r.src]
-                elif r.op == "store":
-                    for loc in pts[r.dest]:
-                        heap[loc, r.field] |= pts[r.src]
-                elif r.op == "load":
-                    for loc in list(pts[r.src]):
-                        fields = [f for at, f in list(heap) if at == loc] if r.field == "*" else [r.field, "*"]
-                        for f in fields:
-                            pts[r.dest] |= heap[loc, f]
+            for op, dest, src, field in rows:
+                if op == "copy":
+                    pts[dest] |= pts[src]
+                elif op == "store":
+                    for loc in pts[dest]:
+                        heap[loc, field] |= pts[src]
+                elif op == "load":
+                    for loc in list(pts[src]):
+                        for f in [f for at, f in list(heap) if at == loc] if field == "*" else [field, "*"]:
+                            pts[dest] |= heap[loc, f]
             now = sum(map(len, pts.values())) + sum(map(len, heap.values()))
-        out = sorted((v, loc) for v, ls in pts.items() for loc in ls)
-        return _frame(df, {"var": [v for v, _ in out], "loc": [x for _, x in out]})
+        yield from sorted((v, loc) for v, ls in pts.items() for loc in ls)
 
-    return constraints.select("fn", "op", "dest", "src", "field").groupBy("fn").applyInPandas(one, "fn string, var string, loc string")
+    return per_function(constraints.select("fn", "op", "dest", "src", "field"), ["op", "dest", "src"], one, "var string, loc string")
 
 
 def lifetimes(events: DataFrame, cfg: DataFrame, entry: int = 0) -> DataFrame:
@@ -275,10 +308,10 @@ def lifetimes(events: DataFrame, cfg: DataFrame, entry: int = 0) -> DataFrame:
         cfg.select("fn", F.col("src").cast("long").alias("block"), F.lit(-1).cast("long").alias("idx"), F.lit("edge").alias("op"), F.lit(None).cast("string").alias("loc"), F.col("dst").cast("long"))
     )
 
-    def one(df: pd.DataFrame) -> pd.DataFrame:
+    def one(rows: list[tuple]) -> Iterator[tuple]:
         body, succ = defaultdict(list), defaultdict(list)
-        for r in df.sort_values(["block", "idx"], kind="stable").itertuples(index=False):
-            (succ[int(r.block)].append(int(r.dst)) if r.op == "edge" else body[int(r.block)].append((int(r.idx), r.op, r.loc)))
+        for block, idx, op, loc, dst in rows:
+            (succ[block].append(dst) if op == "edge" else body[block].append((idx, op, loc)))
         locs = sorted({x for es in body.values() for _, _, x in es if isinstance(x, str)})
         fresh = frozenset({"none"})
         ins: dict[int, dict] = {entry: dict.fromkeys(locs, fresh)}
@@ -314,10 +347,41 @@ def lifetimes(events: DataFrame, cfg: DataFrame, entry: int = 0) -> DataFrame:
                     s[loc] = frozenset({"live"})
                 elif op in ("free", "escape"):
                     s[loc] = frozenset({"freed" if op == "free" else "gone"})
-        out = sorted(found)
-        return _frame(df, {"rule": [o[0] for o in out], "loc": [o[1] for o in out], "block": [o[2] for o in out], "idx": [o[3] for o in out]})
+        yield from sorted(found)
+
+    return per_function(rows, ["block", "idx"], one, "rule string, loc string, block long, idx long")
+
+
+def must_hold(facts: DataFrame, cfg: DataFrame, entry: int = 0) -> DataFrame:
+    """fn, block, fact: what holds at the end of a block on every path to it (AGG-18).
+
+    ``facts`` (fn, block, fact, holds): a block that makes a fact hold, or ends
+    it. A block's facts are those of all its predecessors, changed by its own; an
+    unreachable block has none.
+    """
+    rows = facts.select("fn", F.col("block").cast("long"), F.lit(None).cast("long").alias("dst"), "fact", "holds").unionByName(_edges(cfg, F.lit(None).cast("string").alias("fact"), F.lit(None).cast("boolean").alias("holds")))
+
+    def one(rows: list[tuple]) -> Iterator[tuple]:
+        succ, made, ended = defaultdict(list), defaultdict(set), defaultdict(set)
+        for b, d, fact, holds in rows:
+            if d is not None:
+                succ[b].append(d)
+            elif fact is not None:
+                (made if holds else ended)[b].add(fact)
+        ins, work = {entry: frozenset()}, [entry]
+        while work:
+            b = work.pop(0)
+            out = frozenset((ins[b] - ended[b]) | made[b])
+            for n in succ[b]:
+                new = ins[n] & out if n in ins else out
+                if n not in ins or new != ins[n]:
+                    ins[n] = new
+                    if n not in work:
+                        work.append(n)
+        for b in sorted(ins):
+            yield from ((b, f) for f in sorted((ins[b] - ended[b]) | made[b]))
 
-    return rows.groupBy("fn").applyInPandas(one, "fn string, rule string, loc string, block long, idx long")
+    return per_function(rows, ["block", "dst", "fact"], one, "block long, fact string")
 
 
 def out_of_bounds(accesses: DataFrame, intervals: DataFrame, capacities: DataFrame) -> DataFrame:

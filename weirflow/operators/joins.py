@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import write_table
+
 
 def wildcard_pairs(stores: DataFrame, loads: DataFrame, keys: Sequence[str], field: str, store_id: str, load_id: str) -> DataFrame:
     """Stores and loads of equal keys whose fields are equal or '*' (JOIN-04).
@@ -55,6 +58,48 @@ def band(rows: DataFrame, others: DataFrame, keys: Sequence[str], at: str, width
     return rows.join(o, on, how)
 
 
+def def_use(defs: DataFrame, uses: DataFrame, keys: Sequence[str], use: str) -> DataFrame:
+    """Definitions (one row per key, as in SSA form) with the number of their uses; unused ones have none (JOIN-01)."""
+    n = uses.groupBy(*keys).agg(F.count(use).alias("n_uses"))
+    return defs.join(n, list(keys), "left").withColumn("n_uses", F.coalesce("n_uses", F.lit(0)))
+
+
+def sibling_pairs(rows: DataFrame, site: Sequence[str], item: str) -> DataFrame:
+    """site..., a, b: different items of one site, each pair once (JOIN-05).
+
+    For sites of few items by their nature, as the arguments of a call are.
+    """
+    one = rows.select(*site, item).distinct()
+    return one.withColumnRenamed(item, "a").join(one.withColumnRenamed(item, "b"), list(site)).where("a < b")
+
+
+def resolve_aliases(calls: DataFrame, aliases: DataFrame, symbol: str, target: str) -> DataFrame:
+    """Calls with the target their symbol stands for; a symbol without an alias is its own (JOIN-10)."""
+    a = aliases.select(F.col(symbol), F.col(target).alias("_target")).dropDuplicates([symbol])
+    return calls.join(a, symbol, "left").withColumn(target, F.coalesce("_target", symbol)).drop("_target")
+
+
+def follow_links(start: DataFrame, links: DataFrame, name: str, max_hops: int = 12) -> DataFrame:
+    """``start`` with ``name`` followed along links (name, next) to its end, and the hops taken (JOIN-09).
+
+    Of several links of a name the least counts. After ``max_hops`` a name is
+    taken as it then is, and ``hops`` says so; cycles end there too.
+    """
+    one = write_table(links.where(F.col(name).isNotNull() & F.col("next").isNotNull() & (F.col(name) != F.col("next"))).groupBy(name).agg(F.min("next").alias("_next")), "links")
+    at = start.withColumn("hops", F.lit(0))
+    done = []
+    for _ in range(max_hops):
+        step = write_table(at.join(one, name, "left"), "follow")
+        done.append(step.where("_next is null").drop("_next"))
+        open_ = step.where("_next is not null")
+        if open_.isEmpty():
+            break
+        at = open_.withColumn(name, F.col("_next")).withColumn("hops", F.col("hops") + 1).drop("_next")
+    else:
+        done.append(at)
+    return reduce(DataFrame.unionByName, done)
+
+
 def new_since(current: DataFrame, baseline: DataFrame, key: str = "fingerprint") -> DataFrame:
     """Findings that the baseline does not have, each once (JOIN-15)."""
     return current.join(baseline.select(key), key, "left_anti").dropDuplicates([key])

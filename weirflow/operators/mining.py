@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import small_or_plain
+from ..storage import small_or_plain, write_table
 
 
 def proposals(calls: DataFrame) -> DataFrame:
@@ -97,6 +97,28 @@ def without_noise(calls: DataFrame, name: str = "name") -> DataFrame:
     return calls.where(~F.col(name).isin(*NOISE) & (F.col(name) != ""))
 
 
+def set_relations(members: DataFrame, key: str, member: str, least: int = 1) -> DataFrame:
+    """a, b, relation of keys whose member sets are equal ('same') or contained ('subset') (SET-05).
+
+    Keys of equal sets form a class: each is paired with the first of its class
+    only, as are all subsets of a class with each of its members. A set is looked
+    for only where its rarest member is, which every superset must have.
+    """
+    m = write_table(members.select(F.col(key).alias("k"), F.col(member).alias("m")).distinct(), "members")
+    per = m.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("m").cast("decimal(38,0)")).alias("h"))
+    per = write_table(per.withColumn("first", F.min("k").over(Window.partitionBy("n", "h"))), "sets")
+    rare = m.groupBy("m").agg(F.count(F.lit(1)).alias("df"))
+    classes = m.join(per.where("k = first").select("k", "n"), "k")
+    probe = classes.where(F.col("n") >= least).join(rare, "m").groupBy("k", "n").agg(F.min_by("m", F.struct("df", "m")).alias("m"))
+    wide = probe.toDF("a", "na", "m").join(classes.toDF("b", "m", "nb"), "m").where("a <> b and na < nb").select("a", "na", "b")
+    found = wide.join(m.toDF("a", "m"), "a").join(m.toDF("b", "m"), ["b", "m"]).groupBy("a", "b", "na").agg(F.count(F.lit(1)).alias("c")).where("c = na")
+    # back from the firsts of classes to their members
+    one = per.select("first", "k")
+    subset = found.select(F.col("a").alias("first"), "b").join(one.withColumnRenamed("k", "a"), "first").select("a", F.col("b").alias("first")).join(one.withColumnRenamed("k", "b"), "first").select("a", "b", F.lit("subset").alias("relation"))
+    same = per.where((F.col("k") != F.col("first")) & (F.col("n") >= least)).select(F.col("first").alias("a"), F.col("k").alias("b"), F.lit("same").alias("relation"))
+    return subset.unionByName(same)
+
+
 def literal_arguments(calls: DataFrame, args: DataFrame) -> DataFrame:
     """resolved, slot, name, literal of each call's literal arguments, with how often (MIN-04)."""
     rows = calls.select("call", "resolved").join(args.where("literal is not null").select("call", "slot", "name", "literal"), "call")

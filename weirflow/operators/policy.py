@@ -52,8 +52,9 @@ class Requirement:
         never = F.lit(False)
         if self.kind in ("guard_call", "require_call"):
             return F.coalesce(F.max(called).over(at.before()), never)
-        if self.kind == "not_call":
-            return ~F.coalesce(F.max(called).over(at.whole()), never)
+        if self.kind in ("any_call", "not_call"):
+            there = F.coalesce(F.max(called).over(at.whole()), never)
+            return there if self.kind == "any_call" else ~there
         c = F.col(self.column)
         if self.kind == "range_check":
             known = F.lit(True)

@@ -113,6 +113,30 @@ def reach_in_context(roots: DataFrame, edges: DataFrame, stops: DataFrame | None
     raise RuntimeError(f"states left after {max_rounds} steps")
 
 
+def dead_ends(states: DataFrame, edges: DataFrame, stops: DataFrame) -> DataFrame:
+    """The states (root, node, ...) that no stop ends and no edge leaves (GR-16)."""
+    return states.join(stops.select("node").distinct(), "node", "left_anti").join(edges.where("next is not null").select("node").distinct(), "node", "left_anti")
+
+
+def param_summaries(returns: DataFrame, params: DataFrame, flows: DataFrame) -> DataFrame:
+    """fn, slot: the parameters whose value reaches what their function returns (AGG-16, GR-09).
+
+    ``returns`` (fn, ret), ``params`` (fn, slot, param), ``flows`` (node, next)
+    within functions, from a value to what it is made of.
+    """
+    made = reach(returns.select(F.col("fn").alias("root"), F.col("ret").alias("node")), flows)
+    return made.select(F.col("root").alias("fn"), F.col("node").alias("param")).join(params, ["fn", "param"]).select("fn", "slot").distinct()
+
+
+def suppressed(through: DataFrame, summaries: DataFrame) -> DataFrame:
+    """``through`` (callee, slot, ...: an argument taken to pass into its call's result) with ``kept``.
+
+    A callee's own summary says which slots pass; where it names none, none does.
+    """
+    s = summaries.select(F.col("fn").alias("callee"), "slot", F.lit(True).alias("_k")).distinct()
+    return through.join(s, ["callee", "slot"], "left").withColumn("kept", F.coalesce("_k", F.lit(False))).drop("_k")
+
+
 def verdict(source: Column, unknown: Column, sanitized: Column) -> Column:
     """The verdict of a group of states, in this order of precedence (AGG-01)."""
     return (

@@ -1,8 +1,10 @@
-"""Reports (SNK-01..05, 09, 10, FLT-13, FLT-14, AGG-05, AGG-09, JOIN-14, JOIN-15, A13)."""
+"""Reports (SNK-01..05, 09, 10, FLT-13, FLT-14, AGG-02, 03, 05..07, 09, 19, JOIN-14, JOIN-15, A13)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import ENGINE_ID, REPORT_SCHEMA, __version__
@@ -50,6 +52,52 @@ def coverage(status: DataFrame, found: DataFrame) -> DataFrame:
     return f.join(F.broadcast(s)).join(F.broadcast(sample))
 
 
+def merge_coverage(parts: DataFrame, files: DataFrame, keys: list[str], sample: int = 25) -> DataFrame:
+    """keys, n, n_files, sample: coverage of parts added up (AGG-06).
+
+    ``parts`` holds keys and the sum n of each part, ``files`` keys and file; a
+    file of several parts counts once, the first ``sample`` of them stay by name.
+    """
+    one = files.where(F.col("file").isNotNull()).select(*keys, "file").distinct()
+    first = one.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("file")))
+    united = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files"), F.array_sort(F.collect_list(F.when(F.col("_r") <= sample, F.col("file")))).alias("sample"))
+    total = parts.groupBy(*keys).agg(F.sum("n").alias("n"))
+    same = reduce(Column.__and__, [total[k].eqNullSafe(united[k]) for k in keys])
+    return total.join(united, same, "left").select(*[total[k] for k in keys], "n", F.coalesce("n_files", F.lit(0)).alias("n_files"), "sample")
+
+
+def merge_phases(timings: DataFrame) -> DataFrame:
+    """phase, total_ms, slowest_ms, n of telemetry rows (phase, ms) of any number of runs (AGG-07)."""
+    return timings.groupBy("phase").agg(F.sum(F.col("ms").cast("decimal(38,0)")).alias("total_ms"), F.max("ms").alias("slowest_ms"), F.count(F.lit(1)).alias("n"))
+
+
+def timing_stats(rows: DataFrame, keys: list[str], ms: str) -> DataFrame:
+    """keys, mean_s, min_ms, max_ms, n (AGG-19)."""
+    return rows.groupBy(*keys).agg(F.round(F.avg(F.col(ms) / 1000.0), 3).alias("mean_s"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"), F.count(F.lit(1)).alias("n"))
+
+
+def statistics(found: DataFrame) -> DataFrame:
+    """One row: arguments asked about, functions and slots they are in, and their verdicts (AGG-02)."""
+    n = lambda v: F.count(F.when(F.col("verdict") == v, 1)).alias(f"n_{v}")
+    return found.agg(F.count(F.lit(1)).alias("n_arguments"), F.count_distinct("fn").alias("n_functions"), F.count_distinct(F.struct("sink", "slot")).alias("n_slots"), *[n(v) for v in ("vulnerable", "unknown", "sanitized", "clean")])
+
+
+def funnel(calls: DataFrame, sinks: DataFrame, top: int = 10) -> DataFrame:
+    """stage, n, top: calls (callee, bound) by how far they came on the way to being a sink (AGG-03).
+
+    A call bound to a function of the program is 'program-local', one whose last
+    name is in ``sinks`` (sink) is a 'sink', a bare one is 'local', the rest is
+    'not-a-sink', of which the ``top`` most frequent callees are named.
+    """
+    named = calls.withColumn("sink", F.element_at(F.split("callee", r"\."), -1)).join(small_or_plain(sinks.select("sink", F.lit(True).alias("_s")).distinct(), 100_000), "sink", "left")
+    stage = F.when(F.col("bound"), "program-local").when(F.col("_s"), "sink").when(~F.contains("callee", F.lit(".")), "local").otherwise("not-a-sink")
+    per = named.groupBy(stage.alias("stage"), "callee").agg(F.count(F.lit(1)).alias("k"))
+    order = Window.partitionBy("stage").orderBy(F.col("k").desc(), "callee")
+    ranked = per.withColumn("_r", F.row_number().over(order))
+    best = F.when(F.col("stage") == "not-a-sink", F.transform(F.array_sort(F.collect_list(F.when(F.col("_r") <= top, F.struct("_r", "callee")))), lambda x: x["callee"]))
+    return ranked.groupBy("stage").agg(F.sum("k").alias("n"), best.alias("top"))
+
+
 def run_status(c: DataFrame) -> DataFrame:
     """Adds status (failed, partial, complete) and clean to a coverage row."""
     failed = (F.col("n_files") == 0) | (F.col("n_analysed") == 0)

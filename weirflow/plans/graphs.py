@@ -1,9 +1,9 @@
 """Graph and fixpoint queries on a relational stand-in.
 
 Vertices are suppliers, lines, orders and customers; values flow from a supplier
-through a line and its order to the customer. Suppliers in debt are sources,
-returned lines sanitizers, finished orders guards, the richest suppliers cannot
-be resolved; customers are the sinks, and only lines of 45 units and more carry.
+through a line and its order to the customer. The suppliers most in debt are
+sources, returned lines sanitizers, finished orders guards, the richest suppliers
+cannot be resolved; customers are the sinks.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def _line() -> Column:
 
 def flow_edges(spark: SparkSession, d: str) -> DataFrame:
     """Backward edges (node, next): customer, order, line, supplier."""
-    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem").where("l_quantity >= 45")
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
     parts = [
         orders.select(F.concat(F.lit("C"), "o_custkey").alias("node"), F.concat(F.lit("O"), "o_orderkey").alias("next")),
         lines.select(F.concat(F.lit("O"), "l_orderkey").alias("node"), _line().alias("next")),
@@ -35,15 +35,15 @@ def flow_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def flow_stops(spark: SparkSession, d: str) -> DataFrame:
     """node, reason of the vertices at which a walk ends."""
-    supplier = table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("node"), F.when(F.col("s_acctbal") < 0, "source").when(F.col("s_acctbal") > 9000, "unknown").alias("reason")).where("reason is not null")
-    lines = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity >= 45").select(_line().alias("node"), F.lit("sanitizer").alias("reason"))
+    supplier = table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("node"), F.when(F.col("s_acctbal") < -800, "source").when(F.col("s_acctbal") > 9600, "unknown").alias("reason")).where("reason is not null")
+    lines = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(_line().alias("node"), F.lit("sanitizer").alias("reason"))
     orders = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("O"), "o_orderkey").alias("node"), F.lit("guard").alias("reason"))
     return supplier.unionByName(lines).unionByName(orders)
 
 
 _WALK = """
 with o as (select o_custkey, o_orderkey, o_orderstatus = 'F' as guard from orders),
-l as (select o_custkey, o.o_orderkey, guard, l_linenumber, l_partkey, l_suppkey, l_returnflag = 'R' as sani from o join lineitem on l_orderkey = o_orderkey where l_quantity >= 45 and not guard),
+l as (select o_custkey, o.o_orderkey, guard, l_linenumber, l_partkey, l_suppkey, l_returnflag = 'R' as sani from o join lineitem on l_orderkey = o_orderkey where not guard),
 s as (select distinct o_custkey, s_suppkey, s_acctbal from l join supplier on s_suppkey = l_suppkey where not sani)
 """
 
@@ -55,7 +55,7 @@ select c_custkey as custkey,
 from customer
 left join (select o_custkey, count(*) as no from o group by 1) a on a.o_custkey = c_custkey
 left join (select o_custkey, count(distinct (o_orderkey, l_linenumber, l_partkey, l_suppkey)) as nl, bool_or(sani) as san from l group by 1) b on b.o_custkey = c_custkey
-left join (select o_custkey, count(*) as ns, bool_or(s_acctbal < 0) as src, bool_or(s_acctbal > 9000) as unk from s group by 1) c on c.o_custkey = c_custkey
+left join (select o_custkey, count(*) as ns, bool_or(s_acctbal < -800) as src, bool_or(s_acctbal > 9600) as unk from s group by 1) c on c.o_custkey = c_custkey
 """)
 def gr10(spark: SparkSession, d: str) -> DataFrame:
     roots = table(spark, d, "customer").select(F.col("c_custkey").alias("root"), F.concat(F.lit("C"), "c_custkey").alias("node"))
@@ -67,7 +67,7 @@ def gr10(spark: SparkSession, d: str) -> DataFrame:
 
 
 @book.query("gr22_path_array", _WALK + """
-, p as (select o_custkey, s_suppkey, min('L' || o_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) as line from l join supplier on s_suppkey = l_suppkey where not sani and s_acctbal < 0 group by 1, 2)
+, p as (select o_custkey, s_suppkey, min('L' || o_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) as line from l join supplier on s_suppkey = l_suppkey where not sani and s_acctbal < -800 group by 1, 2)
 select o_custkey as custkey, 'S' || s_suppkey || '>' || line || '>O' || split_part(substr(line, 2), '-', 1) || '>C' || o_custkey as path from p
 """)
 def gr22(spark: SparkSession, d: str) -> DataFrame:
@@ -119,30 +119,18 @@ def gr24(spark: SparkSession, d: str) -> DataFrame:
 
 
 @book.query("gr09_summary_suppress", """
-with s as (select l_suppkey, bool_or(l_returnflag = 'R' and l_discount >= 0.09) as passes from lineitem group by 1)
-select n_name as nation, count(*) as n_edges, count(case when passes then 1 end) as n_kept, count(case when not passes then 1 end) as n_suppressed
-from lineitem join s using (l_suppkey) join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by 1
+select l_orderkey as orderkey, count(distinct l_suppkey) as n_edges, count(distinct case when l_returnflag <> 'R' then l_suppkey end) as n_kept from lineitem group by 1
 """)
 def gr09(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of callees whose summary lets a value pass; the others are suppressed."""
+    """Orders as callees, suppliers as their parameters: calls pass on only what the summary says reaches the result."""
     lines = table(spark, d, "lineitem")
-    summary = lines.groupBy("l_suppkey").agg(F.bool_or((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09)).alias("passes"))
-    per = lines.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")).join(summary, "l_suppkey")
-    named = per.join(table(spark, d, "supplier").withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return named.groupBy(F.col("n_name").alias("nation")).agg(
-        F.sum("n").alias("n_edges"), F.sum(F.when(F.col("passes"), F.col("n")).otherwise(0)).alias("n_kept"), F.sum(F.when(~F.col("passes"), F.col("n")).otherwise(0)).alias("n_suppressed")
-    )
-
-
-@book.query("gr05_alias_classes", """
-with recursive e as (select distinct l_orderkey as o, l_partkey as p from lineitem where l_discount >= 0.1 and l_quantity >= 48),
-pairs as (select distinct a.o as u, b.o as v from e a join e b on a.p = b.p),
-walk(u, v) as (select u, v from pairs union select w.u, p.v from walk w join pairs p on p.u = w.v)
-select u as orderkey, min(v) as class from walk group by 1
-""")
-def gr05(spark: SparkSession, d: str) -> DataFrame:
-    """Orders that may alias: they share a part in a large discounted line, transitively."""
-    return _alias_classes(table(spark, d, "lineitem").where("l_discount >= 0.1 and l_quantity >= 48"))
+    order, param = F.concat(F.lit("O"), "l_orderkey"), F.concat(F.lit("O"), "l_orderkey", F.lit("/S"), "l_suppkey")
+    flows = lines.select(order.alias("node"), _line().alias("next")).unionByName(lines.where("l_returnflag <> 'R'").select(_line().alias("node"), param.alias("next")))
+    params = lines.select(order.alias("fn"), F.col("l_suppkey").alias("slot"), param.alias("param")).distinct()
+    kept = R.param_summaries(params.select("fn", F.col("fn").alias("ret")).distinct(), params, flows)
+    through = params.select(F.col("fn").alias("callee"), "slot")
+    per = R.suppressed(through, kept).groupBy("callee").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.when(F.col("kept"), 1).otherwise(0)).alias("n_kept"))
+    return per.select(F.substring("callee", 2, 20).cast("bigint").alias("orderkey"), "n_edges", "n_kept")
 
 
 @book.query("gr05_alias_classes_whole")
@@ -161,8 +149,8 @@ def _alias_classes(lines: DataFrame) -> DataFrame:
 @book.query("gr08_levels", """
 select 'C' as kind, 0 as level, count(*) as n from customer
 union all select 'O', 1, count(*) from orders where exists (select 1 from customer where c_custkey = o_custkey)
-union all select 'L', 2, count(distinct (o_orderkey, l_linenumber, l_partkey, l_suppkey)) from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey where l_quantity >= 45
-union all select 'S', 3, count(distinct l_suppkey) from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey where l_quantity >= 45
+union all select 'L', 2, count(distinct (o_orderkey, l_linenumber, l_partkey, l_suppkey)) from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey 
+union all select 'S', 3, count(distinct l_suppkey) from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey
 """)
 def gr08(spark: SparkSession, d: str) -> DataFrame:
     """Bottom-up levels: how far each kind of vertex is from the sinks, over all of them at once."""
@@ -171,61 +159,29 @@ def gr08(spark: SparkSession, d: str) -> DataFrame:
     return states.groupBy(F.substring("node", 1, 1).alias("kind"), F.col("depth").alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@book.query("gr02_dominators_events", """
-with f as (select user_id, min(case when event_type = 'signup' then epoch_us(ts) end) as s, min(case when event_type = 'purchase' then epoch_us(ts) end) as p from events group by 1)
-select user_id, coalesce(s < p, false) as dominated from f where p is not null
-""")
-def gr02(spark: SparkSession, d: str) -> DataFrame:
-    """Users all of whose purchases are dominated by a signup."""
-    at = lambda kind: F.min(F.when(F.col("event_type") == kind, F.unix_micros(F.col("ts").cast("timestamp"))))
-    f = table(spark, d, "events").groupBy("user_id").agg(at("signup").alias("s"), at("purchase").alias("p"))
-    return f.where("p is not null").select("user_id", F.coalesce(F.col("s") < F.col("p"), F.lit(False)).alias("dominated"))
-
-
 @book.query("gr16_dead_ends", """
-select case when o_orderkey is null then 'no_order' when l is null then 'no_line' else 'followed' end as ending, count(*) as n
-from (select c_custkey, o_orderkey, (select max(1) from lineitem where l_orderkey = o_orderkey and l_quantity >= 45) as l from customer left join orders on o_custkey = c_custkey) group by 1
+with o as (select o_custkey, o_orderkey from orders join customer on c_custkey = o_custkey where o_orderstatus <> 'F'),
+l as (select o_custkey, l_suppkey from o join lineitem on l_orderkey = o_orderkey where l_returnflag <> 'R')
+select 'C' as kind, count(*) as n from customer where not exists (select 1 from orders where o_custkey = c_custkey)
+union all select 'O', count(*) from o where not exists (select 1 from lineitem where l_orderkey = o_orderkey)
+union all select 'S', count(distinct (o_custkey, l_suppkey)) from l left join supplier on s_suppkey = l_suppkey where coalesce(s_acctbal between -800 and 9600, true)
 """)
 def gr16(spark: SparkSession, d: str) -> DataFrame:
-    """How a walk ends where there are no more edges."""
-    c, o = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    strong = table(spark, d, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("l", F.lit(1))
-    walked = c.join(o, c.c_custkey == o.o_custkey, "left").join(strong, "o_orderkey", "left")
-    ending = F.when(F.col("o_orderkey").isNull(), "no_order").when(F.col("l").isNull(), "no_line").otherwise("followed")
-    return walked.groupBy(ending.alias("ending")).agg(F.count(F.lit(1)).alias("n"))
+    """Where walks end without a source, a stop or a further edge, by kind of vertex."""
+    roots = table(spark, d, "customer").select(F.col("c_custkey").alias("root"), F.concat(F.lit("C"), "c_custkey").alias("node"))
+    edges, stops = flow_edges(spark, d), flow_stops(spark, d)
+    ends = R.dead_ends(R.reach(roots, edges, stops), edges, stops)
+    kinds = spark.createDataFrame([("C",), ("O",), ("S",)], "kind string")
+    n = ends.groupBy(F.substring("node", 1, 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return kinds.join(n, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-@book.query("win08_first_parent", """
-select l_suppkey as suppkey, min(l_orderkey * 10 + l_linenumber) as parent, count(*) as n_parents from lineitem group by 1
+@book.query("win08_first_parent", _WALK + """
+select o_custkey as custkey, s_suppkey as suppkey, min('L' || o_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) as parent
+from l join supplier on s_suppkey = l_suppkey where not sani group by 1, 2
 """)
 def win08(spark: SparkSession, d: str) -> DataFrame:
-    """The first parent of each supplier in key order (WIN-08)."""
-    lines = table(spark, d, "lineitem")
-    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return lines.groupBy(F.col("l_suppkey").alias("suppkey")).agg(F.min(key).alias("parent"), F.count(F.lit(1)).alias("n_parents"))
-
-
-@book.query("agg18_must_reach", """
-with l as (select l_orderkey, l_linestatus = 'F' as done from lineitem)
-select o_custkey as custkey, bool_and(ok) as must from (
-  select o_custkey, o_orderkey, coalesce(bool_and(done), false) as ok from orders left join l on l_orderkey = o_orderkey group by 1, 2) group by 1
-""")
-def agg18(spark: SparkSession, d: str) -> DataFrame:
-    """Customers all of whose orders are done on every line: AND over all predecessors, twice."""
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_linestatus") == "F").alias("done"))
-    o = table(spark, d, "orders")
-    per = o.join(lines, o.o_orderkey == lines.l_orderkey, "left").select("o_custkey", F.coalesce("done", F.lit(False)).alias("ok"))
-    return per.groupBy(F.col("o_custkey").alias("custkey")).agg(F.bool_and("ok").alias("must"))
-
-
-@book.query("gr23_edge_sharpen", """
-select l_partkey as partkey, cast(min(case when l_quantity > 25 then l_quantity end) as bigint) as then_low, cast(max(case when l_quantity > 25 then l_quantity end) as bigint) as then_high,
-  cast(min(case when l_quantity <= 25 then l_quantity end) as bigint) as else_low, cast(max(case when l_quantity <= 25 then l_quantity end) as bigint) as else_high,
-  cast(min(l_quantity) as bigint) as low, cast(max(l_quantity) as bigint) as high from lineitem group by 1
-""")
-def gr23(spark: SparkSession, d: str) -> DataFrame:
-    """The interval of a value on both arms of a branch, and after their join."""
-    q, big = F.col("l_quantity"), F.col("l_quantity") > 25
-    out = {"then_low": F.min(F.when(big, q)), "then_high": F.max(F.when(big, q)), "else_low": F.min(F.when(~big, q)), "else_high": F.max(F.when(~big, q)), "low": F.min(q), "high": F.max(q)}
-    return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("partkey")).agg(*[v.cast("bigint").alias(k) for k, v in out.items()])
-
+    """The first parent of each supplier that a walk reaches (WIN-08)."""
+    roots = table(spark, d, "customer").select(F.col("c_custkey").alias("root"), F.concat(F.lit("C"), "c_custkey").alias("node"))
+    states = R.reach(roots, flow_edges(spark, d), flow_stops(spark, d), with_parent=True)
+    return states.where(F.col("node").startswith("S")).select(F.col("root").alias("custkey"), F.substring("node", 2, 20).cast("bigint").alias("suppkey"), "parent")

@@ -77,8 +77,10 @@ def chk09(spark: SparkSession, d: str) -> DataFrame:
 
 @book.query("join01_def_use", "select o_orderkey as orderkey, count(l_orderkey) as n_uses from orders left join lineitem on l_orderkey = o_orderkey group by 1")
 def join01(spark: SparkSession, d: str) -> DataFrame:
-    uses = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    return table(spark, d, "orders").join(uses, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(F.col("o_orderkey").alias("orderkey"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_uses"))
+    """Orders define, lines use: how often each definition is used, unused ones included."""
+    defs = table(spark, d, "orders").select(F.col("o_orderkey").alias("var"))
+    uses = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("var"), F.monotonically_increasing_id().alias("use"))
+    return J.def_use(defs, uses, ["var"], "use").select(F.col("var").alias("orderkey"), "n_uses")
 
 
 @book.query("join02_call_binding_fallback", """
@@ -112,9 +114,8 @@ select a.l_orderkey as orderkey, a.l_suppkey as supp_a, b.l_suppkey as supp_b fr
 """)
 def join05(spark: SparkSession, d: str) -> DataFrame:
     """Siblings of one call site; an order's lines are few, so pairs stay few."""
-    one = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    b = one.select(F.col("l_orderkey"), F.col("l_suppkey").alias("supp_b"))
-    return one.withColumnRenamed("l_suppkey", "supp_a").join(b, "l_orderkey").where("supp_a < supp_b").select(F.col("l_orderkey").alias("orderkey"), "supp_a", "supp_b")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    return J.sibling_pairs(lines, ["l_orderkey"], "l_suppkey").select(F.col("l_orderkey").alias("orderkey"), F.col("a").alias("supp_a"), F.col("b").alias("supp_b"))
 
 
 @book.query("join06_nearest_enclosing", """
@@ -125,22 +126,24 @@ def join06(spark: SparkSession, d: str) -> DataFrame:
 
 
 @book.query("join09_reexport_chain", """
-select s_suppkey as suppkey, coalesce(r_name, 'package:' || cast(s_nationkey as varchar)) as resolved from supplier left join nation on n_nationkey = s_nationkey and n_nationkey < 20 left join region on r_regionkey = n_regionkey
+select s_suppkey as suppkey, coalesce('R' || r_regionkey, 'N' || s_nationkey) as resolved, case when r_regionkey is null then 1 else 2 end as hops from supplier left join nation on n_nationkey = s_nationkey left join region on r_regionkey = n_regionkey
 """)
 def join09(spark: SparkSession, d: str) -> DataFrame:
-    """Imports followed through re-exports; what stays unresolved is a package."""
-    n, r = table(spark, d, "nation").where("n_nationkey < 20"), table(spark, d, "region")
-    hop = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return hop.select(F.col("s_suppkey").alias("suppkey"), F.coalesce("r_name", F.concat(F.lit("package:"), "s_nationkey")).alias("resolved"))
+    """Imports followed through re-exports: supplier, nation, region."""
+    n = table(spark, d, "nation").join(table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
+    start = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("S"), "s_suppkey").alias("name"))
+    links = table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("name"), F.concat(F.lit("N"), "s_nationkey").alias("next"))
+    links = links.unionByName(n.select(F.concat(F.lit("N"), "n_nationkey").alias("name"), F.concat(F.lit("R"), "n_regionkey").alias("next")))
+    return J.follow_links(start, links, "name").select(F.col("s_suppkey").alias("suppkey"), F.col("name").alias("resolved"), "hops")
 
 
 @book.query("join10_alias_resolution", """
-select lower(event_type) as symbol, coalesce(case event_type when 'view' then 'open' when 'click' then 'press' end, event_type) as target, count(*) as n from events group by 1, 2
+select event_type as symbol, coalesce(case event_type when 'view' then 'open' when 'click' then 'press' end, event_type) as target, count(*) as n from events group by 1, 2
 """)
 def join10(spark: SparkSession, d: str) -> DataFrame:
-    alias = F.broadcast(spark.createDataFrame([("view", "open"), ("click", "press")], "event_type string, to string"))
-    e = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).join(alias, "event_type", "left")
-    return e.select(F.lower("event_type").alias("symbol"), F.coalesce("to", "event_type").alias("target"), "n")
+    aliases = spark.createDataFrame([("view", "open"), ("click", "press")], "symbol string, target string")
+    calls = table(spark, d, "events").select(F.col("event_type").alias("symbol"))
+    return J.resolve_aliases(calls, aliases, "symbol", "target").groupBy("symbol", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 @book.query("join15_baseline_anti", """
@@ -185,20 +188,6 @@ def join18(spark: SparkSession, d: str) -> DataFrame:
     return J.band(e.where("event_type = 'purchase'"), e.where("event_type = 'error'"), ["user_id"], "at", 7200).select("event_id")
 
 
-@book.query("join21_full_outer", """
-with m as (select median_ts from (select min(ts) + (max(ts) - min(ts)) / 2 as median_ts from events)),
-a as (select user_id, event_type, count(*) as n from events, m where ts < median_ts group by 1, 2), b as (select user_id, event_type, count(*) as n from events, m where ts >= median_ts group by 1, 2)
-select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.event_type, b.event_type) as event_type, coalesce(a.n, 0) as n_a, coalesce(b.n, 0) as n_b from a full join b on a.user_id = b.user_id and a.event_type = b.event_type
-""")
-def join21(spark: SparkSession, d: str) -> DataFrame:
-    """Two runs compared by identity."""
-    e = table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    mid = e.agg((F.min("us") + F.expr("(max(us) - min(us)) div 2")).alias("mid")).first().mid
-    c = lambda name, cond: e.where(cond).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias(name))
-    both = c("n_a", F.col("us") < mid).join(c("n_b", F.col("us") >= mid), ["user_id", "event_type"], "full")
-    return both.select("user_id", "event_type", F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
-
-
 # ---------------------------------------------------------------- filters and facts
 
 
@@ -234,11 +223,6 @@ def fct03(spark: SparkSession, d: str) -> DataFrame:
     return W.upsert_by_provenance(p, ["key"], "provenance", "seq").select("key", "payload")
 
 
-@book.query("fct05_key_floor", "select p_brand as key, max(p_size) as min_bits from part group by 1")
-def fct05(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("key")).agg(F.max("p_size").alias("min_bits"))
-
-
 @book.query("flt08_source_path", """
 with s(p) as (values ('req'), ('ctx'), ('ctx.state'), ('input')), paths as (select distinct trim(source_desc) as path from explain_snapshots where trim(source_desc) <> '')
 select path from paths where exists (select 1 from s where path = p or (starts_with(path, p || '.') and not (p = split_part(path, '.', 1) and exists (select 1 from s g where starts_with(g.p, split_part(path, '.', 1) || '.')))))
@@ -250,88 +234,12 @@ def flt08(spark: SparkSession, d: str) -> DataFrame:
     return source_path_matches(paths, "path", sources, "p")
 
 
-@book.query("flt14_gate_ledger", """
-select case when lower(trim(verdict)) <> 'vulnerable' then 'not-reportable' when sink_role in ('response', 'validation') then 'below-tier' when arg_slot = -1 then 'below-confidence' when sink_label is null then 'below-severity' else 'kept' end as gate, count(*) as n
-from sink_findings group by 1
-""")
-def flt14(spark: SparkSession, d: str) -> DataFrame:
-    """Rows by the first gate that drops them."""
-    gate = (
-        F.when(F.lower(F.trim("verdict")) != "vulnerable", "not-reportable").when(F.col("sink_role").isin("response", "validation"), "below-tier")
-        .when(F.col("arg_slot") == -1, "below-confidence").when(F.col("sink_label").isNull(), "below-severity").otherwise("kept")
-    )
-    return table(spark, d, "sink_findings").groupBy(gate.alias("gate")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @book.query("fn08_dotted_prefixes", "select distinct trim(source_desc) as path, cast(len(string_split(trim(source_desc), '.')) as integer) as depth from explain_snapshots where trim(source_desc) <> ''")
 def fn08(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "explain_snapshots").select(F.trim("source_desc").alias("path")).where("path <> ''").distinct()
     return p.select("path", F.size(dotted_prefixes(F.col("path"))).alias("depth"))
 
 
-# ---------------------------------------------------------------- aggregates
-
-
-@book.query("agg02_stats", """
-select count(*) as n_rows, count(distinct func) as n_functions, count(distinct (sink, arg_slot)) as n_slots, count(case when lower(verdict) = 'vulnerable' then 1 end) as n_vulnerable, count(case when lower(verdict) = 'clean' then 1 end) as n_clean from sink_findings
-""")
-def agg02(spark: SparkSession, d: str) -> DataFrame:
-    v = F.lower("verdict")
-    return table(spark, d, "sink_findings").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("func").alias("n_functions"), F.count_distinct(F.struct("sink", "arg_slot")).alias("n_slots"),
-        F.count(F.when(v == "vulnerable", 1)).alias("n_vulnerable"), F.count(F.when(v == "clean", 1)).alias("n_clean"),
-    )
-
-
-@book.query("agg03_funnel", """
-select case when sink_role is null then 'not-a-sink' when sink like '%.%' then 'receiver' else 'static' end as stage, count(*) as n, min(sink) as first_sink from sink_findings group by 1
-""")
-def agg03(spark: SparkSession, d: str) -> DataFrame:
-    stage = F.when(F.col("sink_role").isNull(), "not-a-sink").when(F.contains("sink", F.lit(".")), "receiver").otherwise("static")
-    return table(spark, d, "sink_findings").groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"), F.min("sink").alias("first_sink"))
-
-
-@book.query("agg05_coverage", """
-with f as (select trim(file) as file, max(line) as last_line, bool_or(lower(trim(verdict)) = 'unknown') as open from explain_snapshots where file is not null group by 1)
-select count(*) as n_files, count(case when open then 1 end) as n_open, (select string_agg(file, ',' order by file) from (select file from f where open order by file limit 25)) as sample from f
-""")
-def agg05(spark: SparkSession, d: str) -> DataFrame:
-    """Files covered, those left open, and a sorted sample of 25 of these."""
-    f = table(spark, d, "explain_snapshots").where("file is not null").groupBy(F.trim("file").alias("file")).agg(F.bool_or(F.lower(F.trim("verdict")) == "unknown").alias("open"))
-    sample = f.where("open").orderBy("file").limit(25).agg(F.array_join(F.array_sort(F.collect_list("file")), ",").alias("sample"))
-    return f.agg(F.count(F.lit(1)).alias("n_files"), F.count(F.when(F.col("open"), 1)).alias("n_open")).join(F.broadcast(sample))
-
-
-@book.query("agg06_merge", """
-select project, count(*) as n, count(distinct trim(file)) as n_files from explain_snapshots group by 1
-""")
-def agg06(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage merged from that of each snapshot: sums add up, sets unite."""
-    part = table(spark, d, "explain_snapshots").groupBy("project", "snap_no").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.trim("file")).alias("files"))
-    files = part.select("project", F.explode("files").alias("file")).distinct().groupBy("project").agg(F.count(F.lit(1)).alias("n_files"))
-    return part.groupBy("project").agg(F.sum("n").alias("n")).join(files, "project").select("project", "n", "n_files")
-
-
-@book.query("agg07_phase_merge", """
-select lower(trim(phase)) as phase, cast(sum(ms) as bigint) as total_ms, max(ms) as slowest_ms, count(*) as n from phase_timings where ms >= 0 and ms < 9223372036854775807 group by 1
-""")
-def agg07(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "phase_timings").where("ms >= 0 and ms < 9223372036854775807")
-    return p.groupBy(F.lower(F.trim("phase")).alias("phase")).agg(F.sum("ms").alias("total_ms"), F.max("ms").alias("slowest_ms"), F.count(F.lit(1)).alias("n"))
-
-
-@book.query("agg08_branch_sum", """
-select l_orderkey as orderkey, 1 + count(case when l_returnflag = 'R' then 1 end) + cast(coalesce(sum(case when l_returnflag = 'A' then l_linenumber end), 0) as bigint) as complexity, count(*) as n_instructions
-from lineitem group by 1 having 1 + count(case when l_returnflag = 'R' then 1 end) + coalesce(sum(case when l_returnflag = 'A' then l_linenumber end), 0) > 10
-""")
-def agg08(spark: SparkSession, d: str) -> DataFrame:
-    """One plus branches plus switch arms, above a limit."""
-    flag = F.col("l_returnflag")
-    arms = F.coalesce(F.sum(F.when(flag == "A", F.col("l_linenumber"))), F.lit(0))
-    per = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("orderkey")).agg((F.count(F.when(flag == "R", 1)) + arms + 1).alias("complexity"), F.count(F.lit(1)).alias("n_instructions"))
-    return per.where("complexity > 10")
-
-
 # ---------------------------------------------------------------- windows, top, sets
 
 _RICH = "row_number() over (partition by func, sink order by coalesce(len(list_filter(steps, lambda s: s is not null and s.span_start is not null)), 0) desc, finding_id)"
@@ -354,14 +262,6 @@ def win05(spark: SparkSession, d: str) -> DataFrame:
     return W.compact(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["event_type"]).select("event_id")
 
 
-@book.query("win06_guard_first", """
-select event_id, coalesce(max(case when event_type = 'signup' then 1 else 0 end) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as guarded from events
-""")
-def win06(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "events").select("event_id", F.coalesce(F.max(F.when(F.col("event_type") == "signup", 1).otherwise(0)).over(w), F.lit(0)).alias("guarded"))
-
-
 @book.query("top01_slowest", """
 select timing_id, file, ms from (select timing_id, file, ms, row_number() over (order by ms desc, timing_id, received_at, file) as r from file_timings where ms >= 0 and ms < 9223372036854775807) where r <= 10
 """)
@@ -381,21 +281,6 @@ def top02(spark: SparkSession, d: str) -> DataFrame:
     return ranked.groupBy("sink").agg(F.array_join(F.array_sort(F.collect_list("file")), ",").alias("files"))
 
 
-@book.query("set05_subset", """
-with k as (select distinct p_brand, p_size % 5 as p_size from part where p_retailprice > 998), n as (select p_brand, count(*) as c from k group by 1),
-j as (select a.p_brand as a, b.p_brand as b, count(*) as c from k a join k b on a.p_size = b.p_size and a.p_brand <> b.p_brand group by 1, 2)
-select j.a as brand_a, j.b as brand_b, case when x.c = y.c then 'same' else 'subset' end as relation from j join n x on x.p_brand = j.a join n y on y.p_brand = j.b where j.c = x.c and (x.c < y.c or (x.c = y.c and j.a < j.b))
-""")
-def set05(spark: SparkSession, d: str) -> DataFrame:
-    """Brands whose sets of sizes are equal or contained; both are few."""
-    k = table(spark, d, "part").where("p_retailprice > 998").select("p_brand", (F.col("p_size") % 5).alias("p_size")).distinct()
-    n = k.groupBy("p_brand").agg(F.count(F.lit(1)).alias("c"))
-    j = k.withColumnRenamed("p_brand", "a").join(k.withColumnRenamed("p_brand", "b"), "p_size").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    x, y = n.toDF("a", "ca"), n.toDF("b", "cb")
-    r = j.join(x, "a").join(y, "b").where("c = ca and (ca < cb or (ca = cb and a < b))")
-    return r.select(F.col("a").alias("brand_a"), F.col("b").alias("brand_b"), F.when(F.col("ca") == F.col("cb"), "same").otherwise("subset").alias("relation"))
-
-
 @book.query("set02_distinct_edges", "select distinct o_custkey as custkey, l_suppkey as suppkey from orders join lineitem on l_orderkey = o_orderkey")
 def set02(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("custkey"), F.col("l_suppkey").alias("suppkey")).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.policy import Requirement, Sequenced, named_literal, violations
@@ -15,7 +15,9 @@ DAY = Sequenced(("user_id", "day"), ("ts", "event_id"), "event_type")
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    """The events as calls: their day, and literals and keys of their arguments."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    return e.withColumns({"slot": (F.col("user_id") % 10).cast("string"), "k": F.get_json_object("props", "$.k"), "keys": F.json_object_keys("props")})
 
 
 _CALLS = "with e as (select *, cast(ts as date) as day from events) "
@@ -52,17 +54,17 @@ _policy(
 _policy(
     "pol05_banned_literal",
     "select event_id, user_id from e where event_type = 'view' and coalesce(cast(user_id % 10 as varchar) in ('3', '7'), false)",
-    "event_type = 'view'", extra=lambda: F.coalesce(~(F.col("user_id") % 10).cast("string").isin("3", "7"), F.lit(True)),
+    "event_type = 'view'", Requirement("banned_literal", literals=("3", "7"), column="slot"),
 )
 _policy(
     "pol06_required_literal",
     "select event_id, user_id from e where event_type = 'view' and not coalesce(json_extract_string(props, '$.k') in ('1', '2', '3'), false)",
-    "event_type = 'view'", extra=lambda: F.coalesce(F.get_json_object("props", "$.k").isin("1", "2", "3"), F.lit(False)),
+    "event_type = 'view'", Requirement("required_literal", literals=("1", "2", "3"), column="k"),
 )
 _policy(
     "pol07_required_key",
     "select event_id, user_id from e where event_type = 'click' and not list_has_any(json_keys(props), ['scope', 'token'])",
-    "event_type = 'click'", extra=lambda: F.arrays_overlap(F.json_object_keys("props"), F.array(F.lit("scope"), F.lit("token"))),
+    "event_type = 'click'", Requirement("required_key", literals=("scope", "token"), column="keys"),
 )
 _NAMED = "props is not null and regexp_matches(props, '\"k\"\\s*:') and regexp_matches(props, '\"k\"\\s*:\\s*[\"0-9]')"
 _policy(
@@ -105,69 +107,12 @@ def chk04(spark: SparkSession, d: str) -> DataFrame:
     return first_per(table(spark, d, "events").where("event_type = 'error'"), ["user_id"], F.col("ts"), F.col("event_id")).select("user_id", "event_id")
 
 
-@book.query("chk05_exempt_calls", """
-select event_id from events e where event_type = 'purchase' and value > 50
-  and not exists (select 1 from events k where k.user_id = e.user_id and k.event_type = 'signup' and k.value > 90)
-""")
-def chk05(spark: SparkSession, d: str) -> DataFrame:
-    """Sensitive uses without an exempting call of their user."""
-    e = table(spark, d, "events")
-    exempt = e.where("event_type = 'signup' and value > 90").select("user_id").distinct()
-    return e.where("event_type = 'purchase' and value > 50").join(exempt, "user_id", "left_anti").select("event_id")
-
-
-@book.query("chk06_cond_agg", """
-select user_id from events group by 1 having count(case when event_type = 'view' and value > 90 then 1 end) > 0 and count(case when event_type = 'signup' and value < 20 then 1 end) = 0
-""")
-def chk06(spark: SparkSession, d: str) -> DataFrame:
-    """Users with a described bound and no enforcer of it."""
-    c = lambda e: F.count(F.when(F.expr(e), 1))
-    per = table(spark, d, "events").groupBy("user_id").agg(c("event_type = 'view' and value > 90").alias("a"), c("event_type = 'signup' and value < 20").alias("b"))
-    return per.where("a > 0 and b = 0").select("user_id")
-
-
-_STATE = "last_value(case when event_type in ('signup', 'purchase') then event_type end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding)"
-
-
-def _lifetimes(spark: SparkSession, d: str) -> DataFrame:
-    """Events with the last allocation (signup) or release (purchase) before them."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "events").withColumn("state", F.last(F.when(F.col("event_type").isin("signup", "purchase"), F.col("event_type")), ignorenulls=True).over(w))
-
-
-@book.query("chk07_use_after_free", f"select event_type, count(*) as n from (select *, {_STATE} as state from events) where event_type in ('view', 'click') and state = 'purchase' group by 1")
-def chk07_use(spark: SparkSession, d: str) -> DataFrame:
-    return _lifetimes(spark, d).where("event_type in ('view', 'click') and state = 'purchase'").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@book.query("chk07_double_free", f"select event_id, user_id from (select *, {_STATE} as state from events) where event_type = 'purchase' and state = 'purchase'")
-def chk07_double(spark: SparkSession, d: str) -> DataFrame:
-    return _lifetimes(spark, d).where("event_type = 'purchase' and state = 'purchase'").select("event_id", "user_id")
-
-
-@book.query("chk07_uninitialized_free", f"select event_id, user_id from (select *, {_STATE} as state from events) where event_type = 'purchase' and state is null")
-def chk07_uninit(spark: SparkSession, d: str) -> DataFrame:
-    return _lifetimes(spark, d).where("event_type = 'purchase' and state is null").select("event_id", "user_id")
-
-
-@book.query("chk10_leak", """
-select user_id from events s where event_type = 'signup' group by user_id
-having max(epoch_us(ts)) > coalesce((select max(epoch_us(ts)) from events p where p.user_id = s.user_id and p.event_type = 'purchase'), 0)
-""")
-def chk10(spark: SparkSession, d: str) -> DataFrame:
-    """Users whose last allocation is not followed by a release."""
-    at = lambda kind: F.max(F.when(F.col("event_type") == kind, F.unix_micros(F.col("ts").cast("timestamp"))))
-    per = table(spark, d, "events").groupBy("user_id").agg(at("signup").alias("a"), at("purchase").alias("f"))
-    return per.where("a > coalesce(f, 0)").select("user_id")
-
-
 @book.query("chk11_guard_anywhere", """
 select event_id from events e where event_type = 'purchase' and not exists (select 1 from events g where g.user_id = e.user_id and g.event_type = 'signup' and cast(g.ts as date) = cast(e.ts as date))
 """)
 def chk11(spark: SparkSession, d: str) -> DataFrame:
     """Triggers without a guard anywhere in their scope, whatever the order."""
-    e = calls(spark, d)
-    return e.where("event_type = 'purchase'").join(e.where("event_type = 'signup'").select("user_id", "day").distinct(), ["user_id", "day"], "left_anti").select("event_id")
+    return violations(calls(spark, d), DAY, F.col("event_type") == "purchase", (Requirement("any_call", ("signup",)),)).select("event_id")
 
 
 @book.query("agg20_divergence", f"""
@@ -181,21 +126,3 @@ def agg20(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.joins import divergence
 
     return divergence(chk11(spark, d), book.queries["pol01_guard_before"](spark, d).select("event_id"))
-
-
-@book.query("chk08_bounds", """
-select l_orderkey as orderkey, l_linenumber as linenumber, l_partkey as partkey from lineitem join part on p_partkey = l_partkey where l_quantity > p_size
-""")
-def chk08(spark: SparkSession, d: str) -> DataFrame:
-    """Accesses beyond the capacity of what they access."""
-    p = table(spark, d, "part").select("p_partkey", "p_size")
-    return table(spark, d, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey")).where("l_quantity > p_size").select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber"), F.col("l_partkey").alias("partkey"))
-
-
-@book.query("chk12_complexity", """
-select user_id, cast(day as varchar) as day, 1 + count(case when event_type in ('click', 'error', 'purchase') then 1 end) as complexity from (select *, cast(ts as date) as day from events)
-group by 1, 2 having 1 + count(case when event_type in ('click', 'error', 'purchase') then 1 end) > 3
-""")
-def chk12(spark: SparkSession, d: str) -> DataFrame:
-    per = calls(spark, d).groupBy("user_id", F.col("day").cast("string").alias("day")).agg((F.count(F.when(F.col("event_type").isin("click", "error", "purchase"), 1)) + 1).alias("complexity"))
-    return per.where("complexity > 3")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions import values as V
 from ..functions.names import last_segment, mirror_base
 from ..operators import mining as M
 from ..operators import similarity as S
@@ -237,17 +236,17 @@ def min02(spark: SparkSession, d: str) -> DataFrame:
     return per.select("fam_no", F.when(F.size("s") > 0, F.array_join("s", ",")).alias("sinks"), F.when(F.size("t") > 0, F.array_join("t", ",")).alias("sanitizers"))
 
 
-@book.query("min05_votes", f"with {_SAMPLES}, {_CALLS}, {_DELTA} select lang, name, case when pos then 'sink' else 'sanitizer' end as kind, count(*) as support, case when count(*) >= 2 then 'confirmed' else 'provisional' end as status from delta where pos <> neg and lang is not null group by 1, 2, 3")
+@book.query("min05_votes", f"with {_SAMPLES}, {_CALLS}, {_DELTA} select lang, name, case when pos then 'sink' else 'sanitizer' end as kind, count(*) as support, case when count(*) >= 2 then 'confirmed' else 'provisional' end as status from delta where pos <> neg group by 1, 2, 3")
 def min05(spark: SparkSession, d: str) -> DataFrame:
-    return M.votes(M.proposals(call_names(spark, d)).where("lang is not null"), ["lang", "name", "kind"])
+    return M.votes(M.proposals(call_names(spark, d)), ["lang", "name", "kind"])
 
 
 @book.query("min06_gate", f"""with {_SAMPLES}, {_CALLS}, {_DELTA}
-select lang, name, count(case when pos and not neg then 1 end) as separates, count(case when neg then 1 end) as breaks from delta where lang is not null group by 1, 2
+select lang, name, count(case when pos and not neg then 1 end) as separates, count(case when neg then 1 end) as breaks from delta group by 1, 2
 having count(case when pos and not neg then 1 end) > 0 and count(case when neg then 1 end) = 0""")
 def min06(spark: SparkSession, d: str) -> DataFrame:
     """Sink candidates that separate a family and make no negative of any family noisy."""
-    return M.independent_gate(call_names(spark, d).where("lang is not null"), ["lang", "name"])
+    return M.independent_gate(call_names(spark, d), ["lang", "name"])
 
 
 @book.query("min10_lint", f"""with {_SAMPLES}
@@ -293,41 +292,3 @@ def min10_metadata(spark: SparkSession, d: str) -> DataFrame:
     """Issues of the families' header blocks."""
     classes = spark.createDataFrame([(c, list(w)) for c, w in _CLASSES], "id string, cwes array<string>")
     return M.lint_metadata(table(spark, d, "families"), classes, "fam_no")
-
-
-# ---------------------------------------------------------------- scores
-
-
-_GRADED = "with g as (select kind, length(text) > 1500 as predicted, band = 3 as actual from (select doc_id, max(band) as band from reading_labels where band is not null group by 1) join documents using (doc_id) where text is not null)"
-
-
-@book.query("agg12_scorecard", _GRADED + """
-select case when grouping(kind) = 1 then '(total)' else coalesce(kind, '(none)') end as grp, count(case when predicted and actual then 1 end) as tp, count(case when predicted and not actual then 1 end) as fp,
-  count(case when not predicted and actual then 1 end) as fn, count(case when not predicted and not actual then 1 end) as tn,
-  round(coalesce(count(case when predicted and actual then 1 end) / nullif(count(case when actual then 1 end), 0), 0), 3) as tpr,
-  round(coalesce(count(case when predicted and not actual then 1 end) / nullif(count(case when not actual then 1 end), 0), 0), 3) as fpr from g group by rollup(kind)
-""")
-def agg12(spark: SparkSession, d: str) -> DataFrame:
-    """A confusion matrix per kind and in total, with rates."""
-    bands = table(spark, d, "reading_labels").where("band is not null").groupBy("doc_id").agg(F.max("band").alias("band"))
-    g = table(spark, d, "documents").where("text is not null").join(bands, "doc_id").select("kind", (F.length("text") > 1500).alias("p"), (F.col("band") == 3).alias("a"))
-    p, a = F.col("p"), F.col("a")
-    n = lambda c: F.count(F.when(c, 1))
-    m = g.rollup("kind").agg(F.grouping("kind").alias("all"), n(p & a).alias("tp"), n(p & ~a).alias("fp"), n(~p & a).alias("fn"), n(~p & ~a).alias("tn"))
-    grp = F.when(F.col("all") == 1, "(total)").otherwise(F.coalesce("kind", F.lit("(none)")))
-    return m.select(grp.alias("grp"), "tp", "fp", "fn", "tn", V.rate(F.col("tp"), F.col("fn")).alias("tpr"), V.rate(F.col("fp"), F.col("tn")).alias("fpr"))
-
-
-@book.query("ben06_pair_gate", f"with {_SAMPLES}, v as (select fam_no, variant, contains(text, '(') as flagged from code) select fam_no, coalesce(bool_and(case when variant = 'positive' then flagged end), false) as vulnerable_flagged, coalesce(bool_or(case when variant = 'negative' then flagged end), false) as fixed_flagged from v group by 1")
-def ben06(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs: every vulnerable sample must be flagged, no fixed one may be."""
-    v = samples(spark, d).select("fam_no", "variant", F.contains("text", F.lit("(")).alias("f"))
-    of = lambda k: F.when(F.col("variant") == k, F.col("f"))
-    return v.groupBy("fam_no").agg(F.coalesce(F.bool_and(of("positive")), F.lit(False)).alias("vulnerable_flagged"), F.coalesce(F.bool_or(of("negative")), F.lit(False)).alias("fixed_flagged"))
-
-
-@book.query("agg19_timing_stats", "select file, round(avg(ms / 1000.0), 3) as mean_s, min(ms) as min_ms, max(ms) as max_ms from file_timings where ms >= 0 and ms < 1000000000000 and file <> '' group by 1")
-def agg19(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "file_timings").where("ms >= 0 and ms < 1000000000000 and file <> ''")
-    return f.groupBy("file").agg(F.round(F.avg(F.col("ms") / 1000.0), 3).alias("mean_s"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"))
-
