@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import lexical, python_ast
+from . import lexical, python_ast, script
 
 Frontend = Callable[[str, str], dict]
 
 FRONTENDS: dict[str, Frontend] = {
     "python": python_ast.lower,
-    "javascript": lexical.lower, "typescript": lexical.lower, "vue": lexical.lower, "go": lexical.lower, "rust": lexical.lower, "c": lexical.lower,
+    "javascript": script.lower, "typescript": script.lower, "vue": script.lower, "go": lexical.lower, "rust": lexical.lower, "c": lexical.lower,
 }
+#: Languages whose frontend takes keywords that facts teach.
+TAUGHT = ("go", "rust", "c")

@@ -43,7 +43,8 @@ class Object:
 class Module:
     """Lowers one file."""
 
-    def __init__(self, path: str, source: str) -> None:
+    def __init__(self, path: str, source: str = "", tree: ast.Module | None = None, module: str | None = None) -> None:
+        """``tree`` and ``module`` (the file's dotted name) come from other parsers that give the same nodes."""
         self.path = path
         self.out: dict[str, list] = {k: [] for k in ("functions", "nodes", "edges", "calls", "args", "imports")}
         self.aliases: dict[str, str] = {}
@@ -52,8 +53,8 @@ class Module:
         self.parents: dict[str, str] = {}
         self.local_functions: set[str] = set()
         self.lines: dict[str, int] = {}
-        self.module = module_name(path)
-        tree = ast.parse(source)
+        self.module = module or module_name(path)
+        tree = tree or ast.parse(source)
         self._imports(tree)
         self._names(tree, "")
         Function(self, "<module>", None, tree.body, "", 1).run()
@@ -203,8 +204,10 @@ class Function:
             guards.append(self.dotted(v).rsplit(".", 1)[-1])
             self.eval(d) if isinstance(d, ast.Call) else None
         base = "" if self.qual == "<module>" else self.qual + "."
-        Function(self.m, base + s.name, s.args, s.body, self.fn, s.lineno, [g for g in guards if g]).run()
-        self.bind(s.name, Value((), path=s.name))
+        made = Function(self.m, base + s.name, s.args, s.body, self.fn, s.lineno, [g for g in guards if g])
+        # the name stands for the function before its body is read, as that may call it
+        self.bind(s.name, Value((self.node("function", made.fn, s.lineno),), path=s.name))
+        made.run()
 
     s_AsyncFunctionDef = s_FunctionDef
 
@@ -259,7 +262,7 @@ class Function:
             base = self.eval(t.value)
             key = t.attr if isinstance(t, ast.Attribute) else self.key(t.slice)
             self.store(base, key, v.nodes)
-            if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name):
+            if isinstance(t, ast.Attribute):
                 call = self.call_row(f"{base.path}.{t.attr}=", f"{base.path}.{t.attr}=", None, line)
                 self.arg(call, 0, None, v)
         elif isinstance(t, ast.Starred):
@@ -491,7 +494,8 @@ class Function:
             resolved = f"{min(classes)}.{func.attr}" if classes else written
         else:
             written = self.dotted(func)
-            resolved = self.m.aliases.get(written, written) if written not in self.env or not self.env[written].nodes else written
+            held = self.env.get(written, Value())
+            resolved = self.m.aliases.get(written, written) if not held.nodes else written
             if not isinstance(func, ast.Name):
                 receiver = self.eval(func)
         line = e.lineno
@@ -505,6 +509,8 @@ class Function:
             self.arg(call, i, name, v)
         if receiver.nodes:
             self.arg(call, -1, None, receiver)
+        if isinstance(func, ast.Name) and held.nodes:
+            self.arg(call, -2, None, held)  # what is called
         attr = func.attr if isinstance(func, ast.Attribute) else ""
         if attr in MUTATORS:
             into = tuple(n for _, _, v in values for n in v.nodes)
@@ -662,7 +668,7 @@ def tested_names(cond: ast.expr) -> list[str]:
 
 
 #: Beginnings of names that accept or reject a value.
-GUARD_PREFIXES = ("is_", "isalnum", "isdigit", "isalpha", "isidentifier", "isnumeric", "isdecimal", "valid", "allow", "check_", "verify", "fullmatch", "isvalid", "issafe")
+GUARD_PREFIXES = ("is_", "isalnum", "isdigit", "isalpha", "isidentifier", "isnumeric", "isdecimal", "valid", "allow", "check_", "verify", "fullmatch", "isvalid", "issafe", "isallowed")
 
 
 def is_guard_name(name: str) -> bool:

@@ -39,6 +39,13 @@ def callee_matches(taught: Column, written: Column) -> Column:
     return F.when(qualified, (w == t) | F.endswith(w, F.concat(F.lit("."), t))).otherwise((seg == taught) | F.coalesce(mirror_base(seg) == taught, F.lit(False)))
 
 
+def callee_keys(written: Column) -> Column:
+    """All names that ``callee_matches`` would take for a written call, for equal joins: its dotted tails and the base of its last segment."""
+    parts = F.split(F.replace(written, F.lit("::"), F.lit(".")), r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.array_distinct(F.array_compact(F.concat(tails, F.array(mirror_base(F.element_at(parts, -1))))))
+
+
 def path_root(c: Column) -> Column:
     return F.element_at(F.split(c, r"\."), 1)
 

@@ -19,26 +19,50 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import small_or_plain, write_table
+from ..storage import MAX_BROADCAST_BYTES, Written, write_counted, write_table
 
 #: Edges up to which they are broadcast to the frontier, and new states up to which they are to those visited (64 MB each at most).
 MAX_BROADCAST_EDGES = 1_000_000
 #: Depth of call-site chains; a deeper chain is forgotten (context-free from there), which ``context_lost`` of the state says.
 MAX_CONTEXT = 8
+#: Steps back that paths take between two writes.
+PATH_STEPS = 4
 
 
-def _unseen(step: DataFrame, levels: Sequence[DataFrame], state: Sequence[str]) -> DataFrame:
-    """The states of ``step``, written once, that none of ``levels`` holds.
+class Visited:
+    """The states seen so far, as few written tables.
 
-    Few new states go to the many visited ones, which then need no shuffle.
+    New tables are merged four by four of one rank, so a state is written again
+    as often as the logarithm of the rounds, and there are never many tables.
     """
-    step = write_table(step, "step")
-    seen = reduce(DataFrame.unionByName, [x.select(*state) for x in levels])
-    asked = step.select(*state)
-    small = small_or_plain(asked, MAX_BROADCAST_EDGES)
-    if small is not asked:
-        seen = seen.join(small, state, "left_semi")
-    return step.join(seen, state, "left_anti")
+
+    def __init__(self, state: Sequence[str]) -> None:
+        self.state, self.tables = list(state), []
+
+    def add(self, new: Written) -> None:
+        self.tables.append((0, new))
+        while len(self.tables) >= 4 and len({rank for rank, _ in self.tables[-4:]}) == 1:
+            rank, last = self.tables[-1][0], [w for _, w in self.tables[-4:]]
+            merged = write_table(reduce(DataFrame.unionByName, [w.df for w in last]).coalesce(max(1, sum(w.rows for w in last) // 1_000_000 + 1)), "reach")
+            self.tables[-4:] = [(rank + 1, Written(merged, sum(w.rows for w in last), sum(w.bytes for w in last), 0))]
+
+    @property
+    def df(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [w.df for _, w in self.tables])
+
+    def unseen(self, step: DataFrame) -> DataFrame:
+        """The states of ``step`` that were not seen.
+
+        Few visited states go to the new ones; else few new ones, written once, go
+        to the visited, which then need no shuffle; else both are shuffled.
+        """
+        seen = self.df.select(*self.state)
+        if sum(w.rows for _, w in self.tables) <= MAX_BROADCAST_EDGES and sum(w.bytes for _, w in self.tables) <= MAX_BROADCAST_BYTES:
+            return step.join(F.broadcast(seen), self.state, "left_anti")
+        held = write_counted(step, "step")
+        if held.fits(MAX_BROADCAST_EDGES):
+            seen = seen.join(F.broadcast(held.df.select(*self.state)), self.state, "left_semi")
+        return held.df.join(seen, self.state, "left_anti")
 
 
 def reach(roots: DataFrame, edges: DataFrame, stops: DataFrame | None = None, max_rounds: int = 200, with_parent: bool = False) -> DataFrame:
@@ -52,19 +76,20 @@ def reach(roots: DataFrame, edges: DataFrame, stops: DataFrame | None = None, ma
     start = roots.select("root", "node").distinct().withColumn("depth", F.lit(0))
     if with_parent:
         start = start.withColumn("parent", F.lit(None).cast(roots.schema["node"].dataType))
-    frontier = write_table(start.select(kept), "reach")
     walked = edges.select("node", F.col("next").alias("_to")).where("node is not null and _to is not null").distinct()
     if stops is not None:
         walked = walked.join(stops.select("node").distinct(), "node", "left_anti")
-    walked = small_or_plain(write_table(walked, "edges"), MAX_BROADCAST_EDGES)
-    levels = [frontier]
+    walked = write_counted(walked, "edges")
+    walked = F.broadcast(walked.df) if walked.fits(MAX_BROADCAST_EDGES) else walked.df
+    new = write_counted(start.select(kept), "reach")
+    seen = Visited(["root", "node"])
     for depth in range(1, max_rounds + 1):
-        step = frontier.select("root", "node").join(walked, "node").select("root", F.col("_to").alias("node"), F.col("node").alias("_from"))
+        seen.add(new)
+        step = new.df.select("root", "node").join(walked, "node").select("root", F.col("_to").alias("node"), F.col("node").alias("_from"))
         step = step.groupBy("root", "node").agg(F.min("_from").alias("parent")) if with_parent else step.select("root", "node").distinct()
-        frontier = write_table(_unseen(step, levels, ["root", "node"]).withColumn("depth", F.lit(depth)).select(kept), "reach")
-        if frontier.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        levels.append(frontier)
+        new = write_counted(seen.unseen(step).withColumn("depth", F.lit(depth)).select(kept), "reach")
+        if not new.rows:
+            return seen.df
     raise RuntimeError(f"states left after {max_rounds} rounds")
 
 
@@ -82,11 +107,11 @@ def reach_in_context(roots: DataFrame, edges: DataFrame, stops: DataFrame | None
     empty = F.array().cast("array<string>")
     state = ["root", *carry, "node", "ctx"]
     none = F.lit(None).cast("string")
-    frontier = write_table(roots.select("root", *carry, "node").distinct().withColumns({"ctx": empty, "depth": F.lit(0), "parent": none, "context_lost": F.lit(False)}), "reach")
-    walked = write_table(edges.where("node is not null and next is not null").select("node", F.col("next").alias("_to"), "kind", "site").distinct(), "edges")
-    walked = small_or_plain(walked, MAX_BROADCAST_EDGES)
+    new = write_counted(roots.select("root", *carry, "node").distinct().withColumns({"ctx": empty, "depth": F.lit(0), "parent": none, "context_lost": F.lit(False)}), "reach")
+    walked = write_counted(edges.where("node is not null and next is not null").select("node", F.col("next").alias("_to"), "kind", "site").distinct(), "edges")
+    walked = F.broadcast(walked.df) if walked.fits(MAX_BROADCAST_EDGES) else walked.df
     ends = None if stops is None else write_table(stops.distinct(), "stops")
-    levels = [frontier]
+    seen, frontier = Visited(state), new.df
     top = F.try_element_at("ctx", F.lit(-1))
     after = (
         F.when(F.col("kind") == "enter", F.when(F.size("ctx") < MAX_CONTEXT, F.concat("ctx", F.array("site"))).otherwise(empty))
@@ -104,12 +129,15 @@ def reach_in_context(roots: DataFrame, edges: DataFrame, stops: DataFrame | None
 
     # two steps a round: what the first one finds again leads to nothing new in the second
     for depth in range(1, max_rounds, 2):
+        seen.add(new)
         one = step(frontier, depth)
         both = one.unionByName(step(one, depth + 1)).groupBy(*state).agg(F.min(F.struct("depth", "parent", "context_lost")).alias("_d")).select(*state, "_d.*")
-        levels.append(write_table(_unseen(both, levels, state).select(*state, "depth", "parent", "context_lost"), "reach"))
-        frontier = levels[-1].where(F.col("depth") == depth + 1)
-        if frontier.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
+        last = F.col("depth") == depth + 1
+        new = write_counted(seen.unseen(both).select(*state, "depth", "parent", "context_lost"), "reach", last)
+        frontier = new.df.where(last)
+        if not new.marked:
+            seen.add(new)
+            return seen.df
     raise RuntimeError(f"states left after {max_rounds} steps")
 
 
@@ -153,18 +181,19 @@ def paths(states: DataFrame, goal: DataFrame) -> DataFrame:
     ``states`` are those of ``reach(..., with_parent=True)``: a parent is less
     deep than its state, so as many rounds as the deepest goal has steps end every path.
     """
-    parent = write_table(states.select("root", F.col("node").alias("at"), F.col("parent").alias("_up")).repartition("root", "at"), "parents")
-    open_ = goal.select("root", "node").distinct().join(parent.withColumnRenamed("at", "node"), ["root", "node"]).select("root", F.col("node").alias("goal"), F.array("node").alias("path"), F.col("_up").alias("at"))
-    done = []
-    while True:
-        open_ = write_table(open_, "paths")
-        done.append(open_.where("at is null").select("root", "goal", "path"))
-        open_ = open_.where("at is not null")
-        if open_.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        # the paths still open are few against the states
-        near = small_or_plain(open_, MAX_BROADCAST_EDGES)
-        open_ = parent.join(near, ["root", "at"]).select("root", "goal", F.concat("path", F.array("at")).alias("path"), F.col("_up").alias("at"))
+    parent = write_counted(states.select("root", F.col("node").alias("_at"), F.col("parent").alias("_up")).distinct(), "parents")
+    parent = F.broadcast(parent.df) if parent.fits(MAX_BROADCAST_EDGES) else parent.df
+    first = goal.select("root", "node").distinct().join(states.select("root", "node", "parent"), ["root", "node"])
+    new = write_counted(first.select("root", F.col("node").alias("goal"), F.array("node").alias("path"), F.col("parent").alias("at")), "paths", F.col("at").isNotNull())
+    done = [new.df.where("at is null").select("root", "goal", "path")]
+    while new.marked:
+        open_ = new.df.where("at is not null")
+        for _ in range(PATH_STEPS):
+            up = open_.alias("o").join(parent.alias("p"), (F.col("o.root") == F.col("p.root")) & (F.col("o.at") == F.col("p._at")), "left")
+            open_ = up.select("o.root", "o.goal", F.when(F.col("o.at").isNotNull(), F.concat("o.path", F.array("o.at"))).otherwise(F.col("o.path")).alias("path"), F.col("p._up").alias("at"))
+        new = write_counted(open_, "paths", F.col("at").isNotNull())
+        done.append(new.df.where("at is null").select("root", "goal", "path"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

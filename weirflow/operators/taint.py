@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import severity as V
-from ..functions.names import callee_matches, last_segment
+from ..functions.names import callee_keys, last_segment
 from ..functions.text import fingerprint
 from ..storage import small_or_plain, write_table
 from . import facts as K
@@ -42,7 +42,7 @@ def sink_roots(p: Program, sinks: DataFrame | None = None) -> DataFrame:
     named = c.withColumn("sink", F.col("resolved")).join(sinks.where("not receiver"), ["family", "sink"])
     method = c.where(F.contains("resolved", F.lit("."))).withColumn("sink", F.col("tail")).join(sinks.where("receiver"), ["family", "sink"])
     armed_calls = first_per(named.unionByName(method), ["call"], F.length("sink").desc(), F.col("label"))
-    args = p.part("args").select("call", "slot", "node", "literal")
+    args = p.part("args").where("slot >= -1").select("call", "slot", "node", "literal")
     roots = armed_calls.join(args, "call").where((F.size("slots") == 0) | F.array_contains("slots", F.col("slot")))
     return roots.select(F.concat_ws("|", "call", "slot").alias("root"), "call", "slot", "node", "sink", "label", V.role_of(F.col("label")).alias("role"))
 
@@ -69,7 +69,7 @@ def stops(p: Program, roots: DataFrame, source: DataFrame, sanitizers: DataFrame
     labels = F.explode(F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.role).alias("role")) for r in held]) if held else none).alias("l")
     san = sanitizers if sanitizers is not None else K.sanitizers(p.lowered.sparkSession)
     calls = p.part("calls").where("result is not null").select("family", F.col("result").alias("node"), "resolved")
-    named = calls.join(small_or_plain(san, MAX_BROADCAST_FACTS), "family").where(callee_matches(F.col("sanitizer"), F.col("resolved")))
+    named = calls.select("node", "family", F.explode(callee_keys(F.col("resolved"))).alias("sanitizer")).join(small_or_plain(san, MAX_BROADCAST_FACTS), ["family", "sanitizer"])
     named = named.select("node", "effect", labels).select("node", "effect", "l.label", "l.role")
     works = named.where(V.defeats(V.sanitizer_kind(F.col("effect")), F.col("role"), F.col("label"))).select("node", "label", F.lit("sanitizer").alias("reason"))
     guard = p.part("nodes").where("kind = 'guard'").select("node", labels).select("node", "l.label", F.lit("guard").alias("reason"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.severity import default_level
-from ..operators import checks, memory, report
+from ..operators import memory, report
 from ..operators import mining as M
 from ..scan import Scan, ScanOptions
 from ..session import table
@@ -25,17 +25,18 @@ book = Book()
 
 
 def sample_files(spark: SparkSession, d: str) -> DataFrame:
-    """All code samples as files of their family and variant."""
+    """All code samples as files of their family and variant; one without an extension is taken for its family's language."""
     f = table(spark, d, "families")
-    parts = [f.select("fam_no", F.lit(v).alias("variant"), F.posexplode(c).alias("i", "m")) for v, c in (("positive", "positives"), ("negative", "negatives"))]
-    s = parts[0].unionByName(parts[1]).where("m.source is not null and m.ext is not null")
-    path = F.concat_ws("/", F.concat(F.lit("f"), "fam_no"), "variant", F.concat("i", F.lit("."), F.col("m.ext")))
+    known = F.create_map(*[F.lit(x) for pair in (("python", "py"), ("js", "js"), ("go", "go"), ("rust", "rs"), ("c", "c")) for x in pair])
+    parts = [f.select("fam_no", known[F.col("lang")].alias("usual"), F.lit(v).alias("variant"), F.posexplode(c).alias("i", "m")) for v, c in (("positive", "positives"), ("negative", "negatives"))]
+    s = parts[0].unionByName(parts[1]).where("m.source is not null").withColumn("ext", F.coalesce("m.ext", "usual"))
+    path = F.concat_ws("/", F.concat(F.lit("f"), "fam_no"), "variant", F.concat_ws(".", "i", "ext"))
     return files.with_language(s.select(path.alias("path"), F.col("m.source").alias("source")))
 
 
 def learned_sinks(spark: SparkSession, d: str) -> DataFrame:
     """Calls that two families or more show in their positives only, as sinks of every slot."""
-    votes = M.votes(M.proposals(call_names(spark, d)).where("kind = 'sink' and lang is not null"), ["lang", "name"]).where("status = 'confirmed'")
+    votes = M.votes(M.proposals(call_names(spark, d)).where("kind = 'sink'"), ["lang", "name"]).where("status = 'confirmed' and lang is not null")
     each = F.explode(F.array(F.lit(True), F.lit(False))).alias("receiver")
     return votes.select(F.col("lang").alias("family"), F.col("name").alias("sink"), F.lit("command").alias("label"), F.array().cast("array<int>").alias("slots"), each)
 
@@ -76,9 +77,8 @@ def agg15(spark: SparkSession, d: str) -> DataFrame:
 
 @book.query("chk_registry")
 def chk_registry(spark: SparkSession, d: str) -> DataFrame:
-    """Findings of all checks in the samples, by rule; complexity counts from three branches on, as samples are short."""
-    registry = (*checks.REGISTRY, ("short_complexity", lambda p: checks.complexity(p, 3)))
-    found = Scan(sample_files(spark, d), ScanOptions(registry=registry)).checks
+    """Findings of all checks in the samples, by rule."""
+    found = Scan(sample_files(spark, d)).checks
     return found.groupBy("check", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 

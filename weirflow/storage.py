@@ -13,12 +13,15 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+#: Bytes of rows up to which a side may be broadcast, whatever its number of rows.
+MAX_BROADCAST_BYTES = 64 << 20
 _own: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
 
@@ -45,6 +48,28 @@ def write_table(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@dataclass
+class Written:
+    """A written table with its rows and their bytes at least, counted while it was written."""
+
+    df: DataFrame
+    rows: int
+    bytes: int
+    marked: int
+
+    def fits(self, max_rows: int) -> bool:
+        return self.rows <= max_rows and self.bytes <= MAX_BROADCAST_BYTES
+
+
+def write_counted(df: DataFrame, name: str, mark: Column | None = None) -> Written:
+    """As ``write_table``, with its size and the number of rows for which ``mark`` holds, without a job of their own."""
+    seen = Observation()
+    marked = [F.count(F.when(mark, 1)).alias("m")] if mark is not None else []
+    out = write_table(df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_bytes(df)), F.lit(0)).alias("b"), *marked), name)
+    got = seen.get
+    return Written(out, got["n"], got["b"], got.get("m", 0))
+
+
 def drop_tables(spark: SparkSession | None = None) -> None:
     """Remove the intermediate tables; results read from them are then gone."""
     keep = []
@@ -62,15 +87,16 @@ def drop_tables(spark: SparkSession | None = None) -> None:
 atexit.register(drop_tables)
 
 
-#: Bytes of rows up to which a side may be broadcast, whatever its number of rows.
-MAX_BROADCAST_BYTES = 64 << 20
+def _bytes(df: DataFrame) -> Column:
+    """The bytes of a row at least: texts and nested values as text, 8 for anything else."""
+    wide = ("string", "binary", "array", "map", "struct")
+    each = [F.octet_length(F.col(f"`{c}`").cast("binary" if kind == "binary" else "string")) if kind.startswith(wide) else F.lit(8) for c, kind in df.dtypes]
+    return reduce(Column.__add__, [F.coalesce(e.cast("bigint"), F.lit(0)) for e in each])
 
 
 def size_of(df: DataFrame) -> tuple[int, int]:
-    """Rows of ``df``, and their bytes at least: texts and nested values as text, 8 for anything else."""
-    wide = ("string", "binary", "array", "map", "struct")
-    each = [F.octet_length(F.col(f"`{c}`").cast("binary" if kind == "binary" else "string")) if kind.startswith(wide) else F.lit(8) for c, kind in df.dtypes]
-    r = df.select(reduce(Column.__add__, [F.coalesce(e.cast("bigint"), F.lit(0)) for e in each]).alias("_b")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_b"), F.lit(0)).alias("b")).first()
+    """Rows of ``df``, and their bytes at least."""
+    r = df.select(_bytes(df).alias("_b")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_b"), F.lit(0)).alias("b")).first()
     return r.n, r.b
 
 
