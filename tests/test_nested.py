@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from weirflow.operators.nested import child_rows, flatten_tables, read_json, report_rows
+from weirflow.operators.nested import child_rows, deep_json, flatten_tables, read_json, report_rows, unread
 
 FINDINGS = "finding_id bigint, cut_reasons array<string>, cut_sites array<struct<kind:string,detail:string>>, position string"
 REPORTS = "report_id bigint, kind string, body string"
@@ -51,6 +51,26 @@ def test_all_tables_of_a_deep_record(spark, rows):
     assert rows(t["a.tags"]) == [(1, "0.0.0", "u"), (1, "0.0.1", "v")]
 
 
-def test_unreadable_text():
-    deep = "[" * 100_000
-    assert read_json(deep) is None and read_json('{"a":1} x') is None and read_json(json.dumps(json.dumps([1]))) == [1]
+def test_unreadable_and_deep_text(spark, rows):
+    assert read_json("[" * 100_000) is None and read_json('{"a":1} x') is None and read_json(json.dumps(json.dumps([1]))) == [1]
+    often = '{"a": 1}'
+    for _ in range(12):
+        often = json.dumps(often)
+    assert read_json(often) == {"a": 1}
+    deep = '{"by_cwe": {"CWE-1": {"TP": 3}}, "x": ' + "[" * 50_000 + "]" * 50_000 + "}"
+    out = report_rows(spark.createDataFrame([(1, "s", deep), (2, "s", often)], REPORTS), spark.createDataFrame([], FINDINGS))
+    assert rows(out) == [("raw_reports", 1, "by_cwe", "CWE-1", "3")]
+    bodies = ["", None, "  ", "null", "[]", "{", "{}", '"x"', json.dumps("{}"), "5"]
+    got = rows(unread(spark.createDataFrame(list(enumerate(bodies)), "k int, body string"), ["k"], "body"))
+    assert got == [(0, "missing"), (1, "missing"), (2, "missing"), (3, "no object"), (4, "no object"), (5, "unreadable"), (7, "unreadable"), (9, "no object")]
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, {"b": null}], "c": "d\\n", "e": -1.5e3}', "[]", "{}", " [ 1 , [ ] ] ", '"s"', "true", "12"])
+def test_deep_reader_equals_the_plain_one(text):
+    assert deep_json(text) == json.loads(text)
+
+
+@pytest.mark.parametrize("text", ["", "[1,]", "{,}", '{"a"}', '{"a":1,}', "[1 2]", "[", "nul", "[]x", "{1:2}", '{"a":1]'])
+def test_deep_reader_refuses_what_is_no_json(text):
+    with pytest.raises(ValueError):
+        deep_json(text)

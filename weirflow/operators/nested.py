@@ -4,8 +4,8 @@
 work is done on whole Arrow batches: the offsets of a list give every element
 its parent's index and its position, the elements themselves are the list's
 value buffer, and the parent's keys follow by a vectorised take. No row is
-looked at by itself. ``json_records`` first brings delivered JSON text of
-uneven shape into one nested Arrow type.
+looked at by itself. ``json_records`` first brings delivered JSON text into one
+nested type, by the JVM's reader where its shape is the usual one.
 
 Defined cases: a null or empty array gives no child rows; a null element keeps
 its position and gives no row; members that are missing come out as null; rows
@@ -16,6 +16,7 @@ besides the keys and the path are not read, so clashing names do no harm.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -28,9 +29,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..storage import write_table
 
-#: Levels of JSON text within JSON text that are undone.
-MAX_ENCODINGS = 16
-
 
 def _flat(arr: pa.Array) -> pa.Array:
     return arr.combine_chunks() if isinstance(arr, pa.ChunkedArray) else arr
@@ -155,16 +153,89 @@ def _plain_members(kind: T.DataType) -> list[str] | None:
 
 
 def read_json(body: str | None) -> object:
-    """The value of a JSON text, also if it was encoded more than once; None if unreadable."""
+    """The value of a JSON text, however often it was encoded; None if unreadable."""
     value: object = body
     try:
-        for _ in range(MAX_ENCODINGS):
-            if not isinstance(value, str):
-                return value
-            value = json.loads(value)
-    except (ValueError, RecursionError):
+        # each decoding takes the quotes off, so the text gets shorter
+        while isinstance(value, str):
+            try:
+                value = json.loads(value)
+            except RecursionError:
+                value = deep_json(value)
+    except ValueError:
         return None
-    return None if isinstance(value, str) else value
+    return value
+
+
+_BLANK = re.compile(r"[ \t\n\r]*")
+_PLAIN = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null")
+
+
+def deep_json(text: str) -> object:
+    """The value of a JSON text of any depth, without recursion."""
+    open_: list[tuple[object, str | None]] = []
+    at = _BLANK.match(text).end()
+
+    def key(at: int) -> tuple[str, int]:
+        if text[at : at + 1] != '"':
+            raise ValueError(at)
+        name, at = json.decoder.scanstring(text, at + 1, True)
+        at = _BLANK.match(text, at).end()
+        if text[at : at + 1] != ":":
+            raise ValueError(at)
+        return name, _BLANK.match(text, at + 1).end()
+
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            value: object = {} if c == "{" else []
+            at = _BLANK.match(text, at + 1).end()
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                name = None
+                if c == "{":
+                    name, at = key(at)
+                open_.append((value, name))
+                continue
+            at += 1
+        elif c == '"':
+            value, at = json.decoder.scanstring(text, at + 1, True)
+        else:
+            m = _PLAIN.match(text, at)
+            if m is None:
+                raise ValueError(at)
+            value, at = json.loads(m[0]), m.end()
+        # the value is whole: it goes into what is open, which may then be whole too
+        while True:
+            at = _BLANK.match(text, at).end()
+            if not open_:
+                if at < len(text):
+                    raise ValueError(at)
+                return value
+            holder, name = open_[-1]
+            if isinstance(holder, dict):
+                holder[name] = value
+            else:
+                holder.append(value)
+            c = text[at : at + 1]
+            if c == ",":
+                at = _BLANK.match(text, at + 1).end()
+                if isinstance(holder, dict):
+                    name, at = key(at)
+                    open_[-1] = (holder, name)
+                break
+            if c != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError(at)
+            at += 1
+            value = holder
+            open_.pop()
+
+
+def plain_dumps(value: object) -> str:
+    """A value as JSON text; beyond the depth that can be written, a note of its kind."""
+    try:
+        return json.dumps(value)
+    except RecursionError:
+        return f"<{type(value).__name__} nested too deeply>"
 
 
 def conform(value: object, kind: pa.DataType, keyed: Mapping[str, str], name: str = "") -> object:
@@ -186,7 +257,7 @@ def conform(value: object, kind: pa.DataType, keyed: Mapping[str, str], name: st
             return None
         return {kind.field(i).name: conform(value.get(kind.field(i).name), kind.field(i).type, keyed, kind.field(i).name) for i in range(kind.num_fields)}
     if isinstance(value, (dict, list)):
-        text = json.dumps(value)
+        text = plain_dumps(value)
     elif isinstance(value, float) and value.is_integer():
         text = str(int(value))
     else:
@@ -197,12 +268,41 @@ def conform(value: object, kind: pa.DataType, keyed: Mapping[str, str], name: st
 def json_records(df: DataFrame, keys: Sequence[str], body: str, schema: T.StructType, keyed: Mapping[str, str] | None = None) -> DataFrame:
     """The JSON texts of ``body`` as columns of one nested type (leaves are text).
 
-    Unreadable texts, and texts that hold no object, give no row.
+    Texts of the usual shape are decoded by the JVM's reader to that type; those
+    that it finds odd (a single value for a list, an array for an object, texts
+    encoded twice, damaged ones) are read one by one. Members named in ``keyed``
+    are usually objects whose names become the member ``keyed[name]`` of a list.
+    Unreadable texts, and texts that hold no object, give no row (see ``unread``).
     """
+    names = dict(keyed or {})
+    usual, flat = [], []
+    for f in schema.fields:
+        if f.name in names:
+            inner = [m for m in f.dataType.elementType.fields if m.name != names[f.name]]
+            usual.append(T.StructField(f.name, T.MapType(T.StringType(), T.StructType(inner))))
+            members = ", ".join(f"e.key as `{m.name}`" if m.name == names[f.name] else f"e.value.`{m.name}` as `{m.name}`" for m in f.dataType.elementType.fields)
+            flat.append(F.expr(f"transform(map_entries(_j.`{f.name}`), e -> struct({members}))").cast(f.dataType).alias(f.name))
+        else:
+            usual.append(f)
+            flat.append(F.col(f"_j.`{f.name}`").alias(f.name))
+    kind = T.StructType([*usual, T.StructField(_ODD, T.StringType())])
+    texts = df.select(*keys, F.col(body).cast("string").alias("_body"))
+    read = texts.withColumn("_j", F.from_json("_body", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _ODD}))
+    regular = F.col(f"_j.{_ODD}").isNull() & F.coalesce(F.col("_body").rlike(r"^\s*\{"), F.lit(False))
+    # written first, as both ways read what the reader says
+    read = write_table(read.select(*keys, F.when(~regular, F.col("_body")).alias("_body"), regular.alias("_regular"), *[F.when(regular, c).alias(f.name) for c, f in zip(flat, schema.fields, strict=True)]), "read")
+    odd = _decoded(read.where("not _regular").select(*keys, "_body"), keys, schema, names)
+    return read.where("_regular").select(*keys, *[f.name for f in schema.fields]).unionByName(odd)
+
+
+_ODD = "_odd_text"
+
+
+def _decoded(df: DataFrame, keys: Sequence[str], schema: T.StructType, names: dict[str, str]) -> DataFrame:
+    """Texts of any shape, brought into the type one by one."""
     result = T.StructType([df.schema[k] for k in keys] + list(schema.fields))
     wanted = to_arrow_schema(result)
     inner = pa.struct(list(wanted)[len(keys) :])
-    names = dict(keyed or {})
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +313,25 @@ def json_records(df: DataFrame, keys: Sequence[str], body: str, schema: T.Struct
             columns = [batch.column(i).take(rows).cast(wanted.field(i).type) for i in range(len(keys))]
             yield pa.RecordBatch.from_arrays(columns + records.flatten(), schema=wanted)
 
-    return df.select(*keys, F.col(body).cast("string").alias("_body")).mapInArrow(decode, result)
+    return df.mapInArrow(decode, result)
+
+
+def unread(df: DataFrame, keys: Sequence[str], body: str) -> DataFrame:
+    """keys, reason of the texts that ``json_records`` gives no row for: 'missing', 'unreadable' or 'no object'."""
+    result = T.StructType([*[df.schema[k] for k in keys], T.StructField("reason", T.StringType())])
+    wanted = to_arrow_schema(result)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            why = []
+            for b in batch.column(batch.num_columns - 1).to_pylist():
+                value = read_json(b)
+                plain = b is not None and value is None and b.strip(' \t\n\r"\\') == "null"
+                why.append(None if isinstance(value, dict) else "missing" if b is None or not b.strip() else "no object" if value is not None or plain else "unreadable")
+            rows = pa.array([i for i, w in enumerate(why) if w], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows).cast(wanted.field(i).type) for i in range(len(keys))], pa.array([w for w in why if w], pa.string())], schema=wanted)
+
+    return df.select(*keys, F.col(body).cast("string").alias("_body")).mapInArrow(look, result)
 
 
 def _struct(**members: T.DataType) -> T.StructType:

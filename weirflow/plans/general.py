@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.nested import report_rows
+from ..operators.nested import report_rows, unread
 from ..operators.snapshots import explain_changes
 from ..session import table
 
@@ -13,6 +13,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_rows(table(spark, sf_dir, "raw_reports"), table(spark, sf_dir, "sink_findings"))
 
 
+def p4_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports that give no rows because they hold no object, and why."""
+    return unread(table(spark, sf_dir, "raw_reports"), ["report_id"], "body")
+
+
 def p5_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p5_found with the changed fields, joined by commas."""
     return explain_changes(table(spark, sf_dir, "explain_snapshots")).selectExpr("project", "snap_no", "file", "line", "sink", "arg_slot", "change_kind", "array_join(changed_fields, ',') as changed_fields")
@@ -22,7 +27,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain_changes(table(spark, sf_dir, "explain_snapshots")).drop("changed_fields")
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_changes": p5_changes}
+QUERIES = {"p4_found": p4_found, "p4_unread": p4_unread, "p5_found": p5_found, "p5_changes": p5_changes}
 
 _TRIM = r"regexp_replace({0}, '^[\t-\r\x1c-\x20\x85\xa0]+|[\t-\r\x1c-\x20\x85\xa0]+$', '', 'g')"
 
@@ -93,4 +98,10 @@ union all
 select 'sink_findings', finding_id, child, cast(mi as varchar), coalesce(v, '') from s where there
 """
 
-ORACLE = {"p4_found": _P4, "p5_found": _P5.replace("{extra}", ""), "p5_changes": _P5.replace("{extra}", _EXTRA)}
+_P4_UNREAD = """
+with once as (select report_id, body, case when json_valid(body) then cast(body as json) end as j from raw_reports),
+opened as (select report_id, body, case when json_type(j) = 'VARCHAR' then case when json_valid(j ->> '$') then cast(j ->> '$' as json) end else j end as j from once)
+select report_id, case when trim(coalesce(body, '')) = '' then 'missing' when j is not null then 'no object' else 'unreadable' end as reason from opened where coalesce(json_type(j) <> 'OBJECT', true)
+"""
+
+ORACLE = {"p4_unread": _P4_UNREAD, "p4_found": _P4, "p5_found": _P5.replace("{extra}", ""), "p5_changes": _P5.replace("{extra}", _EXTRA)}
