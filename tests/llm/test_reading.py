@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from weirflow.llm import reading
 
@@ -54,7 +55,21 @@ def test_the_list_of_familiar_words_is_bounded(spark):
     counted = reading.features(docs, "doc_id", "text")
     words = reading.familiar_words(counted)
     mean = counted.selectExpr("avg(size(words)) as m").first().m
-    assert len(words) <= mean / reading.MIN_SHARE and "wa" in words
+    assert len(words) <= mean / reading.SHARES[0] and "wa" in words
+
+
+@pytest.mark.parametrize("n", [0, 1, 8, 500, 6000])
+def test_the_share_is_learned_and_few_labels_change_no_formula(n):
+    """The list that tells the texts apart is chosen, whatever the number of labels; without any the published weights hold."""
+    rng = np.random.default_rng(1)
+    hard = np.arange(n) % 3 == 0
+    good, length = np.where(hard, 0.4, 0.1) + rng.normal(0, 0.01, n), np.where(hard, 25, 12) + rng.normal(0, 3, n)
+    columns = np.c_[np.full(n, 0.001), rng.random(n), good]
+    share, w = reading.learn(columns, length, hard ^ (np.arange(n) % 17 == 5), (0.02, 0.1, 0.3))
+    if n == 0:
+        assert share == 0.1 and np.allclose(w, np.array(reading.DALE_CHALL) * reading.LOGITS_PER_POINT)
+    if n >= 500:
+        assert share == 0.3 and ((w[0] * good + w[1] * length + w[2] > 0) == hard).all()
 
 
 def test_the_fit_sets_wrong_labels_aside():

@@ -2,14 +2,18 @@
 
 A familiar-word formula: the share of a text's words outside a list of familiar
 words, plus the average sentence length. The list is not a fixed one: a word is
-familiar if it occurs in at least MIN_SHARE of the corpus' texts, counted over
-all of them. At most (mean distinct words per text) / MIN_SHARE words can be
-so, whatever the corpus, so the list has a proven size and is broadcast.
-
-The two features are weighted by a logistic fit to graded texts (hard or not),
-on at most MAX_LABELS labels. Graders err, so labels that contradict a first
-fit strongly are set aside and the fit is repeated. Without enough labels of
-both kinds DEFAULT_FIT holds.
+familiar if it occurs in a given share of the corpus' texts, counted over all of
+them. At most (mean distinct words per text) / SHARES[0] words can be so,
+whatever the corpus, so the list has a proven size and is broadcast.
+
+The two features are weighted by a logistic fit to graded texts (hard or not), on
+at most MAX_LABELS labels. Its prior are the published weights of Dale and Chall
+(1948), so there is no number of labels from which another formula holds: without
+labels it is theirs, with many the labels decide. Graders err, so labels that
+contradict a fit strongly are set aside and the fit is repeated. The share from
+which on a word is familiar is learned too: that of SHARES whose fits predict
+held-out labels best (of those within a standard error, the one next to
+DEFAULT_SHARE, which also holds without labels).
 
 Prose is what remains without fenced code, headings, table rows and lines that
 are only a link; marks of lists and quotes, inline code and text in brackets
@@ -36,15 +40,19 @@ from pyspark.sql import functions as F
 
 from ..storage import write_table
 
-#: Share of texts from which on a word is familiar.
-MIN_SHARE = 0.11
+#: Shares of texts from which on a word may count as familiar.
+SHARES = (0.025, 0.04, 0.06, 0.09, 0.13, 0.2, 0.3, 0.45)
+DEFAULT_SHARE = 0.1
 #: Labels used for the fit, at most: those with the least hash of their id.
 MAX_LABELS = 20_000
-#: Labels of each kind below which DEFAULT_FIT holds.
-MIN_LABELS = 8
-#: Weights of the share of unfamiliar words, of words per sentence, and the constant.
-DEFAULT_FIT = (331.0, 0.334, -18.4)
 HARD_BAND = 3
+#: Dale and Chall's weights of the share of unfamiliar words, of words per sentence, and the constant (fixed values), less the
+#: score from which on a text asks for college; and the logits that one point of their score is taken for.
+DALE_CHALL = (15.79, 0.0496, 3.6365 - 9.0)
+LOGITS_PER_POINT = 4.0
+#: Weight of the prior against one label, by feature.
+RIDGE = (0.02, 0.02, 1e-4)
+FOLDS = 5
 
 _FENCE = re.compile(r"[ \t]*(```+|~~~+)")
 _LINK_LINE = re.compile(r"(?:<?(?:https?|ftp)://\S+>?|!?\[[^\]]*\]\([^)]*\)|!?\[[^\]]*\]:?\s*\S*://\S+)[.,;]?")
@@ -134,66 +142,110 @@ def features(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.col(text).cast("string")).mapInArrow(count, f"`{key}` {kind}, n_words bigint, n_sentences bigint, words array<string>, times array<int>")
 
 
-def familiar_words(counted: DataFrame, min_share: float = MIN_SHARE) -> list[str]:
-    """The words of at least ``min_share`` of all texts with words."""
+def familiar_words(counted: DataFrame, min_share: float = SHARES[0]) -> dict[str, float]:
+    """The words of at least ``min_share`` of all texts with words, and their shares."""
     texts = counted.where("n_words > 0").count()
     rows = counted.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_share * texts)
-    return sorted(r.w for r in rows.collect()) if texts else []
+    return {r.w: r.n / texts for r in rows.collect()} if texts else {}
 
 
-def with_share(counted: DataFrame, key: str, familiar: list[str]) -> DataFrame:
-    """key, n_words, n_sentences, unfamiliar (share of words) and words_per_sentence."""
-    shared = counted.sparkSession.sparkContext.broadcast(familiar)
+def unfamiliar(counted: DataFrame, key: str, familiar: dict[str, float], shares: tuple[float, ...]) -> DataFrame:
+    """key, n_words, n_sentences and, per share, how many of the words are not familiar by it."""
+    words = sorted(familiar)
+    level = np.array([sum(familiar[w] >= s for s in shares) for w in words] + [0], dtype=np.int64)
+    shared = counted.sparkSession.sparkContext.broadcast((words, level))
 
     def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(shared.value, pa.string())
+        known, level = pa.array(shared.value[0], pa.string()), shared.value[1]
         for batch in batches:
-            words, times = batch.column(3), batch.column(4)
-            strange = np.where(pc.is_in(pc.list_flatten(words), known).to_numpy(zero_copy_only=False), 0, pc.list_flatten(times).to_numpy(zero_copy_only=False))
-            upto = np.r_[0, np.cumsum(strange)]
+            words, times = batch.column(3), pc.list_flatten(batch.column(4)).to_numpy(zero_copy_only=False)
+            at = level[pc.fill_null(pc.index_in(pc.list_flatten(words), known), -1).to_numpy(zero_copy_only=False)]
             ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))
-            n = upto[ends] - upto[np.r_[0, ends[:-1]]] if len(ends) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], names=[key, "n_words", "n_sentences", "n_unfamiliar"])
+            begins = np.r_[0, ends[:-1]] if len(ends) else ends
+            counts = np.zeros((len(ends), len(shares)), dtype=np.int64)
+            for i in range(len(shares)):
+                upto = np.r_[0, np.cumsum(np.where(at > i, 0, times))]
+                counts[:, i] = upto[ends] - upto[begins]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1) * len(shares), pa.int32()), pa.array(counts.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=[key, "n_words", "n_sentences", "n_unfamiliar"])
 
     kind = counted.schema[key].dataType.simpleString()
-    rows = counted.mapInArrow(outside, f"`{key}` {kind}, n_words bigint, n_sentences bigint, n_unfamiliar bigint")
-    return rows.select(key, "n_words", "n_sentences", (F.try_divide("n_unfamiliar", "n_words")).alias("unfamiliar"), F.try_divide("n_words", "n_sentences").alias("words_per_sentence"))
+    return counted.select(key, "n_words", "n_sentences", "words", "times").mapInArrow(outside, f"`{key}` {kind}, n_words bigint, n_sentences bigint, n_unfamiliar array<bigint>")
+
+
+_SCALE = np.array([0.1, 10.0, 1.0])
+
+
+def _logistic(x: np.ndarray, hard: np.ndarray, prior: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The most likely weights under the prior: Newton's steps, each halved until it helps."""
+    ridge = np.diag(RIDGE)
+
+    def cost(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - hard * z).sum() + (w - prior) @ ridge @ (w - prior) / 2)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        down = x.T @ (p - hard) + ridge @ (w - prior)
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge, down)
+        size, now = 1.0, cost(w)
+        while size > 1e-6 and cost(w - size * step) > now - 1e-4 * size * float(down @ step):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-7:
+            break
+    return w
 
 
-def fit_hard(unfamiliar: np.ndarray, length: np.ndarray, hard: np.ndarray, rounds: int = 6) -> tuple[float, float, float]:
+def fit_hard(unfamiliar: np.ndarray, length: np.ndarray, hard: np.ndarray, rounds: int = 8) -> tuple[float, float, float]:
     """Weights of a logistic formula for hard texts, robust against a minority of wrong labels."""
-    scale = np.array([0.1, 10.0, 1.0])
-    x = np.c_[unfamiliar, length, np.ones(len(hard))] / scale
+    x = np.c_[unfamiliar, length, np.ones(len(hard))] / _SCALE
+    prior = np.array(DALE_CHALL) * LOGITS_PER_POINT * _SCALE
     keep = np.ones(len(hard), dtype=bool)
     w = np.zeros(3)
     for _ in range(rounds):
-        ridge = np.diag([0.02, 0.02, 1e-4])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x[keep] @ w, -30, 30)))
-            step = np.linalg.solve((x[keep].T * (p * (1 - p))) @ x[keep] + ridge, x[keep].T @ (p - hard[keep]) + ridge @ w)
-            w = w - np.clip(step, -5, 5)
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        now = np.abs(p - hard) < 0.8
-        if (now == keep).all() or hard[now].sum() < MIN_LABELS or (~hard[now]).sum() < MIN_LABELS:
+        w = _logistic(x[keep], hard[keep].astype(float), prior, w)
+        now = np.abs(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - hard) < 0.8
+        if (now == keep).all():
             break
         keep = now
-    return tuple(float(v) for v in w / scale)
-
-
-def calibrate(shares: DataFrame, key: str, labels: DataFrame, label_id: str, grader: str, band: str) -> tuple[float, float, float]:
-    """The formula's weights from graded texts, or DEFAULT_FIT if they are too few."""
+    return tuple(float(v) for v in w / _SCALE)
+
+
+def learn(unfamiliar: np.ndarray, length: np.ndarray, hard: np.ndarray, shares: tuple[float, ...]) -> tuple[float, tuple[float, float, float]]:
+    """The share by which words are familiar and the formula's weights; ``unfamiliar`` has a column per share."""
+    n = len(hard)
+    fold = np.arange(n) % FOLDS
+    loss = np.zeros((len(shares), n))
+    for i in range(len(shares)):
+        for k in range(min(FOLDS, n)):
+            out = fold == k
+            a, b, c = fit_hard(unfamiliar[~out, i], length[~out], hard[~out])
+            sure = np.where(hard[out], 1, -1) * (a * unfamiliar[out, i] + b * length[out] + c)
+            # a wrong label costs no more than a few logits
+            loss[i, out] = np.minimum(np.log1p(np.exp(-np.clip(sure, -30, 30))), 3)
+    mean = loss.mean(axis=1) if n else np.zeros(len(shares))
+    i = min(range(len(shares)), key=lambda i: (mean[i], abs(np.log(shares[i] / DEFAULT_SHARE))))
+    return shares[i], fit_hard(unfamiliar[:, i], length, hard)
+
+
+def calibrate(counted: DataFrame, key: str, familiar: dict[str, float], labels: DataFrame, label_id: str, grader: str, band: str) -> tuple[float, tuple[float, float, float]]:
+    """What graded texts say: the share of familiar words and the formula's weights."""
     given = labels.where(F.col(band).isNotNull() & F.col(key).isNotNull()).groupBy(key, grader).agg(F.max(F.struct(label_id, band)).alias("_l"))
-    sample = F.broadcast(given.select(key, F.col(f"_l.{band}").alias("_band"), F.xxhash64(f"_l.{label_id}").alias("_h")).orderBy("_h").limit(MAX_LABELS))
-    rows = shares.where("n_words > 0").join(sample, key).select("unfamiliar", "words_per_sentence", "_band").collect()
-    hard = np.array([r._band >= HARD_BAND for r in rows], dtype=bool)
-    if hard.sum() < MIN_LABELS or (~hard).sum() < MIN_LABELS:
-        return DEFAULT_FIT
-    return fit_hard(np.array([r.unfamiliar for r in rows]), np.array([r.words_per_sentence for r in rows]), hard)
+    sample = write_table(given.select(key, F.col(f"_l.{band}").alias("_band"), F.xxhash64(f"_l.{label_id}").alias("_h")).orderBy("_h", key).limit(MAX_LABELS), "labels")
+    graded = counted.where("n_words > 0").join(F.broadcast(sample.select(key).distinct()), key, "left_semi")
+    rows = unfamiliar(graded, key, familiar, SHARES).join(F.broadcast(sample), key).select("_h", key, "n_words", "n_sentences", "n_unfamiliar", "_band").collect()
+    rows.sort(key=lambda r: (r._h, repr(r[key])))
+    words = np.array([r.n_words for r in rows], dtype=float)
+    shares = np.array([r.n_unfamiliar for r in rows], dtype=float).reshape(len(rows), len(SHARES)) / words[:, None]
+    return learn(shares, words / np.array([r.n_sentences for r in rows], dtype=float), np.array([r._band >= HARD_BAND for r in rows], dtype=bool), SHARES)
 
 
 def reading_levels(docs: DataFrame, key: str, text: str, labels: DataFrame, label_id: str = "label_id", grader: str = "grader", band: str = "band") -> DataFrame:
     """key, n_words, n_sentences, unfamiliar, words_per_sentence and ``level`` (above 0: hard) for every row."""
     counted = write_table(features(docs, key, text), "words")
-    shares = with_share(counted, key, familiar_words(counted))
-    a, b, c = calibrate(shares, key, labels, label_id, grader, band)
+    familiar = familiar_words(counted)
+    share, (a, b, c) = calibrate(counted, key, familiar, labels, label_id, grader, band)
+    rows = unfamiliar(counted, key, {w: s for w, s in familiar.items() if s >= share}, (share,))
+    shares = rows.select(key, "n_words", "n_sentences", F.try_divide(F.col("n_unfamiliar")[0], F.col("n_words")).alias("unfamiliar"), F.try_divide("n_words", "n_sentences").alias("words_per_sentence"))
     return shares.withColumn("level", F.round(F.lit(a) * F.col("unfamiliar") + F.lit(b) * F.col("words_per_sentence") + F.lit(c), 6))
