@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import write_table
+
 MANTISSA = 8
 #: 2**14 leaves: one block below 2**MANTISSA and one for each of the powers 8..62.
 HEIGHT = 14
@@ -149,15 +151,16 @@ def quantile_bounds(digest: DataFrame, keys: Sequence[str], quantiles: dict[str,
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, tuple[int, int]]) -> DataFrame:
     """Exact quantiles by radix descent, for the few groups that bounds leave open.
 
-    Four passes of 16 bits: each counts the next digit of the values that share
+    The distinct values of a group are written once with their counts; four
+    passes of 16 bits then read them: each counts the next digit of the values that share
     the prefix found so far, so a group is never held as a whole: a pass keeps
     at most 2**16 counts a group. Result: keys and one column per quantile.
     """
     bits, digits = 16, 4
     shift = lambda a, b: F.call_function("shiftright", a, F.lit(b))
-    rows = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = write_table(df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "values")
     asked = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(a).alias("a"), F.lit(b).alias("b")) for q, (a, b) in quantiles.items()]))
-    state = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")).select(*keys, asked.alias("_q"), "_total")
+    state = rows.groupBy(*keys).agg(F.sum("_n").alias("_total")).select(*keys, asked.alias("_q"), "_total")
     state = state.select(*keys, F.col("_q.q").alias("_name"), F.greatest(F.lit(1), F.expr("(_q.a * _total + _q.b - 1) div _q.b")).cast("bigint").alias("_rank"), F.lit(0).cast("bigint").alias("_prefix"))
     for d in range(digits - 1, -1, -1):
         on = [F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from ..storage import write_table
+from ..storage import small_or_plain, write_table
 from . import bpe, neardup, packing, qdigest, reading, topn
 from .sql import ORACLE as ORACLE
 from .timings import latest_delivery, valid_ms
@@ -130,7 +130,7 @@ def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity = table(spark, sf_dir, "containers").select("container", "capacity")
     per = rows.groupBy("container", "container_no").agg(F.sum("size").alias("used"))
     used = per.groupBy("container").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
-    return used.join(F.broadcast(capacity.limit(packing.MAX_KINDS)), "container").select(
+    return used.join(small_or_plain(capacity, packing.MAX_KINDS), "container").select(
         "container", "capacity", "containers", "tokens", "fullest", F.expr("(tokens + capacity - 1) div capacity").alias("least")
     )
 
