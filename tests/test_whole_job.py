@@ -71,3 +71,20 @@ def test_renamed_copies_are_structural_clones(spark, rows, tmp_path):
     kind = "array<struct<source:string,ext:string>>"
     spark.createDataFrame(data, f"fam_no long, lang string, positives {kind}, negatives {kind}").write.parquet(f"{tmp_path}/families.parquet")
     assert dict(rows(texts.min11_clones(spark, str(tmp_path)), "fam_no", "n_links")) == {1: 1, 2: 1, 3: 0, 5: 0}
+
+
+def test_a_bundle_changes_what_a_scan_says(spark, rows):
+    from weirflow.sources.corpus import FACT_SCHEMA
+
+    src = "import os, re\nfrom flask import request\ndef a():\n    os.system(tidy(request.args['c']))\ndef b():\n    run_it('x', request.args['c'])\ndef c():\n    os.system(re.sub(request.args['c'], 'x', 'y'))\ndef d(k):\n    wipe()\n    open_door(lock=False)\n"
+    df = spark.createDataFrame([("m.py", src)], "path string, source string")
+    plain = Scan(df)
+    assert rows(plain.findings, "line", "sink", "slot", "verdict") == [(4, "os.system", 0, "vulnerable"), (8, "os.system", 0, "clean")]
+    facts = [
+        ("sanitizers", "python", None, "tidy", '{"effect": "full"}', 1, 0), ("sinks", "*", None, "run_it", '{"label": "command", "slots": [1]}', 1, 0), ("sinks", "python", None, "run_it", '{"label": "command"}', 1, 1),
+        ("policies", "python", None, "wipe", '{"guards": ["check"], "rule": "wipe_unchecked"}', 1, 0), ("named", "*", None, "open_door", '{"name": "lock", "banned": ["False"], "rule": "door_unlocked"}', 1, 0),
+        ("propagators", "python", None, "re.sub", '{"slots": [0, 1, 2]}', 1, 0),
+    ]
+    taught = plain.with_options(ScanOptions(bundle=spark.createDataFrame(facts, FACT_SCHEMA)))
+    assert rows(taught.findings, "line", "sink", "slot", "verdict") == [(4, "os.system", 0, "sanitized"), (6, "run_it", 1, "vulnerable"), (8, "os.system", 0, "vulnerable")]
+    assert rows(taught.checks.where("rule in ('wipe_unchecked', 'door_unlocked')"), "rule", "line") == [("door_unlocked", 11), ("wipe_unchecked", 10)]

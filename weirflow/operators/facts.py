@@ -1,7 +1,13 @@
 """Vocabulary tables: what is a source, a sink, a sanitizer (FCT-01..08, FLT-01..06, FLT-10).
 
-Facts are rows; several layers are merged by ``windows.merge_layers``. The seed
+Facts are rows; several layers are merged by ``windows.merge_layers``: the seed,
+then facts of a bundle for all languages ('*'), then those for one language. A
+fact that is restricted to slots is never widened by one that is not. The seed
 below comes from the public documentation of the frameworks named in it.
+
+Kinds of facts: sources, sinks, sanitizers, propagators (which arguments pass
+into a call's result), weak_calls, policies (guards that a call needs before it),
+named (a named argument's required or banned literals), allocators and releases.
 """
 
 from __future__ import annotations
@@ -9,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .windows import merge_layers
+
 #: Where untrusted values come from: dotted paths.
 SOURCES = {
     "python": (
@@ -67,6 +75,49 @@ WEAK_CALLS = (
 )
 
 
+#: Calls of which only some arguments pass into the result: call, slots (none: nothing passes).
+PROPAGATORS = {
+    "python": (("re.sub", (1, 2)), ("re.split", (1,)), ("re.findall", (1,)), ("isinstance", ()), ("hasattr", ()), ("issubclass", ()), ("callable", ())),
+    "js": (("Array.isArray", ()), ("Object.is", ()), ("isNaN", ())),
+    "go": (("strings.Contains", ()), ("strings.HasPrefix", ())),
+    "rust": (),
+    "c": (("strcmp", ()), ("strncmp", ()), ("memcmp", ())),
+}
+#: Kind of fact: the column its key becomes, and what its payload (JSON) holds.
+KINDS = {
+    "sources": ("pattern", ""), "sinks": ("sink", "label string, slots array<int>, receiver boolean"), "sanitizers": ("sanitizer", "effect string"), "propagators": ("call", "slots array<int>"),
+    "weak_calls": ("resolved", "rule string, cwe string"), "policies": ("trigger", "guards array<string>, rule string"), "named": ("call", "name string, required array<string>, banned array<string>, rule string"),
+    "allocators": ("call", ""), "releases": ("call", ""),
+}
+
+
+def propagators(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(fam, c, list(slots)) for fam, rows in PROPAGATORS.items() for c, slots in rows], "family string, call string, slots array<int>")
+
+
+def taught(bundle: DataFrame, kind: str) -> DataFrame:
+    """family, the kind's columns, _layer and _seq of a bundle's facts; those for '*' hold for every family, below its own."""
+    key, payload = KINDS[kind]
+    rows = bundle.where(F.col("kind") == kind).select("lang", F.col("key").alias(key), F.from_json("payload", payload).alias("_p") if payload else F.lit(None).alias("_p"), "provenance", "layer")
+    every = F.array(*[F.lit(f) for f in SINKS])
+    family = F.explode(F.when(F.col("lang") == "*", every).otherwise(F.array("lang"))).alias("family")
+    own = (F.lit(2) + 2 * F.col("layer") + F.when(F.col("lang") == "*", 0).otherwise(1)).alias("_layer")
+    return rows.select(family, key, *(["_p.*"] if payload else []), own, F.col("provenance").alias("_seq"))
+
+
+def layered(spark: SparkSession, kind: str, bundle: DataFrame | None) -> DataFrame:
+    """The facts of one kind: the seed with a bundle's on top of it (FCT-02, 04, 06)."""
+    seed = {"sources": sources, "sinks": sinks, "sanitizers": sanitizers, "propagators": propagators}[kind](spark)
+    if bundle is None:
+        return seed
+    more = taught(bundle, kind)
+    if kind == "sinks":
+        more = more.withColumns({"slots": F.coalesce("slots", F.array().cast("array<int>")), "receiver": F.coalesce("receiver", F.lit(False)), "label": F.coalesce("label", F.lit("other"))})
+    both = seed.withColumns({"_layer": F.lit(1), "_seq": F.lit(0)}).unionByName(more)
+    restricted = F.when(F.size("slots") > 0, 1).otherwise(0) if kind in ("sinks", "propagators") else F.lit(0)
+    return merge_layers(both, ["family", KINDS[kind][0]], "_layer", restricted, "_seq").drop("_layer", "_seq")
+
+
 def sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(fam, p) for fam, ps in SOURCES.items() for p in ps], "family string, pattern string")
 

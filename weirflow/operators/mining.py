@@ -59,23 +59,24 @@ def replay_gate(candidates: Sequence[Candidate], alerts: Callable[[list[Candidat
     negative alerts from the start are exempt. Returns those published and those
     rejected with the reason.
     """
-    start = {r.fam_no: (r.pos, r.neg) for r in alerts([]).collect()}
-    exempt = {f for f, (_, neg) in start.items() if neg}
+    now = write_table(alerts([]).select("fam_no", "pos", "neg", F.col("neg").alias("exempt")), "gate")
     published: list[Candidate] = []
     rejected: list[tuple[Candidate, str]] = []
-    now = dict(start)
     for c in sorted(candidates, key=lambda c: (c.kind != "sanitizer", c.order, c.name)):
         touched = relevant.where(F.col("name") == c.name).select("fam_no").distinct()
-        trial = {r.fam_no: (r.pos, r.neg) for r in alerts([*published, c]).join(touched, "fam_no", "left_semi").collect()}
-        gains = [f for f, (pos, neg) in trial.items() if pos and not neg and not (now.get(f, (False, False))[0] and not now[f][1])]
-        breaks = [f for f, (pos, neg) in trial.items() if f not in exempt and ((now[f][0] and not now[f][1] and not (pos and not neg)) or (neg and not now[f][1]))]
-        if not gains:
+        trial = alerts([*published, c]).join(touched, "fam_no", "left_semi").select("fam_no", F.col("pos").alias("_p"), F.col("neg").alias("_n"))
+        both = write_table(now.join(trial, "fam_no", "left"), "gate")
+        good, was = F.col("_p") & ~F.col("_n"), F.col("pos") & ~F.col("neg")
+        broken = ~F.col("exempt") & ((was & ~good) | (F.col("_n") & ~F.col("neg")))
+        # only the two numbers leave the table
+        n = both.where("_p is not null").agg(F.count(F.when(good & ~was, 1)).alias("gains"), F.count(F.when(broken, 1)).alias("breaks")).first()
+        if not n.gains:
             rejected.append((c, "separates no family"))
-        elif breaks:
+        elif n.breaks:
             rejected.append((c, "breaks a family"))
         else:
             published.append(c)
-            now.update(trial)
+            now = both.select("fam_no", F.coalesce("_p", "pos").alias("pos"), F.coalesce("_n", "neg").alias("neg"), "exempt")
     return published, rejected
 
 

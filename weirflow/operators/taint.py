@@ -77,7 +77,22 @@ def stops(p: Program, roots: DataFrame, source: DataFrame, sanitizers: DataFrame
     return src.unionByName(works).unionByName(guard).groupBy("node", "label").agg(F.max("reason").alias("reason"))
 
 
-def findings(p: Program, sinks: DataFrame | None = None, sources: DataFrame | None = None, sanitizers: DataFrame | None = None) -> DataFrame:
+def propagated(p: Program, propagators: DataFrame | None = None) -> DataFrame:
+    """call, node (its result), slots of the calls of which it is known which arguments pass into the result (FCT-07)."""
+    facts = propagators if propagators is not None else K.propagators(p.lowered.sparkSession)
+    calls = p.part("calls").where("result is not null").select("family", "call", F.col("result").alias("node"), F.explode(callee_keys(F.col("resolved"))).alias("key"))
+    return calls.join(small_or_plain(facts.withColumnRenamed("call", "key"), MAX_BROADCAST_FACTS), ["family", "key"]).select("call", "node", "slots")
+
+
+def passing_edges(p: Program, known: DataFrame) -> DataFrame:
+    """The program's edges without those from a result to arguments that its call does not pass on."""
+    args = p.part("args").where("node is not null and slot >= -1").select("call", "slot", "node").join(known.select("call", "slots"), "call")
+    passes = F.max(F.array_contains("slots", F.col("slot"))).alias("passes")
+    held = args.groupBy(F.col("call").alias("site"), F.col("node").alias("next")).agg(passes).where("not passes").select("site", "next", F.lit("through").alias("kind"))
+    return p.edges.join(held, ["site", "next", "kind"], "left_anti")
+
+
+def findings(p: Program, sinks: DataFrame | None = None, sources: DataFrame | None = None, sanitizers: DataFrame | None = None, propagators: DataFrame | None = None) -> DataFrame:
     """One row per sink argument, whatever its verdict, and per receiver that is vulnerable (GR-20).
 
     file, fn, line, sink, callee, slot, label, role, verdict, source, steps
@@ -86,14 +101,17 @@ def findings(p: Program, sinks: DataFrame | None = None, sources: DataFrame | No
     roots = write_table(sink_roots(p, sinks), "roots")
     source = write_table(source_nodes(p, sources), "sources")
     ends = write_table(stops(p, roots, source, sanitizers), "ends")
-    edges = write_table(p.edges, "program")
+    known = write_table(propagated(p, propagators), "propagators")
+    edges = write_table(passing_edges(p, known).select("node", "next", "kind", "site"), "program")
     states = R.reach_in_context(roots.where("node is not null").select("root", "label", "node"), edges, ends.select("node", "label"), ["label"])
     states = write_table(states, "states")
     kinds = p.part("nodes").select("node", F.col("kind").alias("what"))
     leaves = states.select("root", "label", "node").distinct().join(ends, ["node", "label"], "left")
     leaves = leaves.join(edges.select("node").distinct().withColumn("_more", F.lit(True)), "node", "left").join(kinds, "node", "left")
+    # a result to which nothing passes is known, not open
+    leaves = leaves.join(known.select("node").distinct().withColumn("_known", F.lit(True)), "node", "left")
     dead = F.col("reason").isNull() & F.col("_more").isNull()
-    reason = F.coalesce("reason", F.when(dead & F.col("what").isin("param", "call", "global"), "unresolvable").when(dead, "no-source"))
+    reason = F.coalesce("reason", F.when(dead & F.col("_known"), "value-const").when(dead & F.col("what").isin("param", "call", "global"), "unresolvable").when(dead, "no-source"))
     seen = leaves.withColumn("reason", reason)
     r = F.col("reason")
     per = seen.groupBy("root").agg(

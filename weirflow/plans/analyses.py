@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import has_hint
+from ..functions.severity import parse_label
 from ..functions.text import canonical_cwe
 from ..operators import checks, intra, report
 from ..operators import facts as K
@@ -250,6 +252,41 @@ def set05(spark: SparkSession, d: str) -> DataFrame:
     return M.set_relations(call_names(spark, d).where("variant = 'positive'").select("fam_no", "name"), "fam_no", "name", least=3)
 
 
+@book.query("min12_teachability", f"""with {_FLAGS}, per as (select fam_no, coalesce(bool_or(findings > 0) filter (where vulnerable), false) as pos, coalesce(bool_or(findings > 0) filter (where not vulnerable), false) as neg from seen group by 1),
+k as (select fam_no, count(*) filter (where pos <> neg) as n_candidates from delta group by 1)
+select fam_no, case when pos and not neg then 'already separates' when pos and neg then 'negative alerts too' when coalesce(n_candidates, 0) = 0 then 'no difference in calls' else 'no candidate reaches the positive' end as gap
+from per left join k using (fam_no)""")
+def min12(spark: SparkSession, d: str) -> DataFrame:
+    """Why a family teaches nothing, or that it separates already."""
+    cases, results, _ = _cases(spark, d)
+    hit = cases.join(results, "id", "left").withColumns({"fam_no": F.substring_index("id", "/", 1).cast("bigint"), "hit": F.coalesce("findings", F.lit(0)) > 0})
+    of = lambda v: F.coalesce(F.bool_or(F.when(F.col("vulnerable") == v, F.col("hit"))), F.lit(False))
+    n = M.proposals(call_names(spark, d)).groupBy("fam_no").agg(F.count(F.lit(1)).alias("n"))
+    trial = hit.groupBy("fam_no").agg(of(True).alias("pos"), of(False).alias("neg")).join(n, "fam_no", "left").withColumn("n_candidates", F.coalesce("n", F.lit(0)))
+    return M.teachability(trial).select("fam_no", "gap")
+
+
+@book.query("agg10_guard_union", f"""with {_FLAGS}, t as (select fam_no, name as trigger from delta where pos and not neg), g as (select fam_no, name as guard from delta where neg and not pos)
+select trigger, string_agg(guard, ',' order by guard) as guards from (select distinct trigger, guard from t join g using (fam_no)) group by 1 having count(*) >= 2""")
+def agg10(spark: SparkSession, d: str) -> DataFrame:
+    """For each call of positives only the calls that any family's negatives add to it."""
+    p = M.proposals(call_names(spark, d))
+    t, g = p.where("kind = 'sink'").select("fam_no", F.col("name").alias("trigger")), p.where("kind = 'sanitizer'").select("fam_no", F.col("name").alias("guard"))
+    return M.guard_union(t.join(g, "fam_no")).select("trigger", F.array_join("guards", ",").alias("guards"))
+
+
+@book.query("fn16_severity", "select fam_no, case lower(trim(meta['severity'])) when 'critical' then 'critical' when 'high' then 'warning' when 'medium' then 'warning' when 'warning' then 'warning' when 'low' then 'info' when 'info' then 'info' end as level from families")
+def fn16(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "families").select("fam_no", parse_label(F.col("meta")["severity"]).alias("level"))
+
+
+@book.query("fn33_hints", f"select distinct func, regexp_matches(lower(func), '{'|'.join(checks.CREDENTIAL_HINTS)}') as credential, regexp_matches(lower(func), '{'|'.join(checks.URL_HINTS)}') as address from function_timings where func is not null")
+def fn33(spark: SparkSession, d: str) -> DataFrame:
+    """Functions whose names hint at credentials or addresses."""
+    f = table(spark, d, "function_timings").where("func is not null").select("func").distinct()
+    return f.select("func", has_hint(F.col("func"), checks.CREDENTIAL_HINTS).alias("credential"), has_hint(F.col("func"), checks.URL_HINTS).alias("address"))
+
+
 # ---------------------------------------------------------------- findings and reports
 
 

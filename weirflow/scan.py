@@ -10,18 +10,21 @@ from pyspark.sql import functions as F
 
 from . import ENGINE_ID, REPORT_SCHEMA, __version__
 from .operators import checks, report, taint
+from .operators import facts as K
 from .operators.program import Program
 from .session import ship
 from .sources import diffs, files
 from .sources.corpus import BUNDLE_VERSIONS, vocabulary_fingerprint
 from .storage import write_table
 
-FACT_KINDS = ["sources", "sinks", "sanitizers"]
+FACT_KINDS = sorted(K.KINDS)
+#: Policies and rules on named arguments in one bundle.
+MAX_POLICIES = 1_000
 
 
 @dataclass
 class ScanOptions:
-    """What a scan reports; the facts default to the seed vocabulary."""
+    """What a scan reports; the facts default to the seed vocabulary, on which a ``bundle`` is laid (see ``facts``)."""
 
     profile: str = "default"
     min_confidence: float = 0.0
@@ -31,6 +34,7 @@ class ScanOptions:
     sources: DataFrame | None = None
     sinks: DataFrame | None = None
     sanitizers: DataFrame | None = None
+    bundle: DataFrame | None = None
     registry: tuple = field(default=checks.REGISTRY)
 
 
@@ -57,14 +61,36 @@ class Scan:
         other.options, other.files, other.program = options, self.files, self.program
         return other
 
+    def facts(self, kind: str) -> DataFrame:
+        """The facts of one kind that this scan goes by."""
+        given = getattr(self.options, kind, None)
+        return given if given is not None else K.layered(self.files.sparkSession, kind, self.options.bundle)
+
     @cached_property
     def findings(self) -> DataFrame:
-        o = self.options
-        return write_table(taint.findings(self.program, o.sinks, o.sources, o.sanitizers), "findings")
+        kinds = ("sinks", "sources", "sanitizers", "propagators")
+        return write_table(taint.findings(self.program, *[self.facts(k) for k in kinds]), "findings")
 
     @cached_property
     def checks(self) -> DataFrame:
-        return checks.run(self.program, self.options.registry)
+        return checks.run(self.program, (*self.options.registry, *self._authored()))
+
+    def _authored(self) -> list[tuple[str, checks.Check]]:
+        """Checks that a bundle's policies and rules ask for."""
+        bundle = self.options.bundle
+        if bundle is None:
+            return []
+        out: list[tuple[str, checks.Check]] = []
+        for kind in ("policies", "named"):
+            rows = K.taught(bundle, kind).drop("_layer", "_seq", "family").distinct().limit(MAX_POLICIES + 1).collect()
+            if len(rows) > MAX_POLICIES:
+                raise ValueError(f"more than {MAX_POLICIES} {kind} in one bundle")
+            for r in sorted(rows, key=repr):
+                if kind == "policies":
+                    out.append((f"policy {r.trigger}", lambda p, r=r: checks.guard_before(p, r.trigger, r.guards or [], r.rule)))
+                else:
+                    out.append((f"named {r.call}.{r.name}", lambda p, r=r: checks.named_argument(p, r.call, r.name, r.rule, r.required or (), r.banned or ())))
+        return out
 
     @property
     def gated(self) -> DataFrame:
