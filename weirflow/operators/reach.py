@@ -82,14 +82,24 @@ def reach(roots: DataFrame, edges: DataFrame, stops: DataFrame | None = None, ma
     walked = write_counted(walked, "edges")
     walked = F.broadcast(walked.df) if walked.fits(MAX_BROADCAST_EDGES) else walked.df
     new = write_counted(start.select(kept), "reach")
-    seen = Visited(["root", "node"])
-    for depth in range(1, max_rounds + 1):
+    seen, frontier = Visited(["root", "node"]), new.df
+
+    def step(states: DataFrame, depth: int) -> DataFrame:
+        to = states.select("root", "node").join(walked, "node").select("root", F.col("_to").alias("node"), F.col("node").alias("_from"))
+        to = to.groupBy("root", "node").agg(F.min("_from").alias("parent")) if with_parent else to.select("root", "node").distinct()
+        return to.withColumn("depth", F.lit(depth)).select(kept)
+
+    # two steps a round: what the first one finds again leads to nothing new in the second
+    for depth in range(1, max_rounds + 1, 2):
         seen.add(new)
-        step = new.df.select("root", "node").join(walked, "node").select("root", F.col("_to").alias("node"), F.col("node").alias("_from"))
-        step = step.groupBy("root", "node").agg(F.min("_from").alias("parent")) if with_parent else step.select("root", "node").distinct()
-        new = write_counted(seen.unseen(step).withColumn("depth", F.lit(depth)).select(kept), "reach")
-        if not new.rows:
+        one = step(frontier, depth)
+        both = one.unionByName(step(one, depth + 1)).groupBy("root", "node").agg(F.min(F.struct(*kept[2:])).alias("_d")).select("root", "node", "_d.*")
+        last = F.col("depth") == depth + 1
+        new = write_counted(seen.unseen(both).select(kept), "reach", last)
+        if not new.marked:
+            seen.add(new)
             return seen.df
+        frontier = new.df.where(last)
     raise RuntimeError(f"states left after {max_rounds} rounds")
 
 
