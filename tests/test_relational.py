@@ -216,3 +216,18 @@ def test_lint_of_header_blocks(spark, rows):
     assert 1 not in got and got[4] == [("C003", "CWE-2")]
     assert [c for c, _ in got[2]] == ["C002", "C005", "D005", "M002", "M003", "M004", "M005", "M006"]
     assert [c for c, _ in got[3]] == ["C001", "C005", "C006", "E040"] + ["M001"] * 5
+
+
+@pytest.mark.parametrize("limit", [0, 3])
+def test_walks_without_broadcasts(spark, rows, monkeypatch, limit):
+    """Long chains, cycles and paths come out alike where nothing, or only a few new states, may be broadcast."""
+    monkeypatch.setattr(reach, "MAX_BROADCAST_EDGES", limit)
+    chain = [(i, i + 1) for i in range(23)] + [(23, 4), (7, 2)]
+    got = reach.reach(spark.createDataFrame([(0, 0), (1, 20)], "root int, node int"), spark.createDataFrame(chain, "node int, next int"), with_parent=True)
+    assert rows(got, "root", "node") == sorted([(0, n) for n in range(24)] + [(1, n) for n in range(2, 24)], key=repr)
+    assert {(r.node, r.depth) for r in got.where("root = 0").collect()} == {(n, n) for n in range(24)}
+    (path,) = rows(reach.paths(got, got.where("root = 0 and node = 23")), "path")
+    assert path[0] == list(range(23, -1, -1))
+    e = [(f"n{a}", f"n{b}", "flow", None) for a, b in chain]
+    states = reach.reach_in_context(spark.createDataFrame([("r", "n0")], "root string, node string"), spark.createDataFrame(e, "node string, next string, kind string, site string"))
+    assert rows(states, "node", "depth") == sorted([(f"n{n}", n) for n in range(24)], key=repr)
